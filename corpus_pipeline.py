@@ -1,18 +1,47 @@
-"""A training corpus from `documents`: toxic rows out, exact and near copies out, benchmark leaks out, encoded."""
+"""A training corpus from `documents`: toxic rows out, exact and near copies out, benchmark leaks out, encoded.
+
+Each stage is written and read again before the next. Decisions are by doc_id: an id names a
+document, so rows that repeat an id share its fate; rows with a null id can't be named and stay
+(toxic ones go, as that is judged row by row).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, exact_dedup
+from lapwing.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from lapwing.llm.common import stored, table
 
+#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` without the rows of these ids."""
+    gone = stored(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5, by a lexicon and weights learned from `labels`."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, lexicon)
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    gone = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return without(docs, exact_dedup.exact_dedup(docs).where(~F.col("kept")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return without(docs, near_dedup.near_dedup(docs, width=5, threshold="4/5").where(~F.col("kept")))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("BPE encoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("near-dedup", drop_near_copies), ("decontamination", drop_leaks), ("BPE encoding", encode)]
 #: Toxicity, near copies, leaks and BPE have no SQL; brute-force versions in tests/llm stand for it.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, chat_format, exact_dedup, near_dedup, token_count, toxicity, url_filter
+from lapwing.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, near_dedup, quality, token_count, toxicity, url_filter
 from lapwing.llm.common import LOWER, UPPER, table
 
 
@@ -31,6 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = url_filter.url_filter(table(spark, sf_dir, "pages"))
     return got.select("page_id", "host", "path", "rule", "verdict", F.size("strict_terms").cast("long").alias("n_strict"), F.size("soft_terms").cast("long").alias("n_soft"))
@@ -52,6 +56,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "terms", "n_quoted")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -106,10 +118,13 @@ FROM a WINDOW w AS (PARTITION BY text_sha256)"""
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_url_filter": op4_url_filter,
     "op5_minhash": op5_minhash,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op1_chat_format": _CHAT, "op5_minhash": _NEAR, "op4_url_filter": _rule_sql(), "op10_exact_dedup": _EXACT}

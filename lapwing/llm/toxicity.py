@@ -311,3 +311,17 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     bias, *weights = lexicon.weights
     z = sum((F.get("features", F.lit(k)) * w for k, w in enumerate(weights)), F.lit(bias))
     return features(docs, lexicon, id_col, text_col).select(id_col, (1 / (1 + F.exp(-z))).alias("score"), "terms", "n_quoted")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `limit`, with all their columns; no shuffle."""
+    packed, weights = lexicon.pack(), np.array(lexicon.weights)
+    z = math.log(limit / (1 - limit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Lexicon.unpack(packed))
+        for batch in batches:
+            for part, texts in portions(batch, text_col):
+                yield part.filter(pa.array([weights[0] + weights[1:] @ np.array(scorer.features(t)[0]) < z for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
