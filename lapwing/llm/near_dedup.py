@@ -3,14 +3,16 @@
 Equal shingle sets are one class from the start; a class has the sketch of its set, the K smallest
 hashes. Inverted lists of retained values give the candidates: two sets that are similar enough
 share at least NEED retained values (all sets up to FULL shingles are retained whole, so there it is
-a count; above, missing it is a matter of about 1 in 10 million for a pair right at the threshold), so one
-of the rarest |sketch| - NEED + 1 values of each suffices, and values that only one class retains
-need no list. The estimate from the sketch of the union filters the candidates and the Jaccard
-similarity of the full sets decides.
-
-Copies are not expanded into pairs: in each list, one hub is held against the others and what links
-becomes one component; after some rounds with new hubs only the pairs between different components
-of a list are left, and all of these are tested. So every link between components is found.
+a count; above, missing it is a matter of about 1 in 10 million for a pair right at the threshold),
+so one of the rarest |sketch| - NEED + 1 values of each suffices, and values that only one class
+retains need no list. Candidates pass by their sizes, a bitmap of the sketch and the estimate from
+the sketch of the union; the Jaccard similarity of the full sets decides.
+
+Lists of up to SMALL classes are paired as they are. In longer ones copies are not expanded into
+pairs: one hub of a list is held against the others and what links becomes one component, for some
+rounds with new hubs. What then still stands in long lists with several components is compared by
+the rarest values of the full sets, among which two similar sets share at least SHARED; only pairs
+between components come up there. So every link between components is found.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from lapwing.llm.common import stored
 from lapwing.llm.components import components
 
 #: Retained values, those that a pair shares at least, and rounds of hubs.
-K, NEED, ROUNDS = 64, 30, 3
+K, NEED, ROUNDS = 64, 30, 2
+#: Classes of a list that is paired as it is, values that count in the last comparison, common bits of bitmaps.
+SMALL, SHARED, BITS = 48, 6, 22
 _WORDS = 300_000
 
 
@@ -60,8 +64,15 @@ def shingle_set(text: bytes, width: int, hashes: WordHash) -> np.ndarray:
     return np.unique(s)
 
 
+def _bitmap(sketch: np.ndarray) -> list[int]:
+    """256 bits, one for each retained value."""
+    bits = np.zeros(256, bool)
+    bits[(sketch >> np.uint64(8)) & np.uint64(255)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sets(docs: DataFrame, width: int, sketches: bool) -> DataFrame:
-    """(id, n, digest, sketch) or (id, hashes) of each row."""
+    """(id, n, digest, sketch, bits) or (id, hashes) of each row."""
     rows = docs.select("id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -76,11 +87,12 @@ def _sets(docs: DataFrame, width: int, sketches: bool) -> DataFrame:
                 arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(values))
                 if sketches:
                     digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), arrays], ["id", "n", "digest", "sketch"])
+                    bitmaps = pa.array([_bitmap(s) for s in kept], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), arrays, bitmaps], ["id", "n", "digest", "sketch", "bits"])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column("id"), arrays], ["id", "hashes"])
 
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sketch array<long>" if sketches else f"id {kind}, hashes array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sketch array<long>, bits array<long>" if sketches else f"id {kind}, hashes array<long>")
 
 
 def _similar(threshold: Fraction, both: Column, either: Column) -> Column:
@@ -97,17 +109,34 @@ def _promising(threshold: Fraction, a: str, b: str) -> Column:
     return sizes & F.when(full, _similar(threshold, both, F.size(union))).otherwise(both >= NEED)
 
 
+def _alike(threshold: Fraction, a: str, b: str) -> Column:
+    """Cheap conditions on sizes and bitmaps (columns n_a, n_b, bits_a, bits_b); bitmaps only of large sets."""
+    sizes = _similar(threshold, F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}"))
+    common = sum((F.bit_count(F.get(f"bits_{a}", F.lit(k)).bitwiseAND(F.get(f"bits_{b}", F.lit(k)))) for k in range(4)), F.lit(0))
+    return sizes & ((F.least(f"n_{a}", f"n_{b}") <= int(K * threshold)) | (common >= BITS))
+
+
+def _need(n: Column, threshold: Fraction) -> Column:
+    return F.ceil(n * threshold.numerator / threshold.denominator).cast("int")
+
+
+def _rarest(values: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, v): of the values (id, v) of each id the rarest `length` ones (of facts: id, size, length), without those of one id alone, which fill the length first."""
+    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = values.join(common, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared")).join(facts, "id")  # one set at most
+    length = F.greatest(F.col("length") - (F.col("size") - F.size("shared")), F.lit(0))
+    return shared.select("id", F.explode(F.slice("shared", F.lit(1), length)).alias("s")).select("id", F.col("s.v").alias("v"))
+
+
 def _postings(classes: DataFrame, threshold: Fraction) -> DataFrame:
-    """(v, id) for the rarest retained values of each class that must meet a partner's."""
+    """(v, id, n, bits) for the rarest retained values of each class that must meet a partner's, in lists of two or more; `list` is a list's length."""
     values = classes.select("id", F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    full = int(K * threshold)
-    need = F.when(F.col("n") <= full, F.ceil(F.col("n") * threshold.numerator / threshold.denominator)).otherwise(F.lit(NEED))
-    sized = values.join(common, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))  # K entries at most
-    sized = sized.join(classes.select("id", "n", F.size("sketch").alias("kept"), need.cast("int").alias("need")), "id")
-    alone = F.col("kept") - F.size("shared")
-    length = F.greatest(F.col("kept") - F.col("need") + 1 - alone, F.lit(0))
-    return sized.select("id", F.explode(F.slice("shared", F.lit(1), length)).alias("s")).select("id", F.col("s.v").alias("v"))
+    kept = F.size("sketch")
+    need = F.when(F.col("n") <= int(K * threshold), _need(F.col("n"), threshold)).otherwise(F.lit(NEED))
+    posts = _rarest(values, classes.select("id", kept.alias("size"), (kept - need + 1).alias("length")))
+    posts = stored(posts, "posts")
+    lists = posts.groupBy("v").agg(F.count("*").alias("list")).where("list > 1")
+    return posts.join(lists, "v").join(classes.select("id", "n", "bits"), "id").select("v", "id", "n", "bits", "list")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: Fraction | str = "4/5", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +152,7 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: Fraction | str = "4/5
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = stored(_sets(rows, width, True), "sketches")
     linkable = sketched.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    classes = stored(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
     found = class_components(classes, rows, width, threshold)
     of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     linked = linkable.join(of_class, "digest").select("id", "n", "component_id")
@@ -135,38 +164,61 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: Fraction | str = "4/5
 def class_components(classes: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """(id, component) of the classes that link with another."""
     postings = stored(_postings(classes, threshold), "postings")
+    side = lambda df, x: df.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bits")), F.col("id").alias(x))
+    short, long = postings.where(F.col("list") <= SMALL), stored(postings.where(F.col("list") > SMALL).drop("list"), "long")
+    pairs = side(short, "a").join(side(short, "b"), "v").where((F.col("a") < F.col("b")) & _alike(threshold, "a", "b")).select("a", "b").distinct()
+    links = stored(_linked(pairs, classes, rows, width, threshold), "links")
+    labels = components(links)
+    for k in range(ROUNDS):
+        labelled = _labelled(long, labels)
+        hubs = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", "v", F.lit(k)), "id", "component", "n", "bits")).alias("hub")).where("low < high")
+        hubs = stored(hubs.select("v", F.col("hub.component").alias("home"), F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.bits").alias("bits_b")), "hubs")
+        if hubs.isEmpty():
+            return labels
+        near = labelled.select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), "component").join(hubs, "v").where((F.col("component") != F.col("home")) & _alike(threshold, "a", "b"))
+        new = stored(_linked(near.select("a", "b").distinct(), classes, rows, width, threshold), "links")
+        if not new.isEmpty():
+            links = stored(links.union(new), "links")
+            labels = components(links)
+    new = stored(_across(_labelled(long, labels), rows, width, threshold), "links")
+    return labels if new.isEmpty() else components(links.union(new))
+
+
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    return postings.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _across(labelled: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Links between components of those that stand in lists with several, by the full sets.
+
+    Two sets that share what the threshold needs share its SHARED rarest values too, and these are
+    among the size - need + SHARED rarest values of each.
+    """
+    mixed = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
+    left = stored(labelled.join(mixed, "v", "left_semi").select("id", "component").distinct(), "left")
+    sets = stored(_sets(rows.join(left, "id", "left_semi"), width, False).dropDuplicates(["id"]), "sets")
+    need = _need(F.size("hashes"), threshold)
+    facts = sets.select("id", F.size("hashes").alias("size"), (F.size("hashes") - need + F.least(need, F.lit(SHARED))).alias("length"), F.least(need, F.lit(SHARED)).alias("least"))
+    posts = _rarest(sets.select("id", F.explode("hashes").alias("v")), facts.drop("least"))
+    posts = stored(posts.join(left, "id").join(facts.select("id", "size", "least"), "id"), "posts")
+    mixed = posts.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
+    posts = posts.join(mixed, "v", "left_semi")
+    side = lambda x: posts.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "least")))
+    met = side("a").join(side("b"), "v").where((F.col("component_a") < F.col("component_b")) & _similar(threshold, F.least("size_a", "size_b"), F.greatest("size_a", "size_b")))
+    pairs = met.groupBy("a", "b", F.least("least_a", "least_b").alias("least")).count().where(F.col("count") >= F.col("least")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _decided(pairs, sets, threshold)
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """The pairs that the union-sketch estimate and then the full sets confirm."""
     brief = classes.select("id", "n", "sketch")
-    a = brief.toDF("a", "n_a", "sketch_a")
-    b = brief.toDF("b", "n_b", "sketch_b")
-    links = labels = None
-    for k in range(ROUNDS + 1):
-        labelled = postings.withColumn("component", F.col("id")) if labels is None else postings.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_lists = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "component")).alias("hub")).where("low < high")
-        open_lists = stored(open_lists, "open")
-        if open_lists.isEmpty():
-            break
-        if k < ROUNDS:
-            pairs = labelled.join(open_lists, "v").where(F.col("component") != F.col("hub.component"))
-            pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-            pairs = pairs.join(a, "a").join(b, "b").where(_promising(threshold, "a", "b")).select("a", "b")
-        else:
-            rest = stored(labelled.join(open_lists.select("v"), "v").select("v", "id", "component"), "rest")
-            left = rest.select("v", F.col("id").alias("a"), F.col("component").alias("c_a")).join(a, "a")
-            right = rest.select("v", F.col("id").alias("b"), F.col("component").alias("c_b")).join(b, "b")
-            pairs = left.join(right, (left["v"] == right["v"]) & (F.col("c_a") < F.col("c_b")) & _promising(threshold, "a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stored(pairs, "pairs")
-        new = stored(_verified(pairs, rows, width, threshold), "verified")
-        if links is not None and new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links)
-    return labels if labels is not None else classes.select("id", F.col("id").alias("component")).limit(0)
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    likely = pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b").where(_promising(threshold, "a", "b"))
+    pairs = stored(likely.select("a", "b"), "pairs")
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(rows.join(asked, "id", "left_semi"), width, False).dropDuplicates(["id"]), "sets")
+    return _decided(pairs, stored(_sets(rows.join(asked, "id", "left_semi"), width, False).dropDuplicates(["id"]), "sets"), threshold)
+
+
+def _decided(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     both = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return both.where(_similar(threshold, shared, F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
