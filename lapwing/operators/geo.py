@@ -9,8 +9,14 @@ from lapwing.functions.missing import finite
 
 #: Metres per degree.
 LON_M, LAT_M = 111_320.0, 110_540.0
-W = Window.partitionBy("session_id").orderBy("i")
-ALL = Window.partitionBy("session_id")
+
+
+def _rows():
+    return Window.partitionBy("session_id").orderBy("i")
+
+
+def _all():
+    return Window.partitionBy("session_id")
 
 
 def track(fixes: DataFrame, sats: str | None = None, least: int = 10) -> DataFrame:
@@ -21,26 +27,26 @@ def track(fixes: DataFrame, sats: str | None = None, least: int = 10) -> DataFra
     """
     ok = finite(F.col("lat")) & finite(F.col("lon")) & (F.abs("lat") > 1e-3) & (F.abs("lon") > 1e-3)
     if sats:
-        ok &= (F.max(sats).over(ALL) < 4) | (F.col(sats) >= 4)
+        ok &= (F.max(sats).over(_all()) < 4) | (F.col(sats) >= 4)
     good = fixes.withColumn("__ok", ok).where("__ok").drop("__ok")
-    good = good.withColumn("lat0", F.first("lat").over(W)).withColumn("lon0", F.first("lon").over(W)).withColumn("__n", F.count("*").over(ALL)).where(F.col("__n") >= least)
+    good = good.withColumn("lat0", F.first("lat").over(_rows())).withColumn("lon0", F.first("lon").over(_rows())).withColumn("__n", F.count("*").over(_all())).where(F.col("__n") >= least)
     x = (F.col("lon") - F.col("lon0")) * LON_M * F.cos(F.radians("lat0"))
     return good.withColumn("x", x).withColumn("y", (F.col("lat") - F.col("lat0")) * LAT_M).drop("lat0", "lon0", "__n")
 
 
 def classify(path: DataFrame, gap: float = 1.0, spike_kmh: float = 400.0) -> DataFrame:
     """Adds step_m, dt, is_break (a hole or a jump before the sample) and is_jump (either end of an impossible step)."""
-    step = F.hypot(F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W))
-    dt = F.col("t") - F.lag("t").over(W)
+    step = F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows()))
+    dt = F.col("t") - F.lag("t").over(_rows())
     p = path.withColumn("step_m", step).withColumn("dt", dt)
     p = p.withColumn("__jump", F.coalesce((F.col("dt") > 0) & (F.col("step_m") / F.when(F.col("dt") > 0, F.col("dt")) * 3.6 > spike_kmh), F.lit(False)))
-    return p.withColumn("is_break", F.coalesce(F.col("dt") > gap, F.lit(False)) | F.col("__jump")).withColumn("is_jump", F.col("__jump") | F.coalesce(F.lead("__jump").over(W), F.lit(False))).drop("__jump")
+    return p.withColumn("is_break", F.coalesce(F.col("dt") > gap, F.lit(False)) | F.col("__jump")).withColumn("is_jump", F.col("__jump") | F.coalesce(F.lead("__jump").over(_rows()), F.lit(False))).drop("__jump")
 
 
 def path_distance(classified: DataFrame) -> DataFrame:
     """Adds distance: steps summed, breaks add nothing."""
     step = F.when(F.col("is_break"), 0.0).otherwise(F.coalesce("step_m", F.lit(0.0)))
-    return classified.withColumn("distance", F.sum(step).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    return classified.withColumn("distance", F.sum(step).over(_rows().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def gps_summary(classified: DataFrame, gap: float = 1.0) -> DataFrame:
@@ -65,22 +71,22 @@ def unwrap(angle: Column, key: str = "session_id", order: str = "i") -> Column:
 
 def gradient(v: Column, at: Column) -> Column:
     """Central difference over `at`, one-sided at the ends."""
-    hi, lo = F.coalesce(F.lead(v).over(W), v), F.coalesce(F.lag(v).over(W), v)
-    ahi, alo = F.coalesce(F.lead(at).over(W), at), F.coalesce(F.lag(at).over(W), at)
+    hi, lo = F.coalesce(F.lead(v).over(_rows()), v), F.coalesce(F.lag(v).over(_rows()), v)
+    ahi, alo = F.coalesce(F.lead(at).over(_rows()), at), F.coalesce(F.lag(at).over(_rows()), at)
     return F.when(ahi != alo, (hi - lo) / (ahi - alo))
 
 
 def curvature(path: DataFrame) -> DataFrame:
     """Adds curvature, the change of heading per metre; 0 where hardly anything is driven."""
-    p = path.withColumn("gx", F.coalesce(F.lead("x").over(W), F.col("x")) - F.coalesce(F.lag("x").over(W), F.col("x"))).withColumn("gy", F.coalesce(F.lead("y").over(W), F.col("y")) - F.coalesce(F.lag("y").over(W), F.col("y")))
-    p = p.withColumn("turn", unwrap(F.atan2("gy", "gx"))).withColumn("step", F.hypot(F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W)))
+    p = path.withColumn("gx", F.coalesce(F.lead("x").over(_rows()), F.col("x")) - F.coalesce(F.lag("x").over(_rows()), F.col("x"))).withColumn("gy", F.coalesce(F.lead("y").over(_rows()), F.col("y")) - F.coalesce(F.lag("y").over(_rows()), F.col("y")))
+    p = p.withColumn("turn", unwrap(F.atan2("gy", "gx"))).withColumn("step", F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows())))
     return p.withColumn("curvature", F.when(F.col("step") > 0.05, F.abs(F.col("turn") / F.col("step"))).otherwise(0.0)).drop("gx", "gy", "turn", "step")
 
 
 def classify_track(path: DataFrame) -> DataFrame:
     """runs, figure8 or circuit by the track's extent, the way driven over it and its turning."""
-    p = path.withColumn("step", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(W), F.col("y") - F.lag("y").over(W)), F.lit(0.0)))
-    p = p.withColumn("turn", unwrap(F.atan2(F.col("y") - F.lag("y").over(W), F.col("x") - F.lag("x").over(W))))
+    p = path.withColumn("step", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows())), F.lit(0.0)))
+    p = p.withColumn("turn", unwrap(F.atan2(F.col("y") - F.lag("y").over(_rows()), F.col("x") - F.lag("x").over(_rows()))))
     g = p.groupBy("session_id").agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("diagonal"), F.sum("step").alias("path"), F.abs(F.sum("turn")).alias("net"), F.sum(F.abs("turn")).alias("gross"))
     return g.withColumn("kind", F.when(F.col("path") < 2.5 * F.col("diagonal"), "runs").when(F.col("net") < 0.25 * F.col("gross"), "figure8").otherwise("circuit"))
 
@@ -100,7 +106,7 @@ def rotate(roll: Column, pitch: Column, yaw: Column, x: Column, y: Column, z: Co
 def cumulative_energy(samples: DataFrame, power: str, rate: float) -> DataFrame:
     """Adds drive_kwh and regen_kwh: trapezoids of the positive and of the negative power."""
     p = F.coalesce(F.col(power), F.lit(0.0))
-    upto = W.rowsBetween(Window.unboundedPreceding, 0)
-    part = lambda side: F.coalesce(0.5 * (side + F.lag(side).over(W)) / rate / 3600, F.lit(0.0))
+    upto = _rows().rowsBetween(Window.unboundedPreceding, 0)
+    part = lambda side: F.coalesce(0.5 * (side + F.lag(side).over(_rows())) / rate / 3600, F.lit(0.0))
     s = samples.withColumn("__d", part(F.greatest(p, F.lit(0.0)))).withColumn("__r", part(F.greatest(-p, F.lit(0.0))))
     return s.withColumn("drive_kwh", F.sum("__d").over(upto)).withColumn("regen_kwh", F.sum("__r").over(upto)).drop("__d", "__r")
