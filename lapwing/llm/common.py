@@ -46,3 +46,15 @@ def ascii_lower(col: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sample_by_hash(df: DataFrame, key: Column, size: int) -> DataFrame:
+    """At most `size` rows, those of the smallest hashes of `key`, the same on every run.
+
+    Rows beyond twice the share wanted go before the sort, so no task sends more than its part of it.
+    """
+    n = df.count()
+    hashed = df.withColumn("__hash", F.xxhash64(key))
+    if n > 2 * size:
+        hashed = hashed.where(F.col("__hash") < F.lit(-(2**63) + int(2**64 * 2 * size / n)))
+    return hashed.orderBy("__hash").limit(size).drop("__hash")

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.llm.common import sample_by_hash
+
 # Templates of notices by family.
 TEMPLATES = {
     "Apache-2.0": (
@@ -135,7 +137,7 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by its text); other columns are left out. Training takes at most `sample` paragraphs of the corpus.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    corpus = rows.select(F.xxhash64("text").alias("h"), F.get(F.split("text", "\n"), F.lit(0)).alias("p")).where("p <> ''").orderBy("h").limit(sample).select("p")
+    corpus = sample_by_hash(rows, F.col("text"), sample).select(F.get(F.split("text", "\n"), F.lit(0)).alias("p")).where("p <> ''")
     model = Model(sorted(r["p"] for r in corpus.collect()))  # bounded by `sample`
     spark = docs.sparkSession
     vocab = spark.createDataFrame([(g, [float(v) * model.scale for v in model.weights[k]]) for g, k in model.vocab.items()], "gram string, w array<double>")
