@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.bpe import portions
-from lapwing.llm.common import stored
+from lapwing.llm.common import sample_by_hash, stored
 
 #: Buckets of the hashed model, documents that it learns from at most, and pieces that a task remembers.
 BUCKETS, SAMPLE, MEMO = 512, 10_000, 400_000
@@ -168,7 +168,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     weak = spark.createDataFrame([(list(map(int, p)), float(g)) for p, g in zip(patterns, good, strict=True)], "votes array<int>, weak double")
     labelled = described.join(F.broadcast(weak), "votes")
-    chosen = labelled.withColumn("order", F.xxhash64("at", "x")).orderBy("order").limit(sample).select("at", "x", "weak").collect()
+    chosen = sample_by_hash(labelled, F.struct("at", "x"), sample).select("at", "x", "weak").collect()
     weights = train([(r["at"], r["x"], r["weak"]) for r in chosen])
     model = spark.createDataFrame([(weights.tolist(),)], "w array<double>")
     z = F.aggregate(F.arrays_zip("at", "x"), F.get("w", F.lit(BUCKETS)), lambda s, f: s + f["x"] * F.get("w", f["at"]))
