@@ -53,13 +53,18 @@ def best_lag(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("pair").agg(F.max_by(F.struct("lag", "r", "n"), F.struct("r", "n", -F.abs("lag"))).alias("b")).select("pair", "b.*")
 
 
-def candidates(a: DataFrame, b: DataFrame, slack: float = 900.0, least: float = 20.0, cell: float = 3600.0) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, slack: float = 900.0, least: float = 20.0, cell: float = 3600.0, once: bool = False) -> DataFrame:
     """Pairs of recordings (id, start_s, end_s) whose times overlap within the slack.
 
-    Recordings go to the cells of time that they touch, so the join is on cells, not on a range.
+    Recordings go to the cells of time that they touch, so the join is on cells, not on a range; a pair
+    is taken in the first cell that both touch. With `once`, both sides are one set of recordings and
+    each pair comes once, a_id < b_id.
     """
-    cells = lambda df, p, s: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "start_s", "end_s")), F.explode(F.sequence(F.floor((F.col("start_s") - s) / cell), F.floor((F.col("end_s") + s) / cell))).alias("cell"))
-    both = cells(a, "a", slack).join(cells(b, "b", 0.0), "cell").drop("cell").distinct()
+    first = lambda s: F.floor((F.col("start_s") - s) / cell)
+    cells = lambda df, p, s: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "start_s", "end_s")), first(s).alias(f"{p}_first"), F.explode(F.sequence(first(s), F.floor((F.col("end_s") + s) / cell))).alias("cell"))
+    both = cells(a, "a", slack).join(cells(b, "b", 0.0), "cell").where(F.col("cell") == F.greatest("a_first", "b_first")).drop("cell", "a_first", "b_first")
+    if once:
+        both = both.where("a_id < b_id")
     overlap = F.least("a_end_s", "b_end_s") - F.greatest("a_start_s", "b_start_s")
     return both.withColumn("overlap", overlap).where(F.col("overlap") + slack >= least)
 

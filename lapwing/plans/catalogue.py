@@ -337,6 +337,20 @@ def overlay_delta(spark, d):
     return both.select("session_id", "k", rounded(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
+@query("overlay_delta_all", f"""WITH {_OVER}, c AS (SELECT session_id, lap, count(*) AS n FROM z GROUP BY ALL), ref AS (SELECT session_id, lap FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n = 100 DESC, -n, lap) AS k FROM c) WHERE k = 1)
+    SELECT b.session_id, b.lap AS lap_index, b.k, {r('b.time - a.time', 4)} AS delta FROM ref JOIN ov a ON a.session_id = ref.session_id AND a.lap = ref.lap JOIN ov b ON b.session_id = a.session_id AND b.k = a.k AND b.lap <> a.lap""")
+def overlay_delta_all(spark, d):
+    """Every lap against its session's reference lap; laps of 100 samples are complete."""
+    s = _driven(spark, d)
+    n = F.count("*")
+    laps = s.groupBy("session_id", F.col("lap").alias("lap_index")).agg(F.min("t").alias("start_t"), (F.max("t") + 0.05).alias("end_t"), (n / RATE).alias("lap_time"), (n == 100).alias("complete"))
+    reference = seg.reference_lap(laps).select("session_id", F.col("lap_index").alias("reference"))
+    o = seg.overlay(s, laps, 5.0).join(reference, "session_id")
+    base = o.where("lap_index = reference").select("session_id", "k", F.col("time").alias("a"))
+    both = o.where("lap_index <> reference").join(base, ["session_id", "k"])
+    return both.select("session_id", "lap_index", "k", rounded(F.col("time") - F.col("a"), 4).alias("delta"))
+
+
 @query("stitch", f"""WITH {S}, k AS (SELECT *, t - lag(t) OVER (PARTITION BY session_id ORDER BY t, i) AS dt FROM s), m AS (SELECT session_id, session_id // 10 AS stitched, min(t) AS t0, max(t) - min(t) AS span, quantile_cont(dt, 0.5) FILTER (dt > 0) AS step FROM k GROUP BY ALL),
 o AS (SELECT *, coalesce(sum(span + coalesce(step, 0) + 60) OVER (PARTITION BY stitched ORDER BY session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - t0 AS off FROM m)
 SELECT stitched, session_id, i, {r('t + off', 2)} AS t FROM s JOIN o USING (session_id)""")
@@ -367,6 +381,16 @@ def align_lag(spark, d):
     return multi.align(s, s, range(-3, 4), 10).select("pair", F.col("lag").cast("long").alias("lag"), "n", rc("r"))
 
 
+@query("align_lag_all", """WITH a AS (SELECT l_suppkey AS pair, CAST(date_diff('day', DATE '1992-01-01', l_shipdate) AS BIGINT) AS k, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL),
+b AS (SELECT pair, k - lag AS k, CAST(lag AS BIGINT) AS lag, v FROM a, range(-3, 4) q(lag))
+SELECT pair, lag, count(*) AS n, floor(corr(a.v, b.v) * 1e5 + 0.5001) / 1e5 AS r FROM a JOIN b USING (pair, k) GROUP BY ALL HAVING count(*) >= 10""")
+def align_lag_all(spark, d):
+    """`align_lag` of all suppliers."""
+    days = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("pair"), days.alias("k")).agg(F.sum("l_quantity").alias("v"))
+    return multi.align(s, s, range(-3, 4), 10).select("pair", F.col("lag").cast("long").alias("lag"), "n", rc("r"))
+
+
 def _frames(spark, d):
     e = table(spark, d, "events")
     payload = F.unhex(F.lpad(F.hex(F.col("event_id") * 2654435761), 16, "0"))
@@ -485,7 +509,7 @@ def winding_laps(spark, d):
 
 @query("auto_sections")
 def auto_sections(spark, d):
-    g = _driven(spark, d).where("i < 400").select("session_id", F.col("i").alias("d"), (F.col("quantity") * F.when((F.col("i") / 60).cast("long") % 2 == 0, 1).otherwise(4)).alias("v"))
+    g = _driven(spark, d).select("session_id", F.col("i").alias("d"), (F.col("quantity") * F.when((F.col("i") / 60).cast("long") % 2 == 0, 1).otherwise(4)).alias("v"))
     return seg.sections(g)
 
 

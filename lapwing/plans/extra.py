@@ -76,6 +76,13 @@ def name_lookup(spark, d):
     return lookup(catalogue, asked)
 
 
+def name_lookup_all(spark, d):
+    """`name_lookup` for every part's name."""
+    part = table(spark, d, "part")
+    catalogue = part.select((F.col("p_partkey") % 10).alias("session_id"), F.col("p_name").alias("channel")).distinct()
+    return lookup(catalogue, part.select(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("asked")).distinct())
+
+
 def merge_names(spark, d):
     return table(spark, d, "part").select("p_partkey", name_key(F.col("p_name")).alias("key"), merge_key(F.col("p_name")).alias("merge_key"))
 
@@ -86,6 +93,12 @@ def alias_landing(spark, d):
     return land_aliases(s, c)
 
 
+def alias_landing_all(spark, d):
+    """`alias_landing` over the channels of all samples."""
+    c = spark.createDataFrame([("speed", 1, "CLICK"), ("speed", 2, "vi ew"), ("power", 1, "gear"), ("power", 2, "Error")], "alias string, position int, name string")
+    return land_aliases(from_events(spark, d).select("session_id", "channel").distinct(), c)
+
+
 def window_gate(spark, d):
     s = from_events(spark, d)
     laps = change_laps(s.withColumn("week", F.floor(F.col("t") / 604800).cast("long")), "week").select(F.col("session_id"), "lap_index", "start_t", "end_t")
@@ -118,6 +131,13 @@ def pair_candidates(spark, d):
     return multi.candidates(a.where("id % 100 = 0"), a.where("id % 100 <> 0"), cell=86400.0).select("a_id", "b_id", "overlap")
 
 
+def pair_candidates_all(spark, d):
+    """`pair_candidates` of all orders with all others, each pair once."""
+    b = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) * 86400.0
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), b.alias("start_s"), (b + 3600).alias("end_s"))
+    return multi.candidates(a, a, cell=86400.0, once=True).select("a_id", "b_id", "overlap")
+
+
 def placeholders(spark, d):
     s = from_lineitem(spark, d).select("session_id", F.lit("discount").alias("channel"), F.when(F.col("session_id") % 5 == 0, F.col("discount") / 1000).otherwise(F.col("discount")).alias("v"))
     return multi.is_placeholder(s)
@@ -161,8 +181,10 @@ QUERIES = {
     "layout_long": (layout_long, "SELECT l_orderkey, l_linenumber, 'l_quantity' AS channel, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem WHERE l_discount > 0"),
     "layout_wide": (layout_wide, f"WITH {_S} SELECT session_id, CAST(floor(t / 86400) AS BIGINT) AS day, " + ", ".join(f"arg_min(v, i) FILTER (channel = '{c}') AS {c}" for c in _NAMES) + " FROM s GROUP BY ALL"),
     "name_lookup": (name_lookup, "WITH c AS (SELECT DISTINCT p_partkey % 10 AS session_id, p_name AS channel FROM part), a AS (SELECT DISTINCT upper(replace(p_name, ' ', '_')) AS asked FROM part WHERE p_partkey <= 50) SELECT session_id, asked, min(channel) AS channel FROM c JOIN a ON regexp_replace(lower(channel), '[^a-z0-9]', '', 'g') = regexp_replace(lower(asked), '[^a-z0-9]', '', 'g') GROUP BY ALL"),
+    "name_lookup_all": (name_lookup_all, "WITH c AS (SELECT DISTINCT p_partkey % 10 AS session_id, p_name AS channel, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part), a AS (SELECT DISTINCT upper(replace(p_name, ' ', '_')) AS asked, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part) SELECT session_id, asked, min(channel) AS channel FROM c JOIN a USING (key) GROUP BY ALL"),
     "merge_names": (merge_names, "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, lower(regexp_replace(p_name, '[ _]', '', 'g')) AS merge_key FROM part"),
     "alias_landing": (alias_landing, f"WITH {_S}, c AS (SELECT DISTINCT session_id, channel FROM s WHERE i % 7 < 3), a(alias, position, name) AS (VALUES ('speed', 1, 'click'), ('speed', 2, 'view'), ('power', 1, 'gear'), ('power', 2, 'error')) SELECT session_id, alias, arg_min(channel, position) AS channel FROM c JOIN a ON channel = name GROUP BY ALL"),
+    "alias_landing_all": (alias_landing_all, "WITH a(alias, position, name) AS (VALUES ('speed', 1, 'click'), ('speed', 2, 'view'), ('power', 1, 'gear'), ('power', 2, 'error')) SELECT user_id AS session_id, alias, arg_min(event_type, position) AS channel FROM events JOIN a ON event_type = name GROUP BY ALL"),
     "window_gate": (window_gate, f"WITH {_S}, w AS (SELECT *, CAST(floor(t / 604800) AS BIGINT) AS week FROM s), b AS (SELECT session_id, week, min(t) AS a, max(t) AS z FROM w GROUP BY session_id, week), e AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY week) - 1 AS lap_index, coalesce(lead(a) OVER (PARTITION BY session_id ORDER BY week), z) AS e FROM b) SELECT s.session_id, lap_index, channel, count(*) AS n, max(v) AS max FROM s JOIN e ON s.session_id = e.session_id AND t >= e.a AND t < e.e WHERE v BETWEEN 10 AND 60 GROUP BY ALL"),
     "unit_groups": (unit_groups, "SELECT p_type AS unit, count(*) AS channels, min(p_name) AS first_name, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) AS INTEGER) AS place FROM part GROUP BY p_type"),
     "can_bus_counts": (can_bus_counts, f"SELECT event_type AS bus, event_id % 7 AS frame_id, count(*) AS frames, {_r('(count(*) - 1) / CAST(max(event_id) - min(event_id) AS DOUBLE)')} AS rate FROM events GROUP BY ROLLUP (event_type, event_id % 7)"),
@@ -170,6 +192,7 @@ QUERIES = {
         g AS (SELECT *, s - lag(e) OVER (PARTITION BY day ORDER BY s, part) AS gap FROM d) SELECT part, day, CAST(sum(CASE WHEN gap BETWEEN 0 AND 1 THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY s, part ROWS UNBOUNDED PRECEDING) AS BIGINT) AS recording FROM g"""),
     "pair_candidates": (pair_candidates, """WITH a AS (SELECT o_orderkey AS id, date_diff('day', DATE '1992-01-01', o_orderdate) * 86400.0::DOUBLE AS s FROM orders WHERE o_orderkey % 50 = 0), p AS (SELECT * FROM a WHERE id % 100 = 0), q AS (SELECT * FROM a WHERE id % 100 <> 0)
         SELECT p.id AS a_id, q.id AS b_id, least(p.s, q.s) + 3600 - greatest(p.s, q.s) AS overlap FROM p JOIN q ON least(p.s, q.s) + 3600 - greatest(p.s, q.s) + 900 >= 20"""),
+    "pair_candidates_all": (pair_candidates_all, "SELECT p.o_orderkey AS a_id, q.o_orderkey AS b_id, 3600::DOUBLE AS overlap FROM orders p JOIN orders q ON CAST(p.o_orderdate AS DATE) = CAST(q.o_orderdate AS DATE) AND p.o_orderkey < q.o_orderkey"),
     "placeholders": (placeholders, "SELECT l_suppkey AS session_id, 'discount' AS channel, NOT bool_or(abs(CASE WHEN l_suppkey % 5 = 0 THEN l_discount / 1000 ELSE l_discount END) >= 0.01) AS placeholder FROM lineitem GROUP BY ALL"),
     "live_windows": (live_windows, f"SELECT CAST(floor(epoch_us(ts) / 1e6 / 21600) AS BIGINT) * 21600 AS start_s, user_id AS session_id, event_type AS channel, count(value) AS n, min(value) AS min, max(value) AS max, {_r('avg(value)')} AS mean FROM events GROUP BY ALL"),
     "live_runs": (live_run_windows, "WITH k AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 43200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts))), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM k) SELECT user_id AS session_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM g GROUP BY user_id, k"),
