@@ -45,15 +45,16 @@ def read_text(spark: SparkSession, path: str, session_id: str | None = None) ->
 
     The header is the widest row of the head that isn't numeric, a row after it without numbers holds
     units, `Name [unit]` is split. Only the head is looked at outside Spark's reader; lines are parsed
-    in parallel. Channels with a cell that is no number are left out, as are rows without a time.
-    Without a time column, rows are 0.01 s apart.
+    in parallel. Channels with a cell that is neither blank nor a number are left out, as are rows without a
+    time; blank cells, and those that a short line lacks, are missing samples. Without a time column, rows
+    are 0.01 s apart.
     """
     head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).first()[0])
     encoding, sep = sniff(head)
     lines = head.decode(encoding, "ignore").splitlines()
-    number = re.compile(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*")
+    numeral = re.compile(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*")
     cells = [[c.strip().strip('"') for c in line.split(sep)] for line in lines[:100]]
-    numeric = [sum(bool(number.fullmatch(c)) for c in row) for row in cells]
+    numeric = [sum(bool(numeral.fullmatch(c)) for c in row) for row in cells]
     at = max((k for k in range(len(cells)) if not numeric[k]), key=lambda k: (len([c for c in cells[k] if c]), -k), default=-1)
     names = cells[at] if at >= 0 else [f"c{k}" for k in range(len(cells[0]))]
     units = cells[at + 1] if at >= 0 and at + 1 < len(cells) and not numeric[at + 1] else [""] * len(names)
@@ -63,17 +64,20 @@ def read_text(spark: SparkSession, path: str, session_id: str | None = None) ->
     names = _distinct([m[1] if m else n for m, n in zip(split, names, strict=True)])
     fields = F.split("value", re.escape(sep))
     raw = spark.read.option("encoding", encoding.replace("-sig", "")).text(path).select("value", F.monotonically_increasing_id().alias("place"))
-    values = raw.withColumn("v", fields).select("place", *(F.expr(f"try_cast(trim(both '\"' from trim(get(v, {k}))) as double)").alias(f"c{k}") for k in range(len(names))), F.size("v").alias("width"))
+    cell = lambda k: f"trim(trim(both '\"' from trim(get(v, {k}))))"
+    number = lambda k: F.expr(f"try_cast({cell(k)} as double)").alias(f"c{k}")
+    text = lambda k: F.expr(f"coalesce({cell(k)} <> '' AND try_cast({cell(k)} as double) IS NULL, false)").alias(f"bad{k}")
+    values = raw.withColumn("v", fields).select("place", *(f(k) for k in range(len(names)) for f in (number, text)), F.size("v").alias("width"))
     head_text = set(lines[: max(first, 0)])
     values = values.join(raw.where(F.col("value").isin(sorted(head_text))).select("place"), "place", "left_anti") if head_text else values
     time = next((k for k, n in enumerate(names) if n.lower() in TIME_NAMES), None)
     rows = values.where("width > 1").withColumn("i", F.row_number().over(Window.orderBy("place")) - 1)  # one file, one session
     rows = rows.withColumn("t", F.col(f"c{time}") if time is not None else F.col("i") * 0.01).where("t IS NOT NULL")
     wanted = [k for k in range(len(names)) if k != time]
-    long = rows.select("i", "t", F.explode(F.array(*(F.struct(F.lit(names[k]).alias("channel"), F.lit(units[k]).alias("unit"), F.col(f"c{k}").alias("v")) for k in wanted))).alias("s"))
+    long = rows.select("i", "t", F.explode(F.array(*(F.struct(F.lit(names[k]).alias("channel"), F.lit(units[k]).alias("unit"), F.col(f"c{k}").alias("v"), F.col(f"bad{k}").alias("bad")) for k in wanted))).alias("s"))
     name = session_id or re.sub(r"\.\w+$", "", path.rstrip("/").rsplit("/", 1)[-1])
-    samples = long.select(F.lit(name).alias("session_id"), "s.channel", "s.unit", "i", "t", "s.v")
-    bad = samples.where("v IS NULL").select("channel").distinct()
+    samples = long.select(F.lit(name).alias("session_id"), "s.channel", "s.unit", "i", "t", "s.v", "s.bad")
+    bad = samples.where("bad").select("channel").distinct()
     return samples.join(bad, "channel", "left_anti").select("session_id", "channel", "unit", "i", "t", "v")
 
 
