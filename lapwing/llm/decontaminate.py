@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A window is similar enough to an item only if they share a word shingle, so windows start where a
-document shares one, as far before it as the shingle is inside the item: each shared shingle puts
-one window of the item's length there. The 128-bit SimHash of a window meets those of the items of
+A window is similar enough to an item only if they share word shingles, so all windows of an item's
+length that hold a shared shingle are slid over the text; those whose shared shingles weigh too
+little to reach the similarity with any item of the length are left out. The 128-bit SimHash of a window meets those of the items of
 its length through a multi-index: 128 bits cut into RADIUS + 1 blocks, of which two fingerprints
 within RADIUS bits share at least one. Fingerprints within the radius go to the exact weighted
 similarity of the shingle sets. RADIUS is over 4 standard deviations beyond the distance expected
@@ -65,6 +65,32 @@ def distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in (0, 1)), F.lit(0))
 
 
+def _promising(seeds: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, width, length, start): the windows that can be similar enough, by their shared shingles.
+
+    Of a window similar enough to an item, the shared shingles weigh `similarity` of the item at least,
+    and similarity / (1 - similarity) for each shingle that is the window's own. Places are dealt into
+    pieces of a window's length; a window lies in two pieces next to each other, so no array is longer.
+    """
+    piece = F.floor(F.col("at") / F.col("length")).cast("int")
+    dealt = seeds.withColumn("piece", F.explode(F.array_distinct(F.array(piece, F.greatest(piece - 1, F.lit(0))))))
+    hit = F.struct("at", "h", "weight")
+    held = dealt.groupBy("id", "n", "width", "length", "piece").agg(F.collect_set(hit).alias("hits"), F.min("least").alias("least"))
+    span = F.col("length") - F.col("width")  # from a window's first shingle to its last
+    last = F.greatest(F.lit(0), F.col("n") - F.col("length"))
+    total = lambda hits: F.aggregate(F.array_distinct(F.transform(hits, lambda x: F.struct(x["h"].alias("h"), x["weight"].alias("weight")))), F.lit(0.0), lambda s, x: s + x["weight"])
+    held = held.where(total(F.col("hits")) >= F.col("least") - 1e-9)
+    low = F.greatest(F.col("piece") * F.col("length"), F.array_min(F.transform("hits", lambda x: x["at"])) - span)
+    low = F.least(low, last)
+    high = F.least((F.col("piece") + 1) * F.col("length") - 1, F.array_max(F.transform("hits", lambda x: x["at"])), last)
+    held = held.withColumn("start", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
+    inside = held.withColumn("hits", F.filter("hits", lambda x: (x["at"] >= F.col("start")) & (x["at"] <= F.col("start") + span)))
+    places = F.least(span + 1, F.col("n") - F.col("width") + 1)
+    shared = total(F.col("hits"))
+    own = F.when(F.size(F.array_distinct(F.transform("hits", lambda x: x["at"]))) < places, F.lit(similarity / (1 - similarity) if similarity < 1 else float("inf"))).otherwise(F.lit(0.0))
+    return inside.where((F.size("hits") > 0) & (shared >= F.greatest("least", own) - 1e-9)).select("id", "n", "width", "length", "start").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, start, length, similarity): each item that a document holds, with its most similar window.
 
@@ -84,21 +110,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     side = F.broadcast if small else (lambda df: df)
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # as many as `width` at most
 
+    # by width, length and shingle: its weight, and the least weight that a window shares with an item of the length
+    weigh = F.aggregate("hashes", F.lit(0.0), lambda s, x: s + F.element_at("weight", x))
+    known = items.withColumn("sum", weigh).select("width", "length", "sum", F.explode("weight").alias("h", "weight")).groupBy("width", "length", "h").agg(F.first("weight").alias("weight"))
+    known = stored(known.join(items.withColumn("sum", weigh).groupBy("width", "length").agg((similarity * F.min("sum")).alias("least")), ["width", "length"]), "known")
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     seeds = None
     for n in widths:
-        known = items.where(F.col("width") == n).select("length", F.posexplode("by_place").alias("inside", "h"))
-        # where in the items a shingle stands, once for each length and place
-        known = known.distinct()
-        here = rows.select("id", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h")).join(side(known), "h")
-        here = here.select("id", F.lit(n).alias("width"), "length", F.greatest(F.lit(0), F.least(F.col("at") - F.col("inside"), F.col("n") - F.col("length"))).alias("start"))
+        here = rows.select("id", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h")).join(side(known.where(F.col("width") == n).drop("width")), "h")
+        here = here.select("id", "n", F.lit(n).alias("width"), "length", "at", "h", "weight", "least")
         seeds = here if seeds is None else seeds.union(here)
     if seeds is None:
         return docs.select(F.col(id_col), F.lit(None).cast(items.schema["item"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0.0).alias("similarity")).limit(0)
-    windows = stored(seeds.distinct(), "windows")
-    found = windows.groupBy("id").agg(F.collect_set(F.struct("width", "length", "start")).alias("windows"))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    cut = texts.join(found, F.col("doc").eqNullSafe(F.col("id"))).select("id", words(F.col("text")).alias("w"), F.explode("windows").alias("x")).select("id", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w"))
+    windows = stored(_promising(seeds, similarity), "windows")
+    found = windows.groupBy("id", "n").agg(F.collect_list(F.struct("width", "length", "start")).alias("windows")).withColumnsRenamed({"id": "of", "n": "size"})
+    texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    cut = texts.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.size("w") == F.col("size"))).select("id", "w", F.explode("windows").alias("x")).select("id", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w"))
     cut = cut.withColumn("own", F.array_distinct(shingles(F.col("w"), F.col("width")))).where(F.size("own") > 0)
     cut = stored(cut.withColumn("own_fp", simhash(F.col("own"))).select("id", "width", "length", "start", "own", "own_fp"), "fingerprints")
     index = items.select("item", "width", "length", F.explode(blocks(F.col("fp"))).alias("b")).select("item", "width", "length", "b.*")
