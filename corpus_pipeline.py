@@ -1,8 +1,8 @@
 """A training corpus from `documents`: toxic rows out, exact and near copies out, benchmark leaks out, encoded.
 
-Each stage is written and read again before the next. Decisions are by doc_id: an id names a
-document, so rows that repeat an id share its fate; rows with a null id can't be named and stay
-(toxic ones go, as that is judged row by row).
+Each stage is written and read again before the next. Decisions are by row: what dedup and
+decontamination read gets a key for each row, stored with it, so ids may repeat or be null; doc_id
+only orders the rows of a group.
 """
 
 from __future__ import annotations
@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from lapwing.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from lapwing.llm.common import stored, table
 
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+#: Rows' keys that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+ROW = "__row"
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without the rows of these ids."""
-    gone = stored(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of its own for each row, stored with it."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Numbered `docs` without these rows and without the key."""
+    gone = stored(rows.select(ROW).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ROW, "left_anti").select([c for c in docs.columns if c != ROW])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +36,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return without(docs, exact_dedup.exact_dedup(docs).where(~F.col("kept")))
+    """Of equal texts the row with the largest doc_id stays, one row of those that repeat it."""
+    docs = numbered(docs)
+    return without(docs, exact_dedup.exact_dedup(docs, row_col=ROW).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
-    return without(docs, near_dedup.near_dedup(docs, width=5, threshold="4/5").where(~F.col("kept")))
+    """One row of each group that five-word shingles link at a similarity of 0.8 or more, the one with the smallest doc_id (null ids last)."""
+    docs = numbered(docs)
+    found = stored(near_dedup.near_dedup(docs, width=5, threshold="4/5", id_col=ROW).select(ROW, "component_id"), "components")
+    shared = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    groups = stored(found.join(shared, "component_id").join(docs.select(ROW, "doc_id"), ROW), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
+    return without(docs, groups.join(first, "component_id").where(F.col(ROW) != F.col(f"first.{ROW}")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    docs = numbered(docs)
+    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=ROW))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,13 @@ class CuckooIndex:
             yield from entries
 
 
+def _order(live) -> tuple:
+    """Null ids below all others; of rows with one id the first row above."""
+    if isinstance(live, dict):
+        return live["id"] is not None, live["id"], -live["row"]
+    return live is not None, live
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (digest, live, size) to one row per digest, through the index."""
     index = CuckooIndex()
@@ -109,7 +116,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entry = index.find(key)
             if entry is None:
                 index.insert(key, (live, size))
-            elif live is None or entry[1][0] is not None and live <= entry[1][0]:
+            elif _order(live) <= _order(entry[1][0]):
                 entry[1] = (entry[1][0], entry[1][1] + size)
             else:  # a larger id: the old digest isn't live any more
                 total = entry[1][1] + size
@@ -131,30 +138,36 @@ def _rows(block: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block, strict=True), schema, strict=True)], schema=schema)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest binary): SHA-256 of each text, A-Z lower-cased, null as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row if asked for, digest binary): SHA-256 of each text, A-Z lower-cased, null as empty."""
+    names = ["id", *(["row"] if row_col else [])]
+    rows = docs.select(F.col(id_col).alias("id"), *([F.col(row_col).alias("row")] if row_col else []), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed = [hashlib.sha256((t.as_py() or b"").lower()).digest() for t in batch.column("text")]  # bytes.lower() changes A-Z only
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(hashed, pa.binary())], ["id", "digest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hashed, pa.binary())], [*names, "digest"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary")
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", digest binary")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of `docs`: (id, keep_id, group_size long, kept boolean, digest binary).
 
     Texts are equal when identical after lower-casing A-Z; null text equals the empty text. Of equal
     texts the row with the largest id stays. A null id sorts below all others; a group of null ids
     only has a null keep_id and its rows stay. Rows that repeat an id count each in group_size and
-    share its verdict. Other columns are left out, so their names can't clash.
+    share its verdict. With `row_col`, a long that is each row's own, it is returned too and exactly one
+    row of a group stays, of those with the largest id the one with the smallest key. Other columns
+    are left out, so their names can't clash.
     """
-    keyed = stored(digests(docs, id_col, text_col), "digests")
+    keyed = stored(digests(docs, id_col, text_col, row_col), "digests")
     kind = keyed.schema["id"].dataType.simpleString()
-    first = keyed.select("digest", F.col("id").alias("live"), F.lit(1).cast("long").alias("size")).mapInArrow(_fold, f"digest binary, live {kind}, size long")
+    name = F.col("id")
+    if row_col:
+        kind, name = f"struct<id:{kind},row:bigint>", F.struct("id", F.col("row").cast("long").alias("row"))
+    first = keyed.select("digest", name.alias("live"), F.lit(1).cast("long").alias("size")).mapInArrow(_fold, f"digest binary, live {kind}, size long")
     live = first.repartition("digest").mapInArrow(_fold, f"digest binary, live {kind}, size long")
-    return keyed.join(live, "digest").select(
-        F.col("id").alias(id_col), F.col("live").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("live")).alias("kept"), "digest"
-    )
+    keep, kept = (F.col("live.id"), F.col("row") == F.col("live.row")) if row_col else (F.col("live"), F.col("id").eqNullSafe(F.col("live")))
+    own = [F.col("row").alias(row_col)] if row_col else []
+    return keyed.join(live, "digest").select(F.col("id").alias(id_col), *own, keep.alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "digest")

@@ -72,7 +72,7 @@ def _bitmap(sketch: np.ndarray) -> list[int]:
 
 
 def _sets(docs: DataFrame, width: int, sketches: bool) -> DataFrame:
-    """(id, n, digest, sketch, bits) or (id, hashes) of each row."""
+    """(id, n, digest, sketch, bits) or (id, digest, hashes) of each row."""
     rows = docs.select("id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -85,14 +85,21 @@ def _sets(docs: DataFrame, width: int, sketches: bool) -> DataFrame:
                 kept = [s[:K] if sketches else s for s in sets]
                 values = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
                 arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(values))
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 if sketches:
-                    digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                     bitmaps = pa.array([_bitmap(s) for s in kept], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), arrays, bitmaps], ["id", "n", "digest", "sketch", "bits"])
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column("id"), arrays], ["id", "hashes"])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), arrays], ["id", "digest", "hashes"])
 
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sketch array<long>, bits array<long>" if sketches else f"id {kind}, hashes array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sketch array<long>, bits array<long>" if sketches else f"id {kind}, digest binary, hashes array<long>")
+
+
+def _full_sets(asked: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(id, hashes): the full sets of the classes asked for. A class is found by a row's id and told from that id's other texts by its digest."""
+    named = classes.select("id", "name", "digest").join(asked, "id", "left_semi")
+    sets = _sets(rows.join(named.select(F.col("name").alias("id")).distinct(), "id", "left_semi"), width, False)
+    return sets.withColumnRenamed("id", "name").dropDuplicates(["name", "digest"]).join(named, ["name", "digest"]).select("id", "hashes")
 
 
 def _similar(threshold: Fraction, both: Column, either: Column) -> Column:
@@ -152,9 +159,11 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: Fraction | str = "4/5
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = stored(_sets(rows, width, True), "sketches")
     linkable = sketched.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    classes = stored(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "classes")
+    classes = linkable.groupBy("digest").agg(F.min("id").alias("name"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # its own: an id with two texts is in two classes
     found = class_components(classes, rows, width, threshold)
-    of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    low = found.join(classes.select("id", "name"), "id").groupBy("component").agg(F.min("name").alias("low"))
+    of_class = classes.select("digest", "id", "name").join(found.join(low, "component").select("id", "low"), "id", "left").select("digest", F.coalesce("low", "name").alias("component_id"))
     linked = linkable.join(of_class, "digest").select("id", "n", "component_id")
     alone = sketched.where(F.col("id").isNull() | F.col("digest").isNull()).select("id", "n", F.col("id").alias("component_id"))
     out = linked.union(alone)
@@ -180,7 +189,7 @@ def class_components(classes: DataFrame, rows: DataFrame, width: int, threshold:
         if not new.isEmpty():
             links = stored(links.union(new), "links")
             labels = components(links)
-    new = stored(_across(_labelled(long, labels), rows, width, threshold), "links")
+    new = stored(_across(_labelled(long, labels), classes, rows, width, threshold), "links")
     return labels if new.isEmpty() else components(links.union(new))
 
 
@@ -188,7 +197,7 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _across(labelled: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+def _across(labelled: DataFrame, classes: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """Links between components of those that stand in lists with several, by the full sets.
 
     Two sets that share what the threshold needs share its SHARED rarest values too, and these are
@@ -196,7 +205,7 @@ def _across(labelled: DataFrame, rows: DataFrame, width: int, threshold: Fractio
     """
     mixed = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
     left = stored(labelled.join(mixed, "v", "left_semi").select("id", "component").distinct(), "left")
-    sets = stored(_sets(rows.join(left, "id", "left_semi"), width, False).dropDuplicates(["id"]), "sets")
+    sets = stored(_full_sets(left, classes, rows, width), "sets")
     need = _need(F.size("hashes"), threshold)
     facts = sets.select("id", F.size("hashes").alias("size"), (F.size("hashes") - need + F.least(need, F.lit(SHARED))).alias("length"), F.least(need, F.lit(SHARED)).alias("least"))
     posts = _rarest(sets.select("id", F.explode("hashes").alias("v")), facts.drop("least"))
@@ -215,7 +224,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, t
     likely = pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b").where(_promising(threshold, "a", "b"))
     pairs = stored(likely.select("a", "b"), "pairs")
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return _decided(pairs, stored(_sets(rows.join(asked, "id", "left_semi"), width, False).dropDuplicates(["id"]), "sets"), threshold)
+    return _decided(pairs, stored(_full_sets(asked, classes, rows, width), "sets"), threshold)
 
 
 def _decided(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
