@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,14 +113,29 @@ def overlay(samples: DataFrame, laps: DataFrame, step: float = 1.0) -> DataFrame
     return s.select("session_id", "lap_index", "k", at.alias("time"))
 
 
-def visits(track: DataFrame, x: float, y: float, radius: float) -> DataFrame:
-    """One row per visit inside a circle: the closest sample's time and distance."""
-    d = F.hypot(F.col("x") - x, F.col("y") - y)
-    w = Window.partitionBy("session_id").orderBy("i")
-    t = track.withColumn("d", d).withColumn("inside", F.col("d") <= radius)
-    t = t.withColumn("enters", F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False)))
-    t = islands(t, "session_id", F.col("enters"), out="visit").where("inside AND visit >= 0")
-    return t.groupBy("session_id", "visit").agg(F.min_by("t", F.struct("d", "i")).alias("t"), F.min("d").alias("d"))
+def visits(track: DataFrame, x: float, y: float, radius: float, heading: float | None = None, tolerance: float = 75.0, span: int = 10, gap: float = 1.5) -> DataFrame:
+    """One row per passage through a gate circle: the closest sample's time and distance.
+
+    The track is split where a step takes over `gap` seconds or `is_break` (if there) holds, and pieces of
+    under 3 samples are left out. A visit counts if its piece was outside before, and if the way from
+    the closest sample to the one `span` samples on is within `tolerance` degrees of the gate's
+    `heading` (radians; none given: as at the session's closest sample).
+    """
+    session = Window.partitionBy("session_id")
+    w, piece = session.orderBy("i"), Window.partitionBy("session_id", "piece")
+    on = lambda c: F.coalesce(F.lead(c, span).over(w), F.last(c).over(w.rowsBetween(*WHOLE))) - F.col(c)
+    cut = F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True))
+    if "is_break" in track.columns:
+        cut |= F.coalesce("is_break", F.lit(False))
+    t = track.withColumn("d", F.hypot(F.col("x") - x, F.col("y") - y)).withColumn("inside", F.col("d") < radius).withColumn("heading", F.atan2(on("y"), on("x")))
+    t = t.withColumn("gate", F.min_by("heading", F.struct("d", "i")).over(session) if heading is None else F.lit(float(heading)))
+    t = islands(t.withColumn("cut", cut), "session_id", F.col("cut"), out="piece").withColumn("n", F.count("*").over(piece))
+    t = t.withColumn("before", F.lag("inside").over(piece.orderBy("i"))).withColumn("begins", F.col("inside") & ~F.coalesce("before", F.lit(False)))
+    t = islands(t, "session_id", F.col("begins"), out="visit").where("inside AND visit >= 0 AND n >= 3")
+    closest = F.struct("d", "i")
+    v = t.groupBy("session_id", "visit").agg(F.min_by("t", closest).alias("t"), F.min("d").alias("d"), F.min_by("heading", closest).alias("heading"), F.first("gate").alias("gate"), F.bool_or(F.col("begins") & F.coalesce(~F.col("before"), F.lit(False))).alias("armed"))
+    off = F.abs(F.pmod(F.col("heading") - F.col("gate") + F.pi(), 2 * F.pi()) - F.pi())
+    return v.where(F.col("armed") & (off <= math.radians(tolerance))).withColumn("visit", F.row_number().over(session.orderBy("visit")).cast("long") - 1).select("session_id", "visit", "t", "d")
 
 
 def debounce(crossings: DataFrame, shortest: float) -> DataFrame:
