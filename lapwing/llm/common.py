@@ -52,9 +52,14 @@ def sample_by_hash(df: DataFrame, key: Column, size: int) -> DataFrame:
     """At most `size` rows, those of the smallest hashes of `key`, the same on every run.
 
     Rows beyond twice the share wanted go before the sort, so no task sends more than its part of it.
+    Where rows share hashes and too few lie in that share, it is doubled until there are enough.
     """
     n = df.count()
     hashed = df.withColumn("__hash", F.xxhash64(key))
-    if n > 2 * size:
-        hashed = hashed.where(F.col("__hash") < F.lit(-(2**63) + int(2**64 * 2 * size / n)))
+    share = 2 * size / n if n > 2 * size else 1.0
+    while share < 1:
+        part = hashed.where(F.col("__hash") < F.lit(-(2**63) + int(2**64 * share)))
+        if part.count() >= size:
+            return part.orderBy("__hash").limit(size).drop("__hash")
+        share *= 2
     return hashed.orderBy("__hash").limit(size).drop("__hash")

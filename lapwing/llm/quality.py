@@ -157,7 +157,8 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep is score >= 0.5. Null and empty texts get no votes but the first ones and are scored by
     their few features. Ids may be null or repeat; no documents give no rows; other columns are left
     out. Vote patterns are counted over all documents (3 to the number of labellers at most); the
-    linear model learns from at most `sample` documents, chosen by a hash of their features.
+    linear model learns from at most `sample` documents, chosen by a hash of id and features, so copies
+    count as often as they come.
     """
     described = stored(describe(docs, id_col, text_col), "described")
     counted = described.groupBy("votes").count().collect()
@@ -168,7 +169,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     weak = spark.createDataFrame([(list(map(int, p)), float(g)) for p, g in zip(patterns, good, strict=True)], "votes array<int>, weak double")
     labelled = described.join(F.broadcast(weak), "votes")
-    chosen = sample_by_hash(labelled, F.struct("at", "x"), sample).select("at", "x", "weak").collect()
+    chosen = sample_by_hash(labelled, F.struct("id", "at", "x"), sample).select("at", "x", "weak").collect()
     weights = train([(r["at"], r["x"], r["weak"]) for r in chosen])
     model = spark.createDataFrame([(weights.tolist(),)], "w array<double>")
     z = F.aggregate(F.arrays_zip("at", "x"), F.get("w", F.lit(BUCKETS)), lambda s, f: s + f["x"] * F.get("w", f["at"]))
