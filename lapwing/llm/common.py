@@ -16,10 +16,12 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only on one machine (a local master, as in tests) a temporary folder stands in where it is unset.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="spark-")
@@ -33,10 +35,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: lost executors cost a reread, not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lapwing/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/lapwing/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that are deleted together, once what was made of them is stored elsewhere."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/lapwing/scratch-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _written(df, f"{self.folder}/{self.tables}-{name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:

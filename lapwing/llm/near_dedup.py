@@ -2,17 +2,20 @@
 
 Equal shingle sets are one class from the start; a class has the sketch of its set, the K smallest
 hashes. Inverted lists of retained values give the candidates: two sets that are similar enough
-share at least NEED retained values (all sets up to FULL shingles are retained whole, so there it is
+share at least NEED retained values (sets of up to 51 shingles and those similar to them are retained whole, so there it is
 a count; above, missing it is a matter of about 1 in 10 million for a pair right at the threshold),
 so one of the rarest |sketch| - NEED + 1 values of each suffices, and values that only one class
 retains need no list. Candidates pass by their sizes, a bitmap of the sketch and the estimate from
 the sketch of the union; the Jaccard similarity of the full sets decides.
 
 Lists of up to SMALL classes are paired as they are. In longer ones copies are not expanded into
-pairs: one hub of a list is held against the others and what links becomes one component, for some
-rounds with new hubs. What then still stands in long lists with several components is compared by
-the rarest values of the full sets, among which two similar sets share at least SHARED; only pairs
-between components come up there. So every link between components is found.
+pairs: each long list has a hub, the class that stands in most long lists, and the lists of one hub
+are one region. Every class of a region is held against its hub once, as the difference of their
+full sets. Classes that link with the hub are one component, so only strays, those of other
+components, can bring a new link: they meet the classes of their region in blocks of bounded rows
+and values, where |a ^ b| = |d(a) ^ d(b)| for differences d from the hub gives the exact similarity
+of all pairs at once, and only which components became one comes out of a block. So every link
+between components of a region is found, and rows and shuffles grow with the classes.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ from fractions import Fraction
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import stored
+from lapwing.llm.common import Scratch, stored
 from lapwing.llm.components import components
 
-#: Retained values, those that a pair shares at least, and rounds of hubs.
-K, NEED, ROUNDS = 64, 30, 2
-#: Classes of a list that is paired as it is, values that count in the last comparison, common bits of bitmaps.
-SMALL, SHARED, BITS = 48, 6, 22
+#: Retained values, and those that a pair shares at least.
+K, NEED = 64, 30
+#: Classes of a list that is paired as it is, and common bits of bitmaps.
+SMALL, BITS = 48, 22
+#: About as many classes and values a block of a region has at most, columns of one product, and tasks that share a hub.
+ROWS, VALUES, COLUMNS, SALTS = 2000, 400_000, 2048, 16
 _WORDS = 300_000
 
 
@@ -135,13 +141,12 @@ def _rarest(values: DataFrame, facts: DataFrame) -> DataFrame:
     return shared.select("id", F.explode(F.slice("shared", F.lit(1), length)).alias("s")).select("id", F.col("s.v").alias("v"))
 
 
-def _postings(classes: DataFrame, threshold: Fraction) -> DataFrame:
+def _postings(classes: DataFrame, threshold: Fraction, store: Scratch) -> DataFrame:
     """(v, id, n, bits) for the rarest retained values of each class that must meet a partner's, in lists of two or more; `list` is a list's length."""
     values = classes.select("id", F.explode("sketch").alias("v"))
     kept = F.size("sketch")
     need = F.when(F.col("n") <= int(K * threshold), _need(F.col("n"), threshold)).otherwise(F.lit(NEED))
-    posts = _rarest(values, classes.select("id", kept.alias("size"), (kept - need + 1).alias("length")))
-    posts = stored(posts, "posts")
+    posts = store(_rarest(values, classes.select("id", kept.alias("size"), (kept - need + 1).alias("length"))), "posts")
     lists = posts.groupBy("v").agg(F.count("*").alias("list")).where("list > 1")
     return posts.join(lists, "v").join(classes.select("id", "n", "bits"), "id").select("v", "id", "n", "bits", "list")
 
@@ -172,59 +177,113 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: Fraction | str = "4/5
 
 def class_components(classes: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """(id, component) of the classes that link with another."""
-    postings = stored(_postings(classes, threshold), "postings")
-    side = lambda df, x: df.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bits")), F.col("id").alias(x))
-    short, long = postings.where(F.col("list") <= SMALL), stored(postings.where(F.col("list") > SMALL).drop("list"), "long")
-    pairs = side(short, "a").join(side(short, "b"), "v").where((F.col("a") < F.col("b")) & _alike(threshold, "a", "b")).select("a", "b").distinct()
-    links = stored(_linked(pairs, classes, rows, width, threshold), "links")
-    labels = components(links)
-    for k in range(ROUNDS):
-        labelled = _labelled(long, labels)
-        hubs = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", "v", F.lit(k)), "id", "component", "n", "bits")).alias("hub")).where("low < high")
-        hubs = stored(hubs.select("v", F.col("hub.component").alias("home"), F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.bits").alias("bits_b")), "hubs")
-        if hubs.isEmpty():
-            return labels
-        near = labelled.select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), "component").join(hubs, "v").where((F.col("component") != F.col("home")) & _alike(threshold, "a", "b"))
-        new = stored(_linked(near.select("a", "b").distinct(), classes, rows, width, threshold), "links")
-        if not new.isEmpty():
-            links = stored(links.union(new), "links")
-            labels = components(links)
-    new = stored(_across(_labelled(long, labels), classes, rows, width, threshold), "links")
-    return labels if new.isEmpty() else components(links.union(new))
-
-
-def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    return postings.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _across(labelled: DataFrame, classes: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Links between components of those that stand in lists with several, by the full sets.
-
-    Two sets that share what the threshold needs share its SHARED rarest values too, and these are
-    among the size - need + SHARED rarest values of each.
-    """
-    mixed = labelled.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
-    left = stored(labelled.join(mixed, "v", "left_semi").select("id", "component").distinct(), "left")
-    sets = stored(_full_sets(left, classes, rows, width), "sets")
-    need = _need(F.size("hashes"), threshold)
-    facts = sets.select("id", F.size("hashes").alias("size"), (F.size("hashes") - need + F.least(need, F.lit(SHARED))).alias("length"), F.least(need, F.lit(SHARED)).alias("least"))
-    posts = _rarest(sets.select("id", F.explode("hashes").alias("v")), facts.drop("least"))
-    posts = stored(posts.join(left, "id").join(facts.select("id", "size", "least"), "id"), "posts")
-    mixed = posts.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v")
-    posts = posts.join(mixed, "v", "left_semi")
-    side = lambda x: posts.select("v", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", "least")))
-    met = side("a").join(side("b"), "v").where((F.col("component_a") < F.col("component_b")) & _similar(threshold, F.least("size_a", "size_b"), F.greatest("size_a", "size_b")))
-    pairs = met.groupBy("a", "b", F.least("least_a", "least_b").alias("least")).count().where(F.col("count") >= F.col("least")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return _decided(pairs, sets, threshold)
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """The pairs that the union-sketch estimate and then the full sets confirm."""
+    with Scratch(classes.sparkSession) as store:
+        postings = store(_postings(classes, threshold, store), "postings")
+        side = lambda df, x: df.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bits")), F.col("id").alias(x))
+        short = postings.where(F.col("list") <= SMALL)
+        pairs = side(short, "a").join(side(short, "b"), "v").where((F.col("a") < F.col("b")) & _alike(threshold, "a", "b")).select("a", "b").distinct()
+        pairs = store(_likely(pairs, classes, threshold), "pairs")
+        members = store(_regions(postings.where(F.col("list") > SMALL)), "members")
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
+        sets = store(_full_sets(asked, classes, rows, width), "sets")
+        links = _decided(pairs, sets, threshold)
+        if members.isEmpty():
+            return components(links)
+        apart = store(_differences(members, sets, threshold), "differences")
+        near = apart.where(F.col("linked") & (F.col("id") != F.col("region"))).select(F.col("region").alias("a"), F.col("id").alias("b"))
+        links = store(links.union(near), "links")
+        labels = components(links)
+        merges = store(_across(apart, labels, threshold), "merges")
+        return labels if merges.isEmpty() else components(links.union(merges))
+
+
+def _regions(long: DataFrame) -> DataFrame:
+    """(region, id): the classes of the long lists (v, id) of each hub. Of a list the class that stands in most long lists is the hub."""
+    often = long.groupBy("id").agg(F.count("*").alias("lists"))
+    hubs = long.join(often, "id").groupBy("v").agg(F.max(F.struct("lists", F.xxhash64("id"), "id")).alias("hub"))
+    return long.join(hubs.select("v", F.col("hub.id").alias("region")), "v").select("region", "id").distinct()
+
+
+def _with_region(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows (region, id, ...) with what their region has, one row of `regions`; a region's rows are spread over SALTS tasks."""
+    salted = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"]).drop("salt")
+
+
+def _differences(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(region, id, n, apart array<long>, linked boolean): how the full set of each class differs from that of its hub."""
+    hubs = members.select("region").distinct().join(sets.toDF("region", "hub"), "region")
+    both = _with_region(members.join(sets, "id"), hubs)
+    shared = F.size(F.array_intersect("hashes", "hub"))
+    linked = _similar(threshold, shared, F.size("hashes") + F.size("hub") - shared)
+    apart = F.concat(F.array_except("hashes", "hub"), F.array_except("hub", "hashes"))
+    return both.select("region", "id", F.size("hashes").alias("n"), apart.alias("apart"), linked.alias("linked"))
+
+
+def _across(apart: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): components that a link joins, among the classes of each region; strays meet all others of their region in blocks."""
+    labelled = apart.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = labelled.groupBy("region", "component").agg(F.count("*").alias("rows"), F.sum(F.size("apart")).alias("values"), F.max(F.col("id") == F.col("region")).alias("home"))
+    blocks = lambda of: F.ceil(F.greatest(F.sum(F.when(of, F.col("rows"))) / ROWS, F.sum(F.when(of, F.col("values"))) / VALUES, F.lit(1.0))).cast("int")
+    home = F.max(F.when(F.col("home"), F.col("component")))
+    regions = parts.groupBy("region").agg(home.alias("home"), blocks(~F.col("home")).alias("left"), blocks(F.lit(True)).alias("right"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    labelled = _with_region(labelled, regions)
+    block = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["region", "i", "j", "stray", "component", "n", "apart"]
+    strays = labelled.where(F.col("component") != F.col("home")).withColumn("i", block(1, F.col("left"))).withColumn("j", every("right")).withColumn("stray", F.lit(True))
+    others = labelled.withColumn("j", block(2, F.col("right"))).withColumn("i", every("left")).withColumn("stray", F.lit(False))
+    num, den = threshold.numerator, threshold.denominator
+    return strays.select(columns).union(others.select(columns)).groupBy("region", "i", "j").applyInPandas(lambda block: _merged(block, num, den), "a long, b long").distinct()
+
+
+def _merged(block: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Components of a block that links between its strays and others join: (component, the smallest it reaches)."""
+    a, b = block[block["stray"]], block[~block["stray"]]
+    n_a, n_b = (x["n"].to_numpy(np.int64) for x in (a, b))
+    total = n_a[:, None] + n_b[None, :]
+    differ = a["apart"].str.len().to_numpy(np.int64)[:, None] + b["apart"].str.len().to_numpy(np.int64)[None, :] - 2 * _common(list(a["apart"]), list(b["apart"]))
+    names, at = np.unique(np.concatenate([a["component"], b["component"]]), return_inverse=True)
+    at_a, at_b = at[: len(a)], at[len(a) :]
+    link = ((total - differ) * den >= (total + differ) * num) & (at_a[:, None] != at_b[None, :])
+    low = np.arange(len(names))
+    while link.any():
+        before = low.copy()
+        np.minimum.at(low, at_a, np.where(link, low[at_b][None, :], len(names)).min(1))
+        np.minimum.at(low, at_b, np.where(link, low[at_a][:, None], len(names)).min(0))
+        if (low == before).all():
+            break
+    joined = np.flatnonzero(low != np.arange(len(names)))
+    return pd.DataFrame({"a": names[joined], "b": names[low[joined]]})
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the sets on the left with each on the right."""
+    rows = [np.repeat(np.arange(len(x)), list(map(len, x))) for x in (left, right)]
+    values = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
+    both = np.intersect1d(*values)
+    out = np.zeros((len(left), len(right)), np.float32)
+    columns = []
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(both, values[k]), max(len(both) - 1, 0))
+        held = both[at] == values[k] if len(both) else np.zeros(len(values[k]), bool)
+        order = np.argsort(at[held], kind="stable")
+        columns.append((at[held][order], rows[k][held][order]))
+    for lo in range(0, len(both), COLUMNS):
+        dense = []
+        for (at, row), n in zip(columns, out.shape, strict=True):
+            x, y = np.searchsorted(at, (lo, lo + COLUMNS))
+            part = np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32)
+            part[row[x:y], at[x:y] - lo] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs that pass the union-sketch estimate."""
     brief = classes.select("id", "n", "sketch")
-    likely = pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b").where(_promising(threshold, "a", "b"))
-    pairs = stored(likely.select("a", "b"), "pairs")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return _decided(pairs, stored(_full_sets(asked, classes, rows, width), "sets"), threshold)
+    return pairs.join(brief.toDF("a", "n_a", "sketch_a"), "a").join(brief.toDF("b", "n_b", "sketch_b"), "b").where(_promising(threshold, "a", "b")).select("a", "b")
 
 
 def _decided(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
