@@ -1,25 +1,46 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A window is similar enough to an item only if they share word shingles, so all windows of an item's
-length that hold a shared shingle are slid over the text; those whose shared shingles weigh too
-little to reach the similarity with any item of the length are left out. The 128-bit SimHash of a window meets those of the items of
-its length through a multi-index: 128 bits cut into RADIUS + 1 blocks, of which two fingerprints
-within RADIUS bits share at least one. Fingerprints within the radius go to the exact weighted
-similarity of the shingle sets. RADIUS is over 4 standard deviations beyond the distance expected
-at the threshold.
+A window is similar enough to an item only if they share word shingles, so windows of an item's
+length that hold a shared shingle are slid over the text, except those whose shared shingles weigh
+too little to reach the similarity with any item of the length (an exact prefilter: it loses
+nothing). The 128-bit weighted SimHash of each window meets those of the items of its length
+through a multi-index: 128 bits are cut into BLOCKS of (bits, flips), and each block of an item
+stands there with all its neighbours of up to that many flipped bits. The flips plus one of all
+blocks add up to more than RADIUS, so two fingerprints within RADIUS bits meet in a block at least;
+of unrelated ones about 8 in 100 do. Fingerprints within the radius go to the exact weighted
+similarity of the shingle sets. At a similarity of 0.8 the expected distance is 20 bits and its
+standard deviation 4, so RADIUS finds about 97 of 100 windows right at the threshold and all but
+few of those a little above.
+
+Texts are told apart by SHA-256, so rows are judged one by one whatever their ids are, and equal
+texts are looked at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import stored
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 38
-#: Items up to which their tables are broadcast; beyond, all joins shuffle.
-BROADCAST_ITEMS = 20_000
-_BITS = [128 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 28
+#: Bits of each block of the multi-index, and flipped bits up to which neighbours stand there.
+BLOCKS = ((16, 3), (16, 3), *((14, 2),) * 5, *((13, 2),) * 2)
+#: Bytes up to which a table that grows with the benchmark or its finds is broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 48 << 20
+KEY = "__text_key"
+
+
+def text_key(text: Column) -> Column:
+    """What tells texts apart; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _side(df: DataFrame, row_bytes: int):
+    """The hint for a stored table, by its size."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:
@@ -33,17 +54,20 @@ def shingles(w: Column, width: Column | int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """128 bits as array(long, long): of each bit, whether most of the hashes have it."""
+def simhash(hashes: Column, weights: Column) -> Column:
+    """128 bits as array(long, long): of each bit, whether the hashes that have it outweigh the others; a hash votes with the root of its weight."""
+    votes = F.transform(F.arrays_zip(hashes.alias("h"), weights.alias("w")), lambda x: F.struct(x["h"].alias("h"), F.sqrt(x["w"]).alias("w")))
+
+    def half(seed: int) -> Column:
+        voting = votes if not seed else F.transform(votes, lambda x: F.struct(F.xxhash64(x["h"], F.lit(seed)).alias("h"), x["w"].alias("w")))
 
-    def half(h: Column) -> Column:
         def bit(acc: Column, b: Column) -> Column:
-            votes = F.aggregate(h, F.lit(0), lambda s, x: s + F.call_function("getbit", x, b).cast("int") * 2 - 1)
-            return acc.bitwiseOR(F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+            sum_ = F.aggregate(voting, F.lit(0.0), lambda s, x: s + (F.call_function("getbit", x["h"], b).cast("int") * 2 - 1) * x["w"])
+            return acc.bitwiseOR(F.when(sum_ > 1e-9, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
-    return F.array(half(hashes), half(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(1)))))
+    return F.array(half(0), half(1))
 
 
 def blocks(fingerprint: Column) -> Column:
@@ -58,7 +82,22 @@ def blocks(fingerprint: Column) -> Column:
                 out = out.bitwiseOR(F.shiftleft(part, a - lo))
         return out
 
-    return F.array(*(F.struct(F.lit(k).alias("block"), bits(lo, hi).alias("bits")) for k, (lo, hi) in enumerate(zip(_BITS, _BITS[1:], strict=False))))
+    ends = [sum(n for n, _ in BLOCKS[: k + 1]) for k in range(len(BLOCKS))]
+    return F.array(*(F.struct(F.lit(k).alias("block"), bits(end - BLOCKS[k][0], end).alias("bits")) for k, end in enumerate(ends)))
+
+
+def flips(spark: SparkSession) -> DataFrame:
+    """(block, flip): the bit masks of each block's neighbours, itself included; about 2,100 rows."""
+    masks = [(k, sum(1 << b for b in chosen)) for k, (n, most) in enumerate(BLOCKS) for m in range(most + 1) for chosen in combinations(range(n), m)]
+    return spark.createDataFrame(masks, "block int, flip long")
+
+
+def meeting(windows: DataFrame, items: DataFrame, on: list[str]) -> DataFrame:
+    """The rows (on, window columns, own_fp) with the items (on, item, fp) that share a block, once each."""
+    near = items.select(*on, "item", F.explode(blocks(F.col("fp"))).alias("b")).select(*on, "item", "b.*").join(F.broadcast(flips(items.sparkSession)), "block")
+    near = near.select(*on, "item", "block", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    own = windows.select("*", F.explode(blocks(F.col("own_fp"))).alias("b")).select(*windows.columns, "b.*")
+    return own.join(near, [*on, "block", "bits"]).drop("block", "bits")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -66,7 +105,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def _promising(seeds: DataFrame, similarity: float) -> DataFrame:
-    """(id, n, width, length, start): the windows that can be similar enough, by their shared shingles.
+    """(key, n, width, length, start, hits): the windows that can be similar enough, by their shared shingles.
 
     Of a window similar enough to an item, the shared shingles weigh `similarity` of the item at least,
     and similarity / (1 - similarity) for each shingle that is the window's own. Places are dealt into
@@ -75,7 +114,7 @@ def _promising(seeds: DataFrame, similarity: float) -> DataFrame:
     piece = F.floor(F.col("at") / F.col("length")).cast("int")
     dealt = seeds.withColumn("piece", F.explode(F.array_distinct(F.array(piece, F.greatest(piece - 1, F.lit(0))))))
     hit = F.struct("at", "h", "weight")
-    held = dealt.groupBy("id", "n", "width", "length", "piece").agg(F.collect_set(hit).alias("hits"), F.min("least").alias("least"))
+    held = dealt.groupBy("key", "n", "width", "length", "piece").agg(F.collect_set(hit).alias("hits"), F.min("least").alias("least"))
     span = F.col("length") - F.col("width")  # from a window's first shingle to its last
     last = F.greatest(F.lit(0), F.col("n") - F.col("length"))
     total = lambda hits: F.aggregate(F.array_distinct(F.transform(hits, lambda x: F.struct(x["h"].alias("h"), x["weight"].alias("weight")))), F.lit(0.0), lambda s, x: s + x["weight"])
@@ -88,61 +127,74 @@ def _promising(seeds: DataFrame, similarity: float) -> DataFrame:
     places = F.least(span + 1, F.col("n") - F.col("width") + 1)
     shared = total(F.col("hits"))
     own = F.when(F.size(F.array_distinct(F.transform("hits", lambda x: x["at"]))) < places, F.lit(similarity / (1 - similarity) if similarity < 1 else float("inf"))).otherwise(F.lit(0.0))
-    return inside.where((F.size("hits") > 0) & (shared >= F.greatest("least", own) - 1e-9)).select("id", "n", "width", "length", "start").distinct()
+    return inside.where((F.size("hits") > 0) & (shared >= F.greatest("least", own) - 1e-9)).select("key", "width", "length", "start", "hits").dropDuplicates(["key", "width", "length", "start"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, item_id, start, length, similarity): each item that a document holds, with its most similar window.
-
-    Similarity is the weight of the shared shingles over that of all, of the sets of shingles of
-    `width` words; a shingle of the item weighs one over the number of items that have it, others 1.
-    An item of fewer words is one shingle. Items without words (null or empty) match nothing, empty
-    documents hold nothing, repeated rows of an id count as one, null ids are one id. Windows at a
-    document's end are as short as it is. Other columns are left out. Of equally similar windows
-    the first is returned.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, similarity: float) -> DataFrame:
+    """(key, item, start, length, similarity): each item that a text holds, with its most similar window, by text."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0).withColumn("length", F.size("w")).withColumn("width", F.least(F.lit(width), "length"))
-    items = items.withColumn("by_place", shingles(F.col("w"), F.col("width"))).withColumn("hashes", F.array_distinct("by_place"))
+    items = items.withColumn("hashes", F.array_distinct(shingles(F.col("w"), F.col("width"))))
     weights = items.select("width", F.explode("hashes").alias("h")).groupBy("width", "h").agg((1 / F.count("*")).alias("weight"))
-    table = items.select("item", "width", F.explode("hashes").alias("h")).join(weights, ["width", "h"]).groupBy("item", "width").agg(F.map_from_entries(F.collect_list(F.struct("h", "weight"))).alias("weight"))
-    items = stored(items.join(table, ["item", "width"]).withColumn("fp", simhash(F.col("hashes"))).select("item", "length", "width", "by_place", "hashes", "weight", "fp"), "items")
-    small = items.count() <= BROADCAST_ITEMS
-    side = F.broadcast if small else (lambda df: df)
+    held = items.select("item", "width", F.explode("hashes").alias("h")).join(weights, ["width", "h"]).groupBy("item", "width").agg(F.map_from_entries(F.collect_list(F.struct("h", "weight"))).alias("weight"))
+    items = items.join(held, ["item", "width"]).withColumn("fp", simhash(F.col("hashes"), F.transform("hashes", lambda h: F.element_at("weight", h))))
+    items = stored(items.select("item", "length", "width", "hashes", "weight", "fp"), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # as many as `width` at most
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    if not widths:
+        return texts.select("key", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0.0).alias("similarity")).limit(0)
 
     # by width, length and shingle: its weight, and the least weight that a window shares with an item of the length
     weigh = F.aggregate("hashes", F.lit(0.0), lambda s, x: s + F.element_at("weight", x))
     known = items.withColumn("sum", weigh).select("width", "length", "sum", F.explode("weight").alias("h", "weight")).groupBy("width", "length", "h").agg(F.first("weight").alias("weight"))
-    known = stored(known.join(items.withColumn("sum", weigh).groupBy("width", "length").agg((similarity * F.min("sum")).alias("least")), ["width", "length"]), "known")
-    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    seeds = None
+    known = _side(stored(known.join(items.withColumn("sum", weigh).groupBy("width", "length").agg((similarity * F.min("sum")).alias("least")), ["width", "length"]), "known"), 64)
+    rows, seeds = texts.select("key", words(F.col("text")).alias("w")), None
     for n in widths:
-        here = rows.select("id", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h")).join(side(known.where(F.col("width") == n).drop("width")), "h")
-        here = here.select("id", "n", F.lit(n).alias("width"), "length", "at", "h", "weight", "least")
+        here = rows.select("key", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h")).join(known.where(F.col("width") == n).drop("width"), "h")
+        here = here.select("key", "n", F.lit(n).alias("width"), "length", "at", "h", "weight", "least")
         seeds = here if seeds is None else seeds.union(here)
-    if seeds is None:
-        return docs.select(F.col(id_col), F.lit(None).cast(items.schema["item"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0.0).alias("similarity")).limit(0)
     windows = stored(_promising(seeds, similarity), "windows")
-    found = windows.groupBy("id", "n").agg(F.collect_list(F.struct("width", "length", "start")).alias("windows")).withColumnsRenamed({"id": "of", "n": "size"})
-    texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    cut = texts.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.size("w") == F.col("size"))).select("id", "w", F.explode("windows").alias("x")).select("id", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w"))
+    found = windows.groupBy("key").agg(F.collect_list(F.struct("width", "length", "start", "hits")).alias("windows"))  # of one text
+    found = F.broadcast(found) if (windows.agg(F.sum(120 + 24 * F.size("hits"))).first()[0] or 0) <= BROADCAST_BYTES else found
+    cut = texts.join(found, "key").select("key", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
+    cut = cut.select("key", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w")).dropDuplicates(["key", "width", "length", "start"])  # of equal texts once
     cut = cut.withColumn("own", F.array_distinct(shingles(F.col("w"), F.col("width")))).where(F.size("own") > 0)
-    cut = stored(cut.withColumn("own_fp", simhash(F.col("own"))).select("id", "width", "length", "start", "own", "own_fp"), "fingerprints")
-    index = items.select("item", "width", "length", F.explode(blocks(F.col("fp"))).alias("b")).select("item", "width", "length", "b.*")
-    near = cut.select("id", "width", "length", "start", F.explode(blocks(F.col("own_fp"))).alias("b")).select("id", "width", "length", "start", "b.*").join(side(index), ["width", "length", "block", "bits"])
-    near = near.select("id", "width", "length", "start", "item").distinct()
-    on = lambda c: F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) if c == "id" else F.col(f"p.{c}") == F.col(f"q.{c}")
-    both = near.alias("p").join(cut.alias("q"), on("id") & on("width") & on("length") & on("start")).select("p.*", "own", "own_fp").join(side(items.select("item", "hashes", "weight", "fp")), "item")
+    of = F.map_from_entries(F.array_distinct(F.transform("hits", lambda x: F.struct(x["h"], x["weight"]))))
+    cut = cut.withColumn("shared", of).withColumn("own_fp", simhash(F.col("own"), F.transform("own", lambda h: F.coalesce(F.try_element_at("shared", h), F.lit(1.0)))))
+    cut = stored(cut.select("key", "width", "length", "start", "own", "own_fp"), "fingerprints")
+    met = meeting(cut.drop("own"), items.select("item", "width", "length", "fp"), ["width", "length"]).distinct()
+    both = met.join(cut.drop("own_fp"), ["key", "width", "length", "start"]).join(items.select("item", "hashes", "weight", "fp"), "item")
     both = both.where(distance(F.col("fp"), F.col("own_fp")) <= RADIUS)
     total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at("weight", x), F.lit(1.0)))
     both = both.withColumn("similarity", total(F.array_intersect("own", "hashes")) / total(F.array_union("own", "hashes"))).where(F.col("similarity") >= similarity)
-    best = both.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), (-F.col("b.back")).alias("start"), F.col("b.length").alias("length"), F.col("b.similarity").alias("similarity"))
+    best = both.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("b"))
+    return best.select("key", "item", (-F.col("b.back")).alias("start"), F.col("b.length").alias("length"), F.col("b.similarity").alias("similarity"))
+
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, item_id, start, length, similarity): each item that a row of `docs` holds, with its most similar window.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    Similarity is the weight of the shared shingles over that of all, of the sets of shingles of
+    `width` words; a shingle of the item weighs one over the number of items that have it, others 1.
+    An item of fewer words is one shingle. Items without words (null or empty) match nothing, empty
+    documents hold nothing. Rows are judged one by one, so ids may repeat or be null. Windows at a
+    document's end are as short as it is. Other columns are left out. Of equally similar windows
+    the first is returned.
+    """
+    leaks = _leaks(docs, benchmark, text_col, item_col, item_text_col, width, similarity).withColumnRenamed("item", "item_id")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
+    return rows.join(leaks, "key").select(F.col("id").alias(id_col), "item_id", "start", "length", "similarity")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: (id, contaminated boolean, item_ids array, similarity double)."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options)
-    by_doc = leaks.groupBy(F.col(id_col).alias("hit")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
-    out = docs.select(F.col(id_col).alias("id")).join(by_doc, F.col("id").eqNullSafe(F.col("hit")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("similarity").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast(by_doc.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    leaks = _leaks(docs, benchmark, text_col, item_col, item_text_col, width, similarity)
+    by_text = leaks.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("similarity").alias("best"))
+    out = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key")).join(_side(stored(by_text, "leaks"), 200), "key", "left")
+    none = F.array().cast(by_text.schema["item_ids"].dataType)
+    return out.select(F.col("id").alias(id_col), F.col("best").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("best", F.lit(0.0)).alias("similarity"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` that hold no item, with all their columns."""
+    leaks = stored(_leaks(docs, benchmark, text_col, item_col, item_text_col, width, similarity).select(F.col("key").alias(KEY)).distinct(), "leaks")
+    return docs.withColumn(KEY, text_key(F.col(text_col))).join(_side(leaks, 100), KEY, "left_anti").drop(KEY)
