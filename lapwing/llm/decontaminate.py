@@ -48,26 +48,37 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column, width: Column | int) -> Column:
-    """Hashes of the runs of `width` words, by position; none if there are fewer words."""
-    width = F.lit(width) if isinstance(width, int) else width
-    return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(F.array().cast("array<bigint>"))
+def shingles(w: Column, width: int) -> Column:
+    """Hashes of the runs of `width` words, by position; none if there are fewer words. `w` must be a column of its own, not an expression."""
+    run = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width)))
+    return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column, weights: Column) -> Column:
-    """128 bits as array(long, long): of each bit, whether the hashes that have it outweigh the others; a hash votes with the root of its weight."""
-    votes = F.transform(F.arrays_zip(hashes.alias("h"), weights.alias("w")), lambda x: F.struct(x["h"].alias("h"), F.sqrt(x["w"]).alias("w")))
+def _own_shingles(df: DataFrame, widths: list[int]) -> DataFrame:
+    """Rows (width, w, ...) with `hashes`, the distinct shingles of their width."""
+    by_width = F.coalesce(*(F.when(F.col("width") == n, shingles(F.col("w"), n)) for n in widths))
+    return df.withColumn("hashes", F.array_distinct(by_width))
 
-    def half(seed: int) -> Column:
-        voting = votes if not seed else F.transform(votes, lambda x: F.struct(F.xxhash64(x["h"], F.lit(seed)).alias("h"), x["w"].alias("w")))
 
-        def bit(acc: Column, b: Column) -> Column:
-            sum_ = F.aggregate(voting, F.lit(0.0), lambda s, x: s + (F.call_function("getbit", x["h"], b).cast("int") * 2 - 1) * x["w"])
-            return acc.bitwiseOR(F.when(sum_ > 1e-9, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+def simhash(votes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fp array(long, long)) of rows (by, h, weight): 128 bits, of each whether the hashes that have it outweigh the others.
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    A hash votes with the root of its weight, so fingerprints differ by the angle that the weighted
+    similarity has. Sums of two bits share a long (32 bits each; roots count 256 at weight 1).
+    """
+    lanes, low = (1 << 32) | 1, (1 << 32) - 1
+    cast = votes.withColumn("vote", F.greatest(F.round(F.sqrt("weight") * 256).cast("long"), F.lit(1))).withColumn("h1", F.xxhash64("h", F.lit(1)))
+    sums = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(lanes)) * F.col("vote")).alias(f"{h}_{k}") for h in ("h", "h1") for k in range(32)]
+    summed = cast.groupBy(*by).agg(F.sum("vote").alias("all"), *sums)
 
-    return F.array(half(0), half(1))
+    def half(h: str) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(32):
+            for at, part in ((k, F.col(f"{h}_{k}").bitwiseAND(F.lit(low))), (k + 32, F.shiftrightunsigned(f"{h}_{k}", 32))):
+                out = out.bitwiseOR(F.when(part * 2 > F.col("all"), F.shiftleft(F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return summed.select(*by, F.array(half("h"), half("h1")).alias("fp"))
 
 
 def blocks(fingerprint: Column) -> Column:
@@ -105,10 +116,11 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def _promising(seeds: DataFrame, similarity: float) -> DataFrame:
-    """(key, n, width, length, start, hits): the windows that can be similar enough, by their shared shingles.
+    """(key, width, length, start): the windows that can be similar enough, by their shared shingles.
 
     Of a window similar enough to an item, the shared shingles weigh `similarity` of the item at least,
-    and similarity / (1 - similarity) for each shingle that is the window's own. Places are dealt into
+    and similarity / (1 - similarity) of each shingle that is the window's own; both weigh `similarity`
+    of the union. Places are dealt into
     pieces of a window's length; a window lies in two pieces next to each other, so no array is longer.
     """
     piece = F.floor(F.col("at") / F.col("length")).cast("int")
@@ -126,43 +138,44 @@ def _promising(seeds: DataFrame, similarity: float) -> DataFrame:
     inside = held.withColumn("hits", F.filter("hits", lambda x: (x["at"] >= F.col("start")) & (x["at"] <= F.col("start") + span)))
     places = F.least(span + 1, F.col("n") - F.col("width") + 1)
     shared = total(F.col("hits"))
-    own = F.when(F.size(F.array_distinct(F.transform("hits", lambda x: x["at"]))) < places, F.lit(similarity / (1 - similarity) if similarity < 1 else float("inf"))).otherwise(F.lit(0.0))
-    return inside.where((F.size("hits") > 0) & (shared >= F.greatest("least", own) - 1e-9)).select("key", "width", "length", "start", "hits").dropDuplicates(["key", "width", "length", "start"])
+    own = F.when(F.size(F.array_distinct(F.transform("hits", lambda x: x["at"]))) < places, F.lit(1.0)).otherwise(F.lit(0.0))  # at least so many
+    least = F.greatest(F.col("least") + similarity * own, own * (similarity / (1 - similarity) if similarity < 1 else float(1 << 60)))
+    return inside.where((F.size("hits") > 0) & (shared >= least - 1e-9)).select("key", "width", "length", "start").distinct()
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, similarity: float) -> DataFrame:
     """(key, item, start, length, similarity): each item that a text holds, with its most similar window, by text."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0).withColumn("length", F.size("w")).withColumn("width", F.least(F.lit(width), "length"))
-    items = items.withColumn("hashes", F.array_distinct(shingles(F.col("w"), F.col("width"))))
-    weights = items.select("width", F.explode("hashes").alias("h")).groupBy("width", "h").agg((1 / F.count("*")).alias("weight"))
-    held = items.select("item", "width", F.explode("hashes").alias("h")).join(weights, ["width", "h"]).groupBy("item", "width").agg(F.map_from_entries(F.collect_list(F.struct("h", "weight"))).alias("weight"))
-    items = items.join(held, ["item", "width"]).withColumn("fp", simhash(F.col("hashes"), F.transform("hashes", lambda h: F.element_at("weight", h))))
-    items = stored(items.select("item", "length", "width", "hashes", "weight", "fp"), "items")
+    items = stored(items.withColumn("row", F.monotonically_increasing_id()), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # as many as `width` at most
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     if not widths:
         return texts.select("key", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0.0).alias("similarity")).limit(0)
 
+    items = stored(_own_shingles(items, widths).drop("w"), "items")
+    parts = items.select("row", "width", "length", F.explode("hashes").alias("h"))
+    weights = stored(parts.groupBy("width", "h").agg((1 / F.count("*")).alias("weight")), "weights")
+    parts = stored(parts.join(weights, ["width", "h"]), "parts")
+    held = parts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("h", "weight"))).alias("weight"), F.sum("weight").alias("sum"))  # of one item
+    items = stored(items.join(held, "row").join(simhash(parts, ["row"]), "row"), "fingerprints")
+
     # by width, length and shingle: its weight, and the least weight that a window shares with an item of the length
-    weigh = F.aggregate("hashes", F.lit(0.0), lambda s, x: s + F.element_at("weight", x))
-    known = items.withColumn("sum", weigh).select("width", "length", "sum", F.explode("weight").alias("h", "weight")).groupBy("width", "length", "h").agg(F.first("weight").alias("weight"))
-    known = _side(stored(known.join(items.withColumn("sum", weigh).groupBy("width", "length").agg((similarity * F.min("sum")).alias("least")), ["width", "length"]), "known"), 64)
+    least = items.groupBy("width", "length").agg((similarity * F.min("sum")).alias("least"))
+    known = _side(stored(parts.select("width", "length", "h", "weight").distinct().join(least, ["width", "length"]), "known"), 64)
     rows, seeds = texts.select("key", words(F.col("text")).alias("w")), None
     for n in widths:
         here = rows.select("key", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), n)).alias("at", "h")).join(known.where(F.col("width") == n).drop("width"), "h")
         here = here.select("key", "n", F.lit(n).alias("width"), "length", "at", "h", "weight", "least")
         seeds = here if seeds is None else seeds.union(here)
     windows = stored(_promising(seeds, similarity), "windows")
-    found = windows.groupBy("key").agg(F.collect_list(F.struct("width", "length", "start", "hits")).alias("windows"))  # of one text
-    found = F.broadcast(found) if (windows.agg(F.sum(120 + 24 * F.size("hits"))).first()[0] or 0) <= BROADCAST_BYTES else found
+    found = _side(stored(windows.groupBy("key").agg(F.collect_list(F.struct("width", "length", "start")).alias("windows")), "found"), 200)  # windows of one text
     cut = texts.join(found, "key").select("key", words(F.col("text")).alias("w"), F.explode("windows").alias("x"))
-    cut = cut.select("key", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w")).dropDuplicates(["key", "width", "length", "start"])  # of equal texts once
-    cut = cut.withColumn("own", F.array_distinct(shingles(F.col("w"), F.col("width")))).where(F.size("own") > 0)
-    of = F.map_from_entries(F.array_distinct(F.transform("hits", lambda x: F.struct(x["h"], x["weight"]))))
-    cut = cut.withColumn("shared", of).withColumn("own_fp", simhash(F.col("own"), F.transform("own", lambda h: F.coalesce(F.try_element_at("shared", h), F.lit(1.0)))))
-    cut = stored(cut.select("key", "width", "length", "start", "own", "own_fp"), "fingerprints")
-    met = meeting(cut.drop("own"), items.select("item", "width", "length", "fp"), ["width", "length"]).distinct()
-    both = met.join(cut.drop("own_fp"), ["key", "width", "length", "start"]).join(items.select("item", "hashes", "weight", "fp"), "item")
+    cut = cut.select("key", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w")).dropDuplicates(by := ["key", "width", "length", "start"])  # of equal texts once
+    cut = stored(_own_shingles(cut, widths).select(*by, F.col("hashes").alias("own")), "cut")
+    votes = cut.select(*by, F.explode("own").alias("h")).join(_side(weights, 64), ["width", "h"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    prints = stored(simhash(votes, by).withColumnRenamed("fp", "own_fp"), "fingerprints")
+    met = meeting(prints, items.select(F.col("row").alias("item"), "width", "length", "fp"), ["width", "length"]).distinct().withColumnRenamed("item", "row")
+    both = met.join(cut, by).join(items.select("row", "item", "hashes", "weight", "fp"), "row")
     both = both.where(distance(F.col("fp"), F.col("own_fp")) <= RADIUS)
     total = lambda hashes: F.aggregate(hashes, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at("weight", x), F.lit(1.0)))
     both = both.withColumn("similarity", total(F.array_intersect("own", "hashes")) / total(F.array_union("own", "hashes"))).where(F.col("similarity") >= similarity)
