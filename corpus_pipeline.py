@@ -1,8 +1,8 @@
 """A training corpus from `documents`: toxic rows out, exact and near copies out, benchmark leaks out, encoded.
 
-Each stage is written and read again before the next. Decisions are by row: what dedup and
-decontamination read gets a key for each row, stored with it, so ids may repeat or be null; doc_id
-only orders the rows of a group.
+Each stage is written and read again before the next. Decisions are by row: what dedup reads gets a
+key for each row, stored with it, and decontamination judges texts, so ids may repeat or be null;
+doc_id only orders the rows of a group.
 """
 
 from __future__ import annotations
@@ -53,8 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    docs = numbered(docs)
-    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=ROW))
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
