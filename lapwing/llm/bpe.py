@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and words that a task remembers at most, and characters that it handles at once.
-MEMO, CHARS = 400_000, 6_000_000
+#: Bytes of pieces that a task remembers at most, characters that it handles at once, and bytes of decoded texts in a batch.
+MEMO_BYTES, CHARS, BATCH_BYTES = 48 << 20, 1_500_000, 32 << 20
 #: White_Space of Unicode.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -181,23 +181,29 @@ UNSTABLE = re.compile(r" \s|\A\s"), re.compile(r"\s |\s\Z")
 class Pieces:
     """Cuts texts at stable boundaries and remembers what each piece gives."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = MEMO_BYTES) -> None:
         self.body: dict[str, object] = {}  # by pieces that follow a space
         self.head: dict[str, object] = {}  # by pieces that begin a text
+        self.most, self.held = most, 0
 
     def cut(self, text: str) -> list[str]:
         """Pieces between stable boundaries, each but the first without the space before it."""
         return STABLE.split(text) if any(u.search(text) for u in UNSTABLE) else text.split(" ")
 
     def learn(self, cuts: list[list[str]], values: Callable[[list[str]], Iterable]) -> None:
-        """Remembers the pieces not seen before, with the values of their texts."""
-        for memo in (self.body, self.head):
-            if len(memo) > MEMO:
-                memo.clear()
-        body = set()
+        """Remembers the pieces not seen before, with the values of their texts; forgets all others first if they would be too many bytes together."""
+        body: set[str] = set()
         for c in cuts:
             body.update(c[1:])
-        for memo, keys, space in ((self.body, body, " "), (self.head, {c[0] for c in cuts}, "")):
+        head = {c[0] for c in cuts}
+        cost = lambda pieces: sum(map(len, pieces)) * 6 + 250 * len(pieces)  # noqa: E731  of a text, its value and their place
+        added = cost(body - self.body.keys()) + cost(head - self.head.keys())
+        if self.held and self.held + added > self.most:
+            self.body.clear()
+            self.head.clear()
+            self.held, added = 0, cost(body) + cost(head)
+        self.held += added
+        for memo, keys, space in ((self.body, body, " "), (self.head, head, "")):
             new = list(keys - memo.keys())
             memo.update(zip(new, values([space + p for p in new]), strict=True))
 
@@ -276,16 +282,27 @@ def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab if "/" in vocab else vocabulary_path(vocab))
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                ids = np.asarray(ids.values, np.int64) if ids.is_valid else np.empty(0, np.int64)
-                texts.append(b"".join(_bytes(v, ids[k : k + 500_000]) for k in range(0, len(ids), 500_000)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            start, held, texts = 0, 0, []
+            for k, ids in enumerate(batch.column("ids")):
+                ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.empty(0, np.int32)
+                text = b"".join(_bytes(v, ids[k : k + 500_000]) for k in range(0, len(ids), 500_000)).decode("utf-8", "replace")
+                size = 4 * len(text) if not text.isascii() else len(text)
+                if texts and held + size > BATCH_BYTES:  # an array of strings holds 2 GB at most
+                    yield _decoded(batch.slice(start, len(texts)), texts)
+                    start, held, texts = k, 0, []
+                texts.append(text)
+                held += size
+            if texts:
+                yield _decoded(batch.slice(start, len(texts)), texts)
 
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
     return out.select(F.col("id").alias(id_col), "ids", "decoded")
 
 
+def _decoded(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+
+
 def _bytes(v: Vocabulary, ids: np.ndarray) -> bytes:
     size = v.lengths[ids]
     upto = np.cumsum(size)

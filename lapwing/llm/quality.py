@@ -24,7 +24,7 @@ from lapwing.llm.bpe import portions
 from lapwing.llm.common import sample_by_hash, stored
 
 #: Buckets of the hashed model, documents that it learns from at most, and pieces that a task remembers.
-BUCKETS, SAMPLE, MEMO = 512, 10_000, 400_000
+BUCKETS, SAMPLE, MEMO = 512, 10_000, 150_000
 LABELLERS = ("symbols", "capitals", "repeats", "variety", "tables", "plain words", "plain pairs", "letters", "sentences")
 SYMBOLS = frozenset("#$%&*@^~=+<>\\_{}[]")
 _LETTERS, _DIGITS, _AGAIN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1{2,}")
@@ -71,9 +71,9 @@ class Describer:
         """Votes, and the hashed features as indices and values."""
         pieces = text.split()
         n = len(pieces)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         distinct = set(pieces)
+        if len(self.memo) + len(distinct) > MEMO:
+            self.memo.clear()
         for p in distinct.difference(self.memo):
             self.memo[p] = shape(p)
         counts = Counter(map(self.memo.__getitem__, pieces))

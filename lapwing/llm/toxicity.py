@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.bpe import portions
-from lapwing.llm.common import stored
+from lapwing.llm.common import sample_by_hash, stored
 
 #: Labelled rows that the lexicon is learned from at most, and lengths of a stem.
 SAMPLE, STEM = 10_000, (3, 9)
 #: Shortest entry that also matches misspelled, words in a window on each side, and words remembered.
-FUZZY, WINDOW, MEMO = 5, 6, 400_000
+FUZZY, WINDOW, MEMO = 5, 6, 150_000
 #: Chance of a false entry that learning allows for.
 LEVEL = 0.02
 #: Marks and words of quotation.
@@ -212,6 +212,9 @@ class Scorer:
         """What describes the hits, terms found, and hits that are quotations."""
         pieces = text.lower().split()
         distinct = set(pieces)
+        if len(self.clean) + len(self.hot) + len(distinct) > MEMO:
+            self.clean.clear()
+            self.hot.clear()
         for p in distinct - self.clean:
             if p not in self.hot:
                 hit = self._hit(p)
@@ -219,8 +222,6 @@ class Scorer:
                     self.hot[p] = hit
                 else:
                     self.clean.add(p)
-        if len(self.clean) > MEMO:
-            self.clean.clear()
         found = distinct & self.hot.keys()
         strength, quoted, terms = 0.0, 0, set()
         at = [k for k, p in enumerate(pieces) if p in found] if found else []
@@ -267,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Null labels and ids are left out; with no labelled rows of both kinds the lexicon is empty.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = known.where(F.col("id").isNotNull() & ~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = sample_by_hash(stored(known.where(F.col("id").isNotNull() & ~held_out(F.col("id"))), "labels"), F.col("id"), sample)
     rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "label"), "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
