@@ -1,12 +1,13 @@
 """A training corpus from `documents`: toxic rows out, exact and near copies out, benchmark leaks out, encoded.
 
 Each stage is written and read again before the next. Decisions are by row: what dedup reads gets a
-key for each row, stored with it, and decontamination judges texts, so ids may repeat or be null;
-doc_id only orders the rows of a group.
+key for each row and decontamination judges texts, so ids may repeat or be null; doc_id only orders
+the rows of a group.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,18 @@ from lapwing.llm.common import stored, table
 
 #: Rows' keys that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-ROW = "__row"
+ROW, FILE = "__row", "__file"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a key of its own for each row, stored with it."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """`docs` with a key of its own for each row: its place in the stored table, or, of other tables, a number stored with a copy."""
+    try:
+        placed = docs.withColumns({FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+    except AnalysisException:  # no plain read of files
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    files = sorted(r[0] for r in placed.select(FILE).distinct().collect())  # one of each file of the table
+    numbers = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"{FILE} string, __first long")
+    return placed.join(F.broadcast(numbers), FILE).withColumn(ROW, F.col("__first") + F.col(ROW)).drop(FILE, "__first")
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
