@@ -150,8 +150,20 @@ def range_change(t: Column, a: Along, start: float, end: float) -> Column:
     return flag(inside & ~F.coalesce(F.lag(inside).over(a.rows), F.lit(False)))
 
 
-def edge_delay(v: Column, a: Along, samples: int) -> Column:
-    return F.coalesce(F.lag(v, samples).over(a.rows), F.lit(0.0))
+def edge_delay(v: Column, a: Along, samples: int, mode: int = -1) -> Column:
+    """The flags of a signal, delayed by `samples`: 0 moves the rising edges, 1 the falling ones, other modes the whole signal.
+
+    With moved edges the flag is up while the last rising edge, as moved, lies after the last falling
+    one. NULL counts as down.
+    """
+    up = F.coalesce(truth(v), F.lit(False))
+    if samples <= 0:
+        return flag(up)
+    if mode not in (0, 1):
+        return flag(F.coalesce(F.lag(up, samples).over(a.rows), F.lit(False)))
+    was, place = F.coalesce(F.lag(up).over(a.rows), F.lit(False)), F.row_number().over(a.rows)
+    latest = lambda edge, later: F.coalesce(F.max(F.when(edge, place + later)).over(a.upto), F.lit(0))
+    return flag(latest(up & ~was, samples if mode == 0 else 0) > latest(~up & was, samples if mode == 1 else 0))
 
 
 def fill_gaps(v: Column, a: Along) -> Column:

@@ -78,18 +78,23 @@ def decode(frames: DataFrame, signals: list) -> DataFrame:
 
     `signals` are the collected rows of a DBC (a few thousand at most). Each signal is one expression
     over its frames; multiplexed ones ask for the selector's branch. A signal in several messages
-    carries its message's name.
+    carries its message's name. A frame belongs to the message of its id and format; where only the
+    other format has its id, to that.
     """
     names = [s["signal"] for s in signals]
     by_id: dict = {}
     for s in signals:
         by_id.setdefault((s["frame_id"], s["extended"]), []).append(s)
     values = []
-    for (frame_id, _), group in by_id.items():
+    own_format = F.coalesce(F.col("extended"), F.lit(False))
+    for (frame_id, extended), group in by_id.items():
+        of_message = F.col("frame_id") == frame_id
+        if (frame_id, not extended) in by_id:
+            of_message &= own_format == bool(extended)
         selector = next((s for s in group if s["mux_role"] == "M"), None)
         for s in group:
             v = physical(raw_value(F.col("payload"), s["start_bit"], s["length"], s["big_endian"], s["signed"]), s["factor"], s["offset"])
-            mine = F.col("frame_id") == frame_id
+            mine = of_message
             if s["mux_role"] == "m" and selector is not None:
                 mine &= raw_value(F.col("payload"), selector["start_bit"], selector["length"], selector["big_endian"]) == s["mux_branch"]
             name = s["signal"] if names.count(s["signal"]) == 1 else f"{s['message']}.{s['signal']}"

@@ -66,7 +66,8 @@ def break_aware_decimate(classified: DataFrame, step: int) -> DataFrame:
 def unwrap(angle: Column, key: str = "session_id", order: str = "i") -> Column:
     """Step of an angle with its turns taken out: sum it along the session for the unwrapped angle."""
     d = angle - F.lag(angle).over(Window.partitionBy(key).orderBy(order))
-    return F.coalesce(d - 2 * F.pi() * F.floor((d + F.pi()) / (2 * F.pi())), F.lit(0.0))
+    step = d - 2 * F.pi() * F.floor((d + F.pi()) / (2 * F.pi()))
+    return F.coalesce(F.when((step == -F.pi()) & (d > 0), F.pi()).otherwise(step), F.lit(0.0))  # half a turn keeps its sign
 
 
 def gradient(v: Column, at: Column) -> Column:
@@ -77,18 +78,47 @@ def gradient(v: Column, at: Column) -> Column:
 
 
 def curvature(path: DataFrame) -> DataFrame:
-    """Adds curvature, the change of heading per metre; 0 where hardly anything is driven."""
-    p = path.withColumn("gx", F.coalesce(F.lead("x").over(_rows()), F.col("x")) - F.coalesce(F.lag("x").over(_rows()), F.col("x"))).withColumn("gy", F.coalesce(F.lead("y").over(_rows()), F.col("y")) - F.coalesce(F.lag("y").over(_rows()), F.col("y")))
-    p = p.withColumn("turn", unwrap(F.atan2("gy", "gx"))).withColumn("step", F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows())))
-    return p.withColumn("curvature", F.when(F.col("step") > 0.05, F.abs(F.col("turn") / F.col("step"))).otherwise(0.0)).drop("gx", "gy", "turn", "step")
-
-
-def classify_track(path: DataFrame) -> DataFrame:
-    """runs, figure8 or circuit by the track's extent, the way driven over it and its turning."""
-    p = path.withColumn("step", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows())), F.lit(0.0)))
-    p = p.withColumn("turn", unwrap(F.atan2(F.col("y") - F.lag("y").over(_rows()), F.col("x") - F.lag("x").over(_rows()))))
-    g = p.groupBy("session_id").agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("diagonal"), F.sum("step").alias("path"), F.abs(F.sum("turn")).alias("net"), F.sum(F.abs("turn")).alias("gross"))
-    return g.withColumn("kind", F.when(F.col("path") < 2.5 * F.col("diagonal"), "runs").when(F.col("net") < 0.25 * F.col("gross"), "figure8").otherwise("circuit"))
+    """Adds curvature, the change of heading per metre; 0 where hardly anything is driven.
+
+    Heading, way and turn are central differences over the samples, one-sided at the ends.
+    """
+    first, last = F.lag("x").over(_rows()).isNull(), F.lead("x").over(_rows()).isNull()
+    sides = F.when(first | last, 1.0).otherwise(2.0)
+    per_sample = lambda c: (F.coalesce(F.lead(c).over(_rows()), F.col(c)) - F.coalesce(F.lag(c).over(_rows()), F.col(c))) / sides
+    p = path.withColumn("gx", per_sample("x")).withColumn("gy", per_sample("y")).withColumn("swing", unwrap(F.atan2("gy", "gx")))
+    turn = F.when(first, F.lead("swing").over(_rows())).when(last, F.col("swing")).otherwise((F.col("swing") + F.lead("swing").over(_rows())) / 2)
+    p = p.withColumn("turn", turn).withColumn("step", F.hypot("gx", "gy"))
+    return p.withColumn("curvature", F.when(F.col("step") > 0.05, F.abs(F.col("turn") / F.col("step"))).otherwise(0.0)).drop("gx", "gy", "swing", "turn", "step")
+
+
+#: Fixed values of the kinds of tracks: km/h from which a sample counts, samples, metres of extent, ways driven per extent, and shares of the sides.
+MOVING, ENOUGH, EXTENT, SMALL_TRACK = 8.0, 20, 15.0, 140.0
+REPEATS = {"once": 3.0, "to and fro": 18.0, "eight": 35.0}
+NARROW, SQUARE = 0.5, 0.65
+
+
+def classify_track(path: DataFrame, speed: str | None = None) -> DataFrame:
+    """runs, figure8 or circuit by the extent of what is driven, how often it is driven over and its proportions.
+
+    `speed` names a column in km/h; without one it is that of the step to each sample.
+    """
+    p = path
+    if speed is None:
+        own = F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows())) / (F.col("t") - F.lag("t").over(_rows())) * 3.6
+        p = p.withColumn("__speed", own).withColumn("__speed", F.coalesce("__speed", F.lead("__speed").over(_rows())))
+    p = p.where(F.col(speed or "__speed") > MOVING)
+    p = p.withColumn("step", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(_rows()), F.col("y") - F.lag("y").over(_rows())), F.lit(0.0)))
+    extent = lambda c: F.max(c) - F.min(c)
+    g = p.groupBy("session_id").agg(F.count("*").alias("samples"), extent("x").alias("wide"), extent("y").alias("high"), F.sum("step").alias("path"))
+    g = path.select("session_id").distinct().join(g, "session_id", "left").withColumn("diagonal", F.hypot("wide", "high"))
+    repeat, aspect = F.col("path") / F.col("diagonal"), F.least("wide", "high") / F.greatest("wide", "high", F.lit(1e-9))
+    still = (F.coalesce("samples", F.lit(0)) < ENOUGH) | (F.col("diagonal") < EXTENT)
+    kind = (
+        F.when(still, "runs").when(repeat < REPEATS["once"], "runs")
+        .when((F.col("diagonal") <= SMALL_TRACK) & (repeat >= REPEATS["eight"]) & (aspect >= SQUARE), "figure8")
+        .when((aspect < NARROW) & (repeat >= REPEATS["to and fro"]), "runs").otherwise("circuit")
+    )
+    return g.withColumn("kind", kind)
 
 
 def wrap_angle(a: Column) -> Column:

@@ -60,6 +60,6 @@ def repeat_to_master(native: DataFrame, master: DataFrame, factor: Column, n: Co
 
 
 def outer_on_time(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Full outer join of two series on times that are equal within the tolerance."""
-    key = lambda df, v: df.select("session_id", F.round(F.col("t") / tolerance).cast("long").alias("tick"), F.col("v").alias(v)).groupBy("session_id", "tick").agg(F.first(v).alias(v))
+    """Full outer join of two series on times that are equal within the tolerance; of several samples there the first."""
+    key = lambda df, v: df.select("session_id", "t", F.round(F.col("t") / tolerance).cast("long").alias("tick"), F.col("v").alias(v)).groupBy("session_id", "tick").agg(F.min_by(v, F.struct("t", v)).alias(v))
     return key(a, "a").join(key(b, "b"), ["session_id", "tick"], "full_outer").withColumn("t", F.col("tick") * tolerance)

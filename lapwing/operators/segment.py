@@ -164,28 +164,45 @@ def line_crossings(track: DataFrame, ax: float, ay: float, bx: float, by: float)
     return s.where(along.between(0, 1)).select("session_id", (F.col("t0") + F.col("f") * (F.col("t") - F.col("t0"))).alias("t"))
 
 
-def winding_laps(track: DataFrame) -> DataFrame:
-    """(session_id, turn, start_t): one lap per turn about the track's centre."""
+def winding_laps(track: DataFrame, shortest: float = 8.0) -> DataFrame:
+    """(session_id, turn, start_t, end_t, complete): laps by the turns about the track's centre, counter-clockwise.
+
+    A lap ends where another whole turn is first reached, more than `shortest` seconds after the last
+    such place; turns that are lost again by the end don't count. What comes before the first and after
+    the last place isn't complete, and a lap without duration is left out.
+    """
     c = Window.partitionBy("session_id")
     w = c.orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     a = track.withColumn("angle", F.atan2(F.col("y") - F.avg("y").over(c), F.col("x") - F.avg("x").over(c)))
     d = F.col("angle") - F.lag("angle").over(w)
-    a = a.withColumn("turned", F.coalesce(d - 2 * F.pi() * F.round(d / (2 * F.pi())), F.lit(0.0)))
-    a = a.withColumn("turn", F.floor(F.abs(F.sum("turned").over(w.rowsBetween(Window.unboundedPreceding, 0))) / (2 * F.pi()) + 1e-9))
-    return a.groupBy("session_id", "turn").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"))
+    a = a.withColumn("turned", F.coalesce(d - 2 * F.pi() * F.round(d / (2 * F.pi())), F.lit(0.0))).withColumn("turns", F.sum("turned").over(upto) / (2 * F.pi()))
+    a = a.withColumn("reached", F.floor(F.max("turns").over(upto))).withColumn("before", F.coalesce(F.lag("reached").over(w), F.lit(0)))
+    a = a.withColumn("total", F.floor(F.last("turns").over(w.rowsBetween(*WHOLE))))
+    places = debounce(a.where((F.col("reached") > F.col("before")) & (F.col("before") < F.col("total"))), shortest).select("session_id", "t")
+    ends = track.groupBy("session_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    edges = places.union(ends.select("session_id", "first")).union(ends.select("session_id", "last"))
+    place = Window.partitionBy("session_id").orderBy("t")
+    n, all_ = F.row_number().over(place), F.count("*").over(c)
+    laps = edges.withColumn("end_t", F.lead("t").over(place)).withColumn("turn", n.cast("long") - 1).withColumn("complete", (n > 1) & (n < all_ - 1))
+    return laps.where(F.col("end_t") > F.col("t")).select("session_id", "turn", F.col("t").alias("start_t"), "end_t", "complete")
 
 
 def sections(grid: DataFrame, sensitivity: float = 1.0, shortest: float = 25.0, smooth: int = 8) -> DataFrame:
     """(session_id, section, kind, start_m, end_m) from |lateral measure| v at each metre d of the reference lap.
 
-    Corners are where the smoothed measure passes p10 + (p90 - p10) * 0.35 / sensitivity. Spans under
+    The measure is smoothed over an odd number of points about `smooth` metres, of which those beyond
+    the ends count as 0. Corners are where it reaches p10 + (p90 - p10) * 0.35 / sensitivity; a flat
+    measure has none. Spans under
     `shortest` metres go to their neighbours, the shortest first, over the few spans of a lap.
     """
     w = Window.partitionBy("session_id").orderBy("d")
-    g = grid.withColumn("s", F.avg(F.abs("v")).over(w.rowsBetween(-(smooth // 2), smooth - smooth // 2 - 1)))
+    half = max(1, round(smooth / 2)) if smooth > 0 else 0
+    g = grid.withColumn("s", F.sum(F.abs("v")).over(w.rowsBetween(-half, half)) / (2 * half + 1))
     whole = Window.partitionBy("session_id")
     p = lambda q: F.percentile("s", q).over(whole)
-    g = g.withColumn("corner", F.col("s") > p(0.1) + (p(0.9) - p(0.1)) * 0.35 / sensitivity)
+    g = g.withColumn("low", p(0.1)).withColumn("spread", p(0.9) - F.col("low"))
+    g = g.withColumn("corner", F.coalesce((F.col("spread") > 1e-9) & (F.col("s") >= F.col("low") + F.col("spread") * 0.35 / sensitivity), F.lit(False)))
     g = islands(g.withColumn("new", F.coalesce(F.col("corner") != F.lag("corner").over(w), F.lit(True))), "session_id", F.col("new"), "d", "span")
     spans = g.groupBy("session_id", "span").agg(F.first("corner").alias("corner"), F.min("d").cast("double").alias("start_m"), (F.max("d") + 1).cast("double").alias("end_m"))
 

@@ -244,9 +244,17 @@ def rising_edge(spark, d):
     return from_events(spark, d).select("session_id", "i", range_change(F.col("t"), A, 1704500000.0, 1705500000.0).alias("value"))
 
 
-@query("edge_delay", f"WITH {L} SELECT session_id, i, coalesce(lag(quantity, 3) OVER (PARTITION BY session_id ORDER BY i), 0) AS value FROM l")
+_EDGE = f"""WITH {L}, e AS (SELECT session_id, i, quantity > 25 AS up, coalesce(lag(quantity > 25) OVER w, false) AS was, coalesce(lag(quantity > 25, 3) OVER w, false) AS late FROM l WINDOW w AS (PARTITION BY session_id ORDER BY i))
+    SELECT session_id, i, CAST(late AS INT)::DOUBLE AS value,
+        CAST(coalesce(max(i + 3) FILTER (up AND NOT was) OVER u, -1) > coalesce(max(i) FILTER (was AND NOT up) OVER u, -1) AS INT)::DOUBLE AS rise,
+        CAST(coalesce(max(i) FILTER (up AND NOT was) OVER u, -1) > coalesce(max(i + 3) FILTER (was AND NOT up) OVER u, -1) AS INT)::DOUBLE AS fall
+    FROM e WINDOW u AS (PARTITION BY session_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("edge_delay", _EDGE)
 def edge_delay_query(spark, d):
-    return from_lineitem(spark, d).select("session_id", "i", edge_delay(F.col("quantity"), A, 3).alias("value"))
+    up = (F.col("quantity") > 25).cast("double")
+    return from_lineitem(spark, d).select("session_id", "i", edge_delay(up, A, 3).alias("value"), edge_delay(up, A, 3, 0).alias("rise"), edge_delay(up, A, 3, 1).alias("fall"))
 
 
 @query("fill_gaps", f"""WITH {L}, p AS (SELECT session_id, i, CASE WHEN quantity > 20 THEN price END AS v FROM l)

@@ -47,7 +47,7 @@ def gps_summary(spark, d):
 
 
 def curvature(spark, d):
-    return geo.curvature(geo.track(_fixes(spark, d))).select("session_id", "i", "curvature")
+    return geo.curvature(geo.track(_fixes(spark, d))).select("session_id", "i", rounded(F.col("curvature"), 5).alias("curvature"))
 
 
 def track_class(spark, d):
@@ -171,12 +171,26 @@ def _r(x, n=5):
     return f"floor(({x}) * 1e{n} + 0.5001) / 1e{n}"
 
 
+_WRAPPED = "d - 2 * pi() * floor((d + pi()) / (2 * pi()))"
+_CURVE = f"""WITH {_TRK}, n AS (SELECT *, lag(x) OVER w AS x0, lead(x) OVER w AS x1, lag(y) OVER w AS y0, lead(y) OVER w AS y1 FROM tr WINDOW w AS (PARTITION BY session_id ORDER BY i)),
+g1 AS (SELECT *, (coalesce(x1, x) - coalesce(x0, x)) / (CASE WHEN x0 IS NULL OR x1 IS NULL THEN 1 ELSE 2 END) AS gx, (coalesce(y1, y) - coalesce(y0, y)) / (CASE WHEN x0 IS NULL OR x1 IS NULL THEN 1 ELSE 2 END) AS gy FROM n),
+h AS (SELECT *, atan2(gy, gx) - lag(atan2(gy, gx)) OVER (PARTITION BY session_id ORDER BY i) AS d FROM g1),
+u AS (SELECT *, CASE WHEN {_WRAPPED} = -pi() AND d > 0 THEN pi() ELSE {_WRAPPED} END AS s FROM h),
+v AS (SELECT *, CASE WHEN x0 IS NULL THEN lead(s) OVER w WHEN x1 IS NULL THEN s ELSE (s + lead(s) OVER w) / 2 END AS turn, sqrt(gx * gx + gy * gy) AS step FROM u WINDOW w AS (PARTITION BY session_id ORDER BY i))
+SELECT session_id, i, {_r("CASE WHEN step > 0.05 THEN abs(turn / step) ELSE 0 END")} AS curvature FROM v"""
+_CLASS = f"""WITH {_TRK}, k AS (SELECT *, step_m / dt * 3.6 AS kmh FROM st), m AS (SELECT * FROM (SELECT *, coalesce(kmh, lead(kmh) OVER (PARTITION BY session_id ORDER BY i)) AS speed FROM k) WHERE speed > 8),
+d AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS way FROM m WINDOW w AS (PARTITION BY session_id ORDER BY i)),
+e AS (SELECT session_id, count(*) AS n, max(x) - min(x) AS a, max(y) - min(y) AS b, sum(way) AS path FROM d GROUP BY ALL),
+f2 AS (SELECT *, sqrt(a * a + b * b) AS diagonal, least(a, b) / greatest(a, b, 1e-9) AS aspect FROM e)
+SELECT session_id, CASE WHEN coalesce(n, 0) < 20 OR diagonal < 15 OR path / diagonal < 3 THEN 'runs' WHEN diagonal <= 140 AND path / diagonal >= 35 AND aspect >= 0.65 THEN 'figure8'
+    WHEN aspect < 0.5 AND path / diagonal >= 18 THEN 'runs' ELSE 'circuit' END AS kind FROM (SELECT DISTINCT session_id FROM tr) LEFT JOIN f2 USING (session_id)"""
+
 QUERIES = {
     "gps_track": (gps_track, f"WITH {_TRK} SELECT session_id, i, {_r('x', 3)} AS x, {_r('y', 3)} AS y, is_break, is_jump FROM c"),
     "gps_distance": (gps_distance, f"WITH {_TRK} SELECT session_id, i, {_r('sum(CASE WHEN is_break THEN 0 ELSE coalesce(step_m, 0) END) OVER (PARTITION BY session_id ORDER BY i ROWS UNBOUNDED PRECEDING)', 2)} AS distance FROM c"),
     "gps_summary": (gps_summary, f"WITH {_TRK} SELECT session_id, count(*) AS fixes, count(*) FILTER (is_jump) AS jumps, count(*) FILTER (dt > 0.25) AS holes, {_r('max(step_m) FILTER (is_jump)', 3)} AS worst_jump_m, {_r('max(dt) FILTER (dt > 0.25)', 3)} AS longest_hole_s, count(*) FILTER (is_break) + 1 AS segments FROM c GROUP BY ALL"),
-    "curvature": (curvature, None),
-    "track_class": (track_class, None),
+    "curvature": (curvature, _CURVE),
+    "track_class": (track_class, _CLASS),
     "energy": (energy, f"WITH {_L}, p AS (SELECT session_id, i, greatest(quantity - 25, 0) AS a, greatest(25 - quantity, 0) AS b FROM l), q AS (SELECT session_id, i, coalesce(0.5 * (a + lag(a) OVER w) / 36000, 0) AS da, coalesce(0.5 * (b + lag(b) OVER w) / 36000, 0) AS db FROM p WINDOW w AS (PARTITION BY session_id ORDER BY i)) SELECT session_id, i, {_r('sum(da) OVER w', 6)} AS drive_kwh, {_r('sum(db) OVER w', 6)} AS regen_kwh FROM q WINDOW w AS (PARTITION BY session_id ORDER BY i ROWS UNBOUNDED PRECEDING)"),
     "layout_long": (layout_long, "SELECT l_orderkey, l_linenumber, 'l_quantity' AS channel, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem WHERE l_discount > 0"),
     "layout_wide": (layout_wide, f"WITH {_S} SELECT session_id, CAST(floor(t / 86400) AS BIGINT) AS day, " + ", ".join(f"arg_min(v, i) FILTER (channel = '{c}') AS {c}" for c in _NAMES) + " FROM s GROUP BY ALL"),

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,34 +91,54 @@ def _distinct(names: Sequence[str]) -> list[str]:
 
 
 def read_binary_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Binary channel logs (64-byte header, linked 124-byte channel records, int16 or int32 samples) as samples; a file is a session."""
+    """Binary channel logs (64-byte header, linked 124-byte channel records, int16 or int32 samples) as samples; a file is a session.
+
+    A file that can't be read gives one row with `error`, which is null elsewhere.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = "session_id string, channel string, unit string, i long, t double, v double"
+    schema = "session_id string, channel string, unit string, i long, t double, v double, error string"
+    kinds = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")])
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k.type) if (c := columns.get(k.name)) is None else pa.array(c if isinstance(c, np.ndarray) else [c] * n, k.type) for k in kinds], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                session = re.sub(r"\.\w+$", "", name.rsplit("/", 1)[-1])
+                try:
+                    for channel in channel_records(content.as_py()):
+                        yield rows(len(channel["i"]), session_id=session, **channel)
+                except (ValueError, struct.error) as e:
+                    yield rows(1, session_id=session, error=str(e))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                for channel in channel_records(content):
-                    yield pd.DataFrame({"session_id": re.sub(r"\.\w+$", "", name.rsplit("/", 1)[-1]), **channel})
+    return files.mapInArrow(run, schema)
 
-    return files.mapInPandas(run, schema)
+
+#: Kinds of samples with 4 bytes.
+FOUR_BYTES = (2, 4, 5)
 
 
 def channel_records(content: bytes) -> Iterator[dict]:
-    """The channels of one binary log; the list of records ends at 0 or where it would go round."""
-    if struct.unpack_from("<I", content, 0)[0] != 0x40:
+    """The channels of one binary log; the list of records ends at 0 or where it would go round or leave the file.
+
+    Samples have 4 bytes where the record says so by their size or kind, else 2. A channel whose samples
+    lie beyond the file has those that are there. The record's shift isn't part of the value.
+    """
+    if len(content) < 64 or struct.unpack_from("<I", content, 0)[0] != 0x40:
         raise ValueError("not a binary channel log")
     at, seen = struct.unpack_from("<I", content, 8)[0], set()
     text = lambda b: b.split(b"\0")[0].decode("latin-1").strip()
     while at and at not in seen and at + 124 <= len(content):
         seen.add(at)
         _, following, data, n = struct.unpack_from("<4I", content, at)
-        _, _, kind, rate, shift, mul, div, dec = struct.unpack_from("<HHHHhhhh", content, at + 16)
-        width = "<i4" if kind == 4 else "<i2"
-        raw = np.frombuffer(content, width, n, data).astype(float)
-        v = raw * (mul / (div or 1)) / 10.0 ** max(-9, min(12, dec)) + shift
+        _, kind, size, rate, _, mul, div, dec = struct.unpack_from("<HHHHHHHh", content, at + 16)
+        width = "<i4" if size == 4 or kind in FOUR_BYTES else "<i2"
+        n = min(n, max(0, len(content) - data) // int(width[-1]))
+        raw = np.frombuffer(content, width, n, data if n else 0).astype(float)
+        v = raw * (mul / (div or 1)) / 10.0 ** max(-9, min(12, dec))
         i = np.arange(n)
-        yield {"channel": text(content[at + 32 : at + 64]), "unit": text(content[at + 72 : at + 84]), "i": i, "t": i / max(rate, 1), "v": v}
+        yield {"channel": text(content[at + 32 : at + 64]), "unit": text(content[at + 72 : at + 96]), "i": i, "t": i / max(rate, 1), "v": v}
         at = following
 
 

@@ -12,9 +12,9 @@ from lapwing.functions.missing import finite
 
 
 def view_name(path: str) -> str:
-    """Of a file: its stem in lower case, other characters as underscores."""
+    """Of a file: its stem in lower case, runs of other characters as one underscore, none at the ends."""
     stem = re.sub(r"\.parquet$", "", path.rstrip("/").rsplit("/", 1)[-1])
-    return re.sub(r"[^0-9a-z_]", "_", stem.lower()) or "channel"
+    return re.sub(r"[^0-9a-z_]+", "_", stem.lower()).strip("_") or "channel"
 
 
 def run_sql(spark: SparkSession, sql: str, paths: Mapping[str, str] | Sequence[str]) -> DataFrame:
