@@ -32,6 +32,11 @@ class Along:
     def upto(self):
         return self.rows.rowsBetween(Window.unboundedPreceding, 0)
 
+    @property
+    def back(self):
+        """From the last sample to this one; frames that begin at the current row are quadratic."""
+        return Window.partitionBy(self.session).orderBy(F.desc(self.order)).rowsBetween(Window.unboundedPreceding, 0)
+
     @property
     def whole(self):
         return Window.partitionBy(self.session)
@@ -169,7 +174,7 @@ def edge_delay(v: Column, a: Along, samples: int, mode: int = -1) -> Column:
 def fill_gaps(v: Column, a: Along) -> Column:
     """The last valid value; before the first, the first."""
     v = present(v)
-    return F.coalesce(F.last(v, True).over(a.upto), F.first(v, True).over(a.rows.rowsBetween(0, Window.unboundedFollowing)))
+    return F.coalesce(F.last(v, True).over(a.upto), F.last(v, True).over(a.back))
 
 
 def battery_power(power: Column | None, current: Column, voltage: Column, has_power: Column) -> Column:

@@ -132,10 +132,11 @@ def welch(samples: DataFrame, rate: float, points: int = 1024, overlap: float =
     step = max(1, int(round(points * (1 - max(0.0, min(0.95, overlap))))))
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("i")
+    back = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     x = present(F.col("v"))
     s = samples.select(*keys, "i", x.alias("v"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     known = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
-    s = s.select(*keys, "i", "v", "n", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("q"))
+    s = s.select(*keys, "i", "v", "n", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.last(known, True).over(back).alias("q"))
     fill = F.when(F.col("p.i").isNull(), F.col("q.v")).when(F.col("q.i").isNull(), F.col("p.v")).when(F.col("p.i") == F.col("q.i"), F.col("p.v"))
     s = s.withColumn("v", F.coalesce(fill.otherwise(F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("i") - F.col("p.i")) / (F.col("q.i") - F.col("p.i"))), F.lit(0.0)))
     top = F.greatest(F.floor((F.col("n") - points) / step), F.lit(0))

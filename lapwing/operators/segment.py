@@ -82,22 +82,30 @@ def distance(samples: DataFrame, speed: str, rate: float) -> DataFrame:
 def first_arrival(samples: DataFrame, targets: DataFrame) -> DataFrame:
     """(session_id, target, t): the first time that the running largest distance reaches each target.
 
-    Targets (session_id, target) and samples go on one axis by distance, filled backwards.
+    Targets (session_id, target) and samples go on one axis by distance, filled from its far end.
     """
     w = Window.partitionBy("session_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     top = samples.withColumn("top", F.max("distance").over(w)).groupBy("session_id", F.col("top").alias("d")).agg(F.min("t").alias("t"))
     both = targets.select("session_id", F.col("target").alias("d"), F.lit(None).cast("double").alias("t"), F.lit(0).alias("side")).union(top.select("session_id", "d", "t", F.lit(1)))
-    ahead = Window.partitionBy("session_id").orderBy("d", "side").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("at", F.first("t", True).over(ahead)).where("side = 0").select("session_id", F.col("d").alias("target"), F.col("at").alias("t"))
+    back = Window.partitionBy("session_id").orderBy(F.desc("d"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("at", F.last("t", True).over(back)).where("side = 0").select("session_id", F.col("d").alias("target"), F.col("at").alias("t"))
 
 
 def rolling_best(samples: DataFrame, length: float) -> DataFrame:
-    """(session_id, best, start_t): the least time over any stretch of `length` metres."""
+    """(session_id, best, start_t): the least time over any stretch of `length` metres.
+
+    The first arrivals at each distance and the ends of the stretches that begin there go on one axis,
+    filled from its far end, so each end gets the first arrival at or after it.
+    """
     w = Window.partitionBy("session_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    new = samples.withColumn("top", F.max("distance").over(w)).groupBy("session_id", "top").agg(F.min("t").alias("t"))
-    ends = first_arrival(samples, new.select("session_id", (F.col("top") + length).alias("target")).distinct())
-    both = new.withColumn("target", F.col("top") + length).join(ends.withColumnRenamed("t", "end_t"), ["session_id", "target"]).where("end_t IS NOT NULL")
-    return both.groupBy("session_id").agg(F.min(F.col("end_t") - F.col("t")).alias("best"), F.min_by("t", F.struct(F.col("end_t") - F.col("t"), "t")).alias("start_t"))
+    new = samples.withColumn("d", F.max("distance").over(w)).groupBy("session_id", "d").agg(F.min("t").alias("t"))
+    none = F.lit(None).cast("double")
+    entry = lambda d, arrived, start, side: F.struct(d.alias("d"), arrived.alias("arrived"), start.alias("start"), F.lit(side).alias("side"))
+    sides = F.array(entry(F.col("d"), F.col("t"), none, 1), entry(F.col("d") + length, none, F.col("t"), 0))
+    back = Window.partitionBy("session_id").orderBy(F.desc("d"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = new.select("session_id", F.inline(sides)).withColumn("end_t", F.last("arrived", True).over(back)).where("side = 0 AND end_t IS NOT NULL")
+    took = F.col("end_t") - F.col("start")
+    return ends.groupBy("session_id").agg(F.min(took).alias("best"), F.min_by("start", F.struct(took, "start")).alias("start_t"))
 
 
 def overlay(samples: DataFrame, laps: DataFrame, step: float = 1.0) -> DataFrame:

@@ -90,3 +90,9 @@ def land_aliases(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
     """(session_id, alias, channel): of an alias's candidates (alias, position, name) the first that a session has."""
     c = candidates.select("alias", "position", name_key(F.col("name")).alias("key"))
     return catalogue.select("session_id", "channel", name_key(F.col("channel")).alias("key")).join(c, "key").groupBy("session_id", "alias").agg(F.min_by("channel", F.struct("position", "channel")).alias("channel"))
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session, told to leave out whole-stage code that the JVM wouldn't compile (methods over 8,000 bytes): many derived channels at once run several times as fast."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
