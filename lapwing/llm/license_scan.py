@@ -3,8 +3,9 @@
 A logistic regression on word n-grams tells the licence families and an unknown class apart. It is
 trained on the notices below, put into the frames they come in, against other sentences that use
 the same words and a bounded sample of the corpus. A temperature fitted on notices and sentences
-left out of training calibrates the probabilities. A prediction is confirmed if the paragraph
-shares enough word pairs with a template of its family.
+left out of training calibrates the probabilities. Notices of other licences belong to the unknown
+class. A prediction is confirmed if the paragraph shares enough word pairs with a template of its
+family, and more than with a notice of another licence.
 
 Every n-gram of the vocabulary holds one of TRIGGERS, so a paragraph without any of them has the
 score of no evidence, unknown, and isn't looked at any further.
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import sample_by_hash
+from lapwing.llm.common import sample_by_hash, stored
 
 # Templates of notices by family.
 TEMPLATES = {
@@ -66,10 +67,21 @@ OTHERS = (
     "a gnu is an antelope of the savannah", "Creative people in commons and parks", "The house of commons voted", "the attribution of the painting is disputed", "Restaurants lost their liquor licenses", "cc: the sales team", "Send it to me with bcc and cc",
     "free of charge for children", "Public libraries and the public domain of knowledge", "license plates are made of metal", "The copyright debate went on in parliament", "the redistribution of wealth", "warranty claims must be sent within a year",
 )
+# Notices of licences that are no family here; they are unknown.
+OTHER_LICENCES = (
+    "Eclipse Public License 2.0", "licensed under the Eclipse Public License v2.0", "licensed under the European Union Public Licence, version 1.2", "Distributed under the Boost Software License, Version 1.0",
+    "licensed under the ISC License", "licensed under the zlib License", "licensed under the Artistic License 2.0", "licensed under the Common Development and Distribution License 1.0", "SIL Open Font License, Version 1.1",
+    "licensed under the Server Side Public License, version 1", "licensed under the Business Source License 1.1", "licensed under the Common Public License 1.0", "licensed under the IBM Public License 1.0", "licensed under the Academic Free License 3.0",
+    "licensed under the Open Software License 3.0", "licensed under the Python Software Foundation License Version 2", "licensed under the Microsoft Public License", "licensed under the Open Database License 1.0",
+)
 TRIGGERS = ("licen[cs]\\p{L}*", "copyright\\p{L}*", "apache", "mit", "gnu", "a?l?gpl\\p{L}*", "bsd", "mozilla", "mpl", "cc", "cc0", "creative", "commons", "attribution", "spdx", "public", "permission", "permitted", "redistribut\\p{L}*", "rights", "affero", "domain")
 UNKNOWN = "unknown"
 #: Corpus paragraphs that training takes at most, share of a paragraph's or template's word pairs that confirms.
 SAMPLE, CONFIRM = 2000, 0.5
+#: Bytes up to which what was judged is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
+#: A line break inside a sentence: no mark that ends one before it, and text after it.
+WRAPPED = r"(?<![.!?:;\s])[ \t]*\r?\n[ \t]*(?=[^\s*#/-])"
 _TRIGGER = re.compile("(?i)^(?:" + "|".join(TRIGGERS).replace("\\p{L}", "[^\\W\\d_]") + ")$")
 
 
@@ -82,9 +94,9 @@ def grams(words: list[str]) -> set[str]:
 
 
 def training_set(corpus: list[str]) -> list[tuple[str, str]]:
-    """(paragraph, family): each template in each frame, other sentences, and corpus paragraphs without a trigger."""
+    """(paragraph, family): each template in each frame, other sentences and licences, and corpus paragraphs without a trigger."""
     rows = [(frame.format(t), family) for family, ts in TEMPLATES.items() for t in ts for frame in FRAMES]
-    rows += [(frame.format(t), UNKNOWN) for t in OTHERS for frame in FRAMES]
+    rows += [(frame.format(t), UNKNOWN) for t in OTHERS + OTHER_LICENCES for frame in FRAMES]
     return rows + [(t, UNKNOWN) for t in corpus if not any(_TRIGGER.match(w) for w in tokens(t))]
 
 
@@ -132,9 +144,9 @@ def _runs(words: Column, n: int) -> Column:
 def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(id, paragraph long, family, probability double, similarity double, confirmed boolean, text) of each licence paragraph.
 
-    Paragraphs are the lines of a text, numbered from 0. One whose likeliest class is unknown is left
-    out. Null and empty texts have none; ids may be null or repeat (a row's paragraphs are told apart
-    by its text); other columns are left out. Training takes at most `sample` paragraphs of the corpus.
+    Paragraphs are the lines of a text, numbered from 0; lines that go on with a sentence belong to the
+    one before, so a wrapped notice is one paragraph. One whose likeliest class is unknown is left out. Null and empty texts have none; ids may be null or repeat (each row
+    gives its own paragraphs); other columns are left out. Training takes at most `sample` paragraphs of the corpus.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     corpus = sample_by_hash(rows, F.col("text"), sample).select(F.get(F.split("text", "\n"), F.lit(0)).alias("p")).where("p <> ''")
@@ -144,7 +156,8 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = len(model.classes)
     bias = F.array(*(F.lit(float(v) * model.scale) for v in model.weights[-1]))
     trigger = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(TRIGGERS) + r")(?![\p{L}\p{N}])"
-    paragraphs = rows.where(F.col("text").rlike(trigger)).select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where(F.col("p").rlike(trigger))
+    whole = F.regexp_replace("text", WRAPPED, " ")
+    paragraphs = stored(rows.where(F.col("text").rlike(trigger)).select("id", F.posexplode(F.split(whole, "\n")).alias("paragraph", "p")).where(F.col("p").rlike(trigger)), "paragraphs")
     seen = paragraphs.select("p").distinct().withColumn("words", _words(F.col("p")))  # equal paragraphs are judged once
     found = seen.select("p", F.explode(F.array_distinct(F.concat(*(_runs(F.col("words"), k) for k in (1, 2, 3))))).alias("gram")).join(F.broadcast(vocab), "gram")
     scores = found.groupBy("p").agg(*(F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(n)))
@@ -153,18 +166,28 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged = scores.select("p", F.get(F.array(*map(F.lit, model.classes)), F.array_position("z", F.col("top")).cast("int") - 1).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))).alias("probability"))
     judged = judged.where(F.col("family") != UNKNOWN)
     # a few templates, whatever the corpus
-    templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string").select("family", F.array_distinct(_runs(_words(F.col("template")), 2)).alias("pairs"))
-    own = F.array_distinct(_runs(_words(F.col("p")), 2))
-    both = judged.join(F.broadcast(templates), "family").withColumn("own", own)
+    notices = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in OTHER_LICENCES]
+    templates = spark.createDataFrame(notices, "of string, template string").select("of", F.array_distinct(_runs(_words(F.col("template")), 2)).alias("pairs"))
+    families = F.array(*map(F.lit, TEMPLATES))
+    templates = templates.withColumn("family", F.explode(F.when(F.col("of") == UNKNOWN, families).otherwise(F.array("of"))))
+    both = judged.withColumn("own", F.array_distinct(_runs(_words(F.col("p")), 2))).join(F.broadcast(templates), "family")
     alike = F.size(F.array_intersect("own", "pairs")) / F.greatest(F.least(F.size("own"), F.size("pairs")), F.lit(1))
-    judged = both.groupBy("p", "family", "probability").agg(F.max(alike).alias("similarity"))
-    out = paragraphs.select("id", "paragraph", "p").join(judged, "p")
-    return out.select(F.col("id").alias(id_col), F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"), F.col("p").alias("text"))
+    other = F.coalesce(F.max(F.when(F.col("of") == UNKNOWN, alike)), F.lit(0.0))
+    judged = both.groupBy("p", "family", "probability").agg(F.max(F.when(F.col("of") != UNKNOWN, alike)).alias("similarity"), other.alias("other"))
+    judged = stored(judged, "judged")
+    size = judged.agg(F.sum(F.length("p") * 2 + 100)).first()[0] or 0
+    out = paragraphs.join(F.broadcast(judged) if size <= BROADCAST_BYTES else judged, "p")
+    confirmed = (F.col("similarity") >= CONFIRM) & (F.col("similarity") > F.col("other"))
+    return out.select(F.col("id").alias(id_col), F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", confirmed.alias("confirmed"), F.col("p").alias("text"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of `docs`: (id, families array, n_license long, probability double of the surest); confirmed paragraphs count."""
-    hits = scan_paragraphs(docs, id_col, text_col, **options).where("confirmed")
-    by_doc = hits.groupBy(F.col(id_col).alias("hit")).agg(F.sort_array(F.collect_set("family")).alias("families"), F.count("*").alias("n_license"), F.max("probability").alias("probability"))
-    out = docs.select(F.col(id_col).alias("id")).join(by_doc, F.col("id").eqNullSafe(F.col("hit")), "left")
+    """One row per row of `docs`: (id, families array, n_license long, probability double of the surest); confirmed paragraphs count.
+
+    Rows are told apart by their texts, so equal rows count each for itself, whatever their ids.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), F.col(text_col).alias("text"))
+    hits = scan_paragraphs(keyed, "key", "text", **options).where("confirmed").select("key", "paragraph", "family", "probability").dropDuplicates(["key", "paragraph"])
+    by_text = stored(hits.groupBy("key").agg(F.sort_array(F.collect_set("family")).alias("families"), F.count("*").alias("n_license"), F.max("probability").alias("probability")), "licences")
+    out = keyed.select("id", "key").join(F.broadcast(by_text) if by_text.count() * 300 <= BROADCAST_BYTES else by_text, "key", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_license", F.lit(0)).cast("long").alias("n_license"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
