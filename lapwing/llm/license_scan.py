@@ -170,7 +170,8 @@ def scan_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     templates = spark.createDataFrame(notices, "of string, template string").select("of", F.array_distinct(_runs(_words(F.col("template")), 2)).alias("pairs"))
     families = F.array(*map(F.lit, TEMPLATES))
     templates = templates.withColumn("family", F.explode(F.when(F.col("of") == UNKNOWN, families).otherwise(F.array("of"))))
-    both = judged.withColumn("own", F.array_distinct(_runs(_words(F.col("p")), 2))).join(F.broadcast(templates), "family")
+    judged = judged.withColumn("words", _words(F.col("p")))  # a column of its own: runs look at it again for each word
+    both = judged.withColumn("own", F.array_distinct(_runs(F.col("words"), 2))).drop("words").join(F.broadcast(templates), "family")
     alike = F.size(F.array_intersect("own", "pairs")) / F.greatest(F.least(F.size("own"), F.size("pairs")), F.lit(1))
     other = F.coalesce(F.max(F.when(F.col("of") == UNKNOWN, alike)), F.lit(0.0))
     judged = both.groupBy("p", "family", "probability").agg(F.max(F.when(F.col("of") != UNKNOWN, alike)).alias("similarity"), other.alias("other"))
