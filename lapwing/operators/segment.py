@@ -121,13 +121,17 @@ def overlay(samples: DataFrame, laps: DataFrame, step: float = 1.0) -> DataFrame
     return s.select("session_id", "lap_index", "k", at.alias("time"))
 
 
-def visits(track: DataFrame, x: float, y: float, radius: float, heading: float | None = None, tolerance: float = 75.0, span: int = 10, gap: float = 1.5) -> DataFrame:
-    """One row per passage through a gate circle: the closest sample's time and distance.
+def visits(
+    track: DataFrame, x: float | Column, y: float | Column, radius: float | Column, heading: float | Column | None = None, tolerance: float = 75.0,
+    span: int = 10, gap: float = 1.5, since: Column | None = None, also: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per passage through a gate circle: the closest sample's time and distance, and its columns `also`.
 
     The track is split where a step takes over `gap` seconds or `is_break` (if there) holds, and pieces of
     under 3 samples are left out. A visit counts if its piece was outside before, and if the way from
     the closest sample to the one `span` samples on is within `tolerance` degrees of the gate's
-    `heading` (radians; none given: as at the session's closest sample).
+    `heading` (radians; none given: as at the session's closest sample). Columns give each session its own
+    gate; `since` says from where on samples count.
     """
     session = Window.partitionBy("session_id")
     w, piece = session.orderBy("i"), Window.partitionBy("session_id", "piece")
@@ -136,29 +140,36 @@ def visits(track: DataFrame, x: float, y: float, radius: float, heading: float |
     if "is_break" in track.columns:
         cut |= F.coalesce("is_break", F.lit(False))
     t = track.withColumn("d", F.hypot(F.col("x") - x, F.col("y") - y)).withColumn("inside", F.col("d") < radius).withColumn("heading", F.atan2(on("y"), on("x")))
-    t = t.withColumn("gate", F.min_by("heading", F.struct("d", "i")).over(session) if heading is None else F.lit(float(heading)))
-    t = islands(t.withColumn("cut", cut), "session_id", F.col("cut"), out="piece").withColumn("n", F.count("*").over(piece))
+    t = t.withColumn("gate", F.min_by("heading", F.struct("d", "i")).over(session) if heading is None else heading if isinstance(heading, Column) else F.lit(float(heading)))
+    t = islands(t.withColumn("cut", cut), "session_id", F.col("cut"), out="piece")
+    t = (t if since is None else t.where(since)).withColumn("n", F.count("*").over(piece))
     t = t.withColumn("before", F.lag("inside").over(piece.orderBy("i"))).withColumn("begins", F.col("inside") & ~F.coalesce("before", F.lit(False)))
     t = islands(t, "session_id", F.col("begins"), out="visit").where("inside AND visit >= 0 AND n >= 3")
     closest = F.struct("d", "i")
-    v = t.groupBy("session_id", "visit").agg(F.min_by("t", closest).alias("t"), F.min("d").alias("d"), F.min_by("heading", closest).alias("heading"), F.first("gate").alias("gate"), F.bool_or(F.col("begins") & F.coalesce(~F.col("before"), F.lit(False))).alias("armed"))
+    carried = [F.min_by(c, closest).alias(c) for c in also]
+    v = t.groupBy("session_id", "visit").agg(F.min_by("t", closest).alias("t"), F.min("d").alias("d"), F.min_by("heading", closest).alias("heading"), F.first("gate").alias("gate"), F.bool_or(F.col("begins") & F.coalesce(~F.col("before"), F.lit(False))).alias("armed"), *carried)
     off = F.abs(F.pmod(F.col("heading") - F.col("gate") + F.pi(), 2 * F.pi()) - F.pi())
-    return v.where(F.col("armed") & (off <= math.radians(tolerance))).withColumn("visit", F.row_number().over(session.orderBy("visit")).cast("long") - 1).select("session_id", "visit", "t", "d")
+    return v.where(F.col("armed") & (off <= math.radians(tolerance))).withColumn("visit", F.row_number().over(session.orderBy("visit")).cast("long") - 1).select("session_id", "visit", "t", "d", *also)
 
 
-def debounce(crossings: DataFrame, shortest: float) -> DataFrame:
-    """Crossings (session_id, t) at least `shortest` seconds after the last one that was kept: a greedy choice, over the few crossings of a session."""
+def debounce(crossings: DataFrame, shortest: float, keys: tuple[str, ...] = ("session_id",), inclusive: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Crossings (keys, t) over `shortest` seconds after the last one that was kept (`inclusive`: exactly so many will do).
+
+    A greedy choice, over the few crossings of a session; columns `also` stay, and order those of one time.
+    """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], -np.inf
-        for t in pdf.sort_values("t")["t"]:
-            if t - last > shortest:
-                kept.append((pdf["session_id"].iloc[0], len(kept), t))
+        rows, last = [], -np.inf
+        pdf = pdf.sort_values(["t", *also]).reset_index(drop=True)
+        for k, t in enumerate(pdf["t"]):
+            if t - last > shortest or inclusive and t - last == shortest:
+                rows.append(k)
                 last = t
-        return pd.DataFrame(kept, columns=["session_id", "crossing", "t"])
+        return pdf.iloc[rows].assign(crossing=range(len(rows)))[[*keys, "crossing", "t", *also]]
 
-    kind = crossings.schema["session_id"].dataType.simpleString()
-    return crossings.select("session_id", "t").groupBy("session_id").applyInPandas(keep, f"session_id {kind}, crossing long, t double")
+    kind = lambda c: f"{c} {crossings.schema[c].dataType.simpleString()}"
+    schema = ", ".join([*map(kind, keys), "crossing long", "t double", *map(kind, also)])
+    return crossings.select(*keys, "t", *also).groupBy(*keys).applyInPandas(keep, schema)
 
 
 def line_crossings(track: DataFrame, ax: float, ay: float, bx: float, by: float) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +95,22 @@ def land_aliases(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
     return catalogue.select("session_id", "channel", name_key(F.col("channel")).alias("key")).join(c, "key").groupBy("session_id", "alias").agg(F.min_by("channel", F.struct("position", "channel")).alias("channel"))
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet below `spark.checkpoint.dir` and read again: what several plans read is computed once, and a lost executor costs a reread.
+
+    Without that setting a folder of this machine serves, which only a local master may use. Files stay until the folder is cleared.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = tempfile.mkdtemp(prefix="lapwing-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """The session, told to leave out whole-stage code that the JVM wouldn't compile (methods over 8,000 bytes): many derived channels at once run several times as fast."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
