@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.missing import present
 from lapwing.operators.geo import classify_track
+from lapwing.operators.resample import interpolate, nearest
 from lapwing.operators.segment import debounce, plausible, visits
 from lapwing.sessions import settled
 
@@ -313,6 +314,61 @@ def beacon_laps(track: DataFrame, beacons: DataFrame, rate: float, shortest: flo
     return numbered.join(named.select("session_id", "beacon", "key"), "key").select(F.col("session_id").cast(kind), "beacon", "lap_index", "start_t", "end_t", "complete")
 
 
+def section_bands(samples: DataFrame, laps: DataFrame, sections: DataFrame) -> DataFrame:
+    """When each lap is in each section: (session_id, lap_index, section, kind, start_t, end_t, duration).
+
+    `sections` (session_id, section, kind, start_m, end_m) belong to the reference lap; on another lap their edges lie at
+    the same shares of its way, where that is first reached (`samples`: session_id, i, t, distance). The first and
+    the last edge are the lap's own start and end. Laps without samples have no bands.
+    """
+    lap = ("session_id", "lap_index")
+    held = within(samples.select("session_id", "i", "t", "distance"), laps)
+    w = _upto(*lap)
+    held = held.withColumn("way", F.max("distance").over(w) - F.first("distance").over(w))
+    reached = held.groupBy(*lap, "way").agg(F.min("t").alias("t"))
+    whole = held.groupBy(*lap).agg(F.max("way").alias("whole"), F.first("start_t").alias("start_t"), F.first("end_t").alias("end_t"))
+    length = F.max("end_m").over(Window.partitionBy("session_id"))
+    edges = sections.withColumn("share", F.when(length > 0, F.col("end_m") / length).otherwise(0.0)).withColumn("last", F.col("end_m") == length)
+    targets = whole.join(edges, "session_id").withColumn("way", F.least(F.col("share"), F.lit(1.0)) * F.col("whole"))
+    columns = ["section", "kind", "start_t", "end_t", "last"]
+    a = targets.select(*lap, "way", F.lit(0).alias("side"), F.struct(*columns).alias("edge"))
+    b = reached.select(*lap, "way", F.lit(1).alias("side"), "t")
+    back = Window.partitionBy(*lap).orderBy(F.desc("way"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    at = a.unionByName(b, allowMissingColumns=True).withColumn("t", F.last("t", True).over(back)).where("side = 0").select(*lap, "edge.*", "t")
+    at = at.withColumn("until", F.when(F.col("last"), F.col("end_t")).otherwise(F.col("t")))
+    start = F.coalesce(F.lag("until").over(Window.partitionBy(*lap).orderBy("section")), F.col("start_t"))
+    bands = at.select(*lap, "section", "kind", start.alias("start_t"), F.col("until").alias("end_t"))
+    return bands.withColumn("duration", F.greatest(F.lit(0.0), F.col("end_t") - F.col("start_t")))
+
+
+def band_samples(samples: DataFrame, bands: DataFrame) -> DataFrame:
+    """Samples with the lap and section they fall in; an edge belongs to the later band, a lap's last one to its last."""
+    return within(samples, bands.where("end_t > start_t"), also=("lap_index", "section", "kind"))
+
+
+def place_notes(notes: DataFrame, samples: DataFrame, track: DataFrame) -> DataFrame:
+    """Notes (session_id, t, note) with distance, linear between samples, and x, y of the closest track sample (of two as close the earlier).
+
+    Beyond the first and the last sample, or without any, a place is NULL.
+    """
+    kept = notes.select("session_id", "t", "note")
+    far = interpolate(kept, samples.select("session_id", "t", F.col("distance").alias("v")), clamp=False).withColumnRenamed("value", "distance")
+    near = nearest(far, track.select("session_id", "t", F.struct("x", "y").alias("v")), inside=True)
+    return near.select("session_id", "t", "note", "distance", "value.x", "value.y")
+
+
+def distance_window(samples: DataFrame, start_m: float, end_m: float) -> DataFrame:
+    """(session_id, start_t, end_t) of a range of metres: first arrival at its start, last sample that isn't beyond its end.
+
+    Starts beyond a session's way give its last sample, and a range never ends before it starts.
+    """
+    s = samples.select("session_id", "i", "t", F.max("distance").over(_upto()).alias("top"))
+    at = lambda hit: F.when(hit, F.struct("i", "t"))
+    g = s.groupBy("session_id").agg(F.min(at(F.col("top") >= start_m)).alias("a"), F.max(at(F.col("top") <= end_m)).alias("z"), F.max(F.struct("i", "t")).alias("end"))
+    first = F.coalesce("a", "end")
+    return g.select("session_id", first["t"].alias("start_t"), F.when(F.col("z").isNull() | (F.col("z.i") < first["i"]), first["t"]).otherwise(F.col("z.t")).alias("end_t"))
+
+
 def insert_crossings(laps: DataFrame, missed: DataFrame) -> DataFrame:
     """Laps with crossings that were missed (session_id, t) put in; one within 0.05 s of a lap's edge is that edge.
 

@@ -38,11 +38,13 @@ def interpolate(left: DataFrame, right: DataFrame, clamp: bool = True) -> DataFr
     return _around(left, right).withColumn("value", value).drop("prev", "next", "r_min", "r_max")
 
 
-def nearest(left: DataFrame, right: DataFrame, tie_left: bool = True) -> DataFrame:
-    """The right sample closest in time; of equally close ones the earlier or the later."""
+def nearest(left: DataFrame, right: DataFrame, tie_left: bool = True, inside: bool = False) -> DataFrame:
+    """The right sample closest in time; of equally close ones the earlier or the later. `inside`: nothing beyond the right ends."""
     p, n = F.col("prev"), F.col("next")
     dp, dn = F.col("t") - p["t"], n["t"] - F.col("t")
     value = F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).when((dp <= dn) if tie_left else (dp < dn), p["v"]).otherwise(n["v"])
+    if inside:
+        value = F.when(p.isNotNull() & n.isNotNull(), value)
     return _around(left, right).withColumn("value", value).drop("prev", "next", "r_min", "r_max")
 
 

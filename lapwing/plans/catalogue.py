@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.channel import OPERATORS, SCALAR, Along, derivative, edge_delay, fill_gaps, flip_flop, integrate, interval_stat, range_change, segment, smooth, time_shift, time_valid
 from lapwing.functions.missing import rounded
 from lapwing.operators import aggregate, can, multi, resample
+from lapwing.operators import laps as laps_
 from lapwing.operators import segment as seg
 from lapwing.plans import extra
 from lapwing.sessions import channels, from_events, from_lineitem, presence, running_sum, table
@@ -521,6 +522,72 @@ def auto_sections(spark, d):
     return seg.sections(g)
 
 
+def _drive(spark, d):
+    """The ring with the speed that drives it."""
+    return _ring(spark, d).join(_driven(spark, d).select("session_id", "i", F.col("quantity").alias("speed"), "distance"), ["session_id", "i"])
+
+
+_RINGED = "ring AS (SELECT z.session_id, z.i, z.t, 100 * cos(distance / 40) AS x, 100 * sin(distance / 40) AS y, quantity AS speed, distance FROM z JOIN l USING (session_id, i))"
+_SPANS = "spans AS (SELECT session_id, lap AS lap_index, min(t) AS a, max(t) + 0.05 AS e FROM z GROUP BY ALL)"
+_SECTIONS = "sec(section, kind, start_m, end_m) AS (VALUES (0, 'straight', 0.0::DOUBLE, 20.0::DOUBLE), (1, 'corner', 20.0, 35.0), (2, 'straight', 35.0, 70.0))"
+_BANDS = f"""{_DIST}, {_SPANS}, {_SECTIONS}, h AS (SELECT session_id, lap AS lap_index, i, t, max(distance) OVER w - first(distance) OVER w AS way FROM z WINDOW w AS (PARTITION BY session_id, lap ORDER BY i ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT session_id, lap_index, way, min(t) AS t FROM h GROUP BY ALL), k AS (SELECT s.*, sec.*, end_m / 70 * (SELECT max(way) FROM h WHERE h.session_id = s.session_id AND h.lap_index = s.lap_index) AS target FROM spans s, sec),
+r AS (SELECT k.session_id, k.lap_index, section, kind, a, CASE WHEN section = 2 THEN e ELSE f.t END AS until FROM k ASOF JOIN f ON k.session_id = f.session_id AND k.lap_index = f.lap_index AND k.target <= f.way),
+bands AS (SELECT session_id, lap_index, CAST(section AS BIGINT) AS section, kind, coalesce(lag(until) OVER (PARTITION BY session_id, lap_index ORDER BY section), a) AS start_t, until AS end_t FROM r)"""
+
+
+def _spans(spark, d):
+    return _driven(spark, d).groupBy("session_id", F.col("lap").alias("lap_index")).agg(F.min("t").alias("start_t"), (F.max("t") + 0.05).alias("end_t"))
+
+
+def _bands(spark, d):
+    s = _driven(spark, d)
+    parts = spark.createDataFrame([(0, "straight", 0.0, 20.0), (1, "corner", 20.0, 35.0), (2, "straight", 35.0, 70.0)], "section long, kind string, start_m double, end_m double")
+    return laps_.section_bands(s, _spans(spark, d), s.select("session_id").distinct().join(F.broadcast(parts)))  # three rows
+
+
+@query("gate_candidates", f"""WITH {_DIST}, {_RINGED}, b AS (SELECT *, floor(x / 10) AS bx, floor(y / 10) AS by_ FROM ring WHERE speed > 8), e AS (SELECT *, CASE WHEN lag(bx) OVER w = bx AND lag(by_) OVER w = by_ THEN 0 ELSE 1 END AS enters FROM b WINDOW w AS (PARTITION BY session_id ORDER BY i)),
+    g AS (SELECT session_id, bx, by_, min(i) AS first_i, avg(x) AS px, avg(y) AS py, sum(enters) AS entries, sum(count(*)) OVER (PARTITION BY session_id) AS n FROM e GROUP BY session_id, bx, by_)
+    SELECT session_id, first_i, {r('px', 3)} AS px, {r('py', 3)} AS py, CAST(entries AS BIGINT) AS entries FROM g WHERE n >= 10""")
+def gate_candidates(spark, d):
+    return laps_.gate_candidates(_drive(spark, d)).select("session_id", "first_i", rc("px", 3), rc("py", 3), "entries")
+
+
+@query("detect_laps")
+def detect_laps(spark, d):
+    track = _drive(spark, d)
+    return laps_.detect_laps(track, seg.runs(track, F.col("speed") > 3), RATE).select("session_id", "method", "lap_index", "start_t", "end_t", "complete", "turn")
+
+
+@query("section_bands", f"WITH {_BANDS} SELECT session_id, lap_index, section, kind, {r('start_t')} AS start_t, {r('end_t')} AS end_t, {r('greatest(0, end_t - start_t)')} AS duration FROM bands")
+def section_bands(spark, d):
+    return _bands(spark, d).select("session_id", "lap_index", "section", "kind", rc("start_t"), rc("end_t"), rc("duration"))
+
+
+@query("section_report", f"""WITH {_BANDS}, m AS (SELECT b.session_id, lap_index, section, kind, quantity AS v, i FROM z JOIN l USING (session_id, i) JOIN bands b ON b.session_id = z.session_id AND t >= start_t AND t < end_t)
+    SELECT session_id, lap_index, section, kind, min(v) AS min, max(v) AS max, {r('avg(v)')} AS mean, arg_min(v, i) AS start, arg_max(v, i) AS "end", count(*) AS n FROM m GROUP BY ALL""")
+def section_report(spark, d):
+    s = laps_.band_samples(_driven(spark, d).select("session_id", "i", "t", F.col("quantity").alias("v")), _bands(spark, d))
+    return aggregate.stats(s, ["session_id", "lap_index", "section", "kind"]).select("session_id", "lap_index", "section", "kind", "min", "max", rc("mean"), "start", "end", "n")
+
+
+@query("place_notes", f"""WITH {_DIST}, {_RINGED}, n AS (SELECT o_orderkey % 100 AS session_id, (o_orderkey % 7919) / 16::DOUBLE AS t, o_orderkey AS note FROM orders),
+    p AS (SELECT n.*, a.t AS t0, a.distance AS d0, a.x AS x0, a.y AS y0 FROM n ASOF LEFT JOIN ring a ON n.session_id = a.session_id AND n.t >= a.t),
+    q AS (SELECT p.*, b.t AS t1, b.distance AS d1, b.x AS x1, b.y AS y1 FROM p ASOF LEFT JOIN ring b ON p.session_id = b.session_id AND p.t <= b.t), k AS (SELECT *, t0 IS NOT NULL AND t1 IS NOT NULL AS ok FROM q)
+    SELECT session_id, t, note, {r('CASE WHEN ok THEN CASE WHEN t1 = t0 THEN d0 ELSE d0 + (d1 - d0) * ((t - t0) / (t1 - t0)) END END', 4)} AS distance, {r('CASE WHEN ok THEN CASE WHEN t - t0 <= t1 - t THEN x0 ELSE x1 END END', 3)} AS x, {r('CASE WHEN ok THEN CASE WHEN t - t0 <= t1 - t THEN y0 ELSE y1 END END', 3)} AS y FROM k""")
+def place_notes(spark, d):
+    """Notes on the track, one per order; times are sixteenths, so that none is halfway between two samples by rounding only."""
+    notes = table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("session_id"), ((F.col("o_orderkey") % 7919) / 16.0).alias("t"), F.col("o_orderkey").alias("note"))
+    track = _drive(spark, d)
+    return laps_.place_notes(notes, track, track).select("session_id", "t", "note", rc("distance", 4), rc("x", 3), rc("y", 3))
+
+
+@query("distance_window", f"""WITH {_DIST}, b AS (SELECT session_id, min(i) FILTER (distance >= 50) AS a, max(i) FILTER (distance <= 120) AS e, max(i) AS last FROM z GROUP BY session_id), k AS (SELECT session_id, coalesce(a, last) AS a, greatest(coalesce(e, -1), coalesce(a, last)) AS e FROM b)
+    SELECT k.session_id, p.t AS start_t, q.t AS end_t FROM k JOIN z p ON p.session_id = k.session_id AND p.i = a JOIN z q ON q.session_id = k.session_id AND q.i = e""")
+def distance_window(spark, d):
+    return laps_.distance_window(_driven(spark, d), 50.0, 120.0)
+
+
 for _name, (_f, _sql) in extra.QUERIES.items():
     query(_name, _sql)(_f)
 QUERIES, ORACLES = Q, SQL
