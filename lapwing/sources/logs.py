@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,57 @@ DELIMITERS = (",", "\t", ";", "|", " ")
 #: Encodings tried in order, and header names of a time column.
 ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
 TIME_NAMES = ("time", "t", "timestamp", "time_s", "seconds")
+#: Columns of a recorder's table of CAN frames by role, its mark of extended frames, suffixes that may be compressed.
+CAN_ROLES = {"index": "序号", "wall": "系统时间", "time": "时间标识", "bus": "CAN通道", "id": "ID号", "frame": "帧类型", "format": "帧格式", "protocol": "CAN类型", "length": "长度", "data": "数据"}
+EXTENDED = "扩展"
+COMPRESSIBLE = (".csv", ".txt", ".tsv")
+GZIP = b"\x1f\x8b"
+
+
+def _head(spark: SparkSession, path: str, size: int = 65536) -> bytes:
+    """The first bytes of a file, or of what it holds if it is compressed."""
+    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size)).first()[0])
+    return zlib.decompressobj(31).decompress(head, size) if head[:2] == GZIP else head
+
+
+def kind_of(head: bytes, path: str = "") -> str:
+    """The kind of a file by its first bytes: binary, parquet, dbc, can or text.
+
+    A table of CAN frames has the recorder's columns for time, id and data, eight at least, and a wall time
+    that starts with `="`; a compressed file never is one. Only delimited text may be compressed.
+    """
+    packed = path.lower().endswith(".gz")
+    if packed and not path.lower()[:-3].endswith(COMPRESSIBLE):
+        raise ValueError(f"{path}: only {', '.join(COMPRESSIBLE)} may be compressed")
+    if head[:4] == b"PAR1":
+        return "parquet"
+    if len(head) >= 64 and head[:4] == struct.pack("<I", 0x40):
+        return "binary"
+    if re.search(rb"(?m)^\s*BO_\s+\d+\s", head):
+        return "dbc"
+    lines = [[c.strip() for c in line.split(",")] for line in head.decode("gbk", "ignore").splitlines()[:2]]
+    framed = len(lines) == 2 and len(lines[0]) >= 8 and {CAN_ROLES[r] for r in ("time", "id", "data")} <= {*lines[0]}
+    return "can" if framed and not packed and lines[1][1].startswith('="') else "text"
+
+
+def open_log(spark: SparkSession, path: str) -> DataFrame:
+    """A file by the reader its content asks for: samples, or frames of a CAN table, signals of a DBC, a wide Parquet session."""
+    kind = kind_of(_head(spark, path), path)
+    readers = {"binary": read_binary_logs, "can": read_can_table, "dbc": read_dbc, "text": read_text}
+    return spark.read.parquet(path) if kind == "parquet" else readers[kind](spark, path)
+
+
+def preview(spark: SparkSession, path: str, rows: int = 5000) -> DataFrame:
+    """The first `rows` rows of a delimited log as `read_text` gives them, with `error`, null if it can be read.
+
+    What keeps a file from being read is returned as one row with `error`, not raised.
+    """
+    schema = "session_id string, channel string, unit string, i int, t double, v double, error string"
+    try:
+        found = read_text(spark, path)
+    except (PySparkException, IndexError, TypeError, ValueError) as e:
+        return spark.createDataFrame([(None,) * 6 + (str(e).splitlines()[0] if str(e) else type(e).__name__,)], schema)
+    return found.where(F.col("i") < rows).withColumn("error", F.lit(None).cast("string"))
 
 
 def sniff(head: bytes) -> tuple[str, str]:
@@ -49,9 +102,12 @@ def read_text(spark: SparkSession, path: str, session_id: str | None = None) ->
     time; blank cells, and those that a short line lacks, are missing samples. Without a time column, rows
     are 0.01 s apart.
     """
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).first()[0])
+    head = _head(spark, path)
+    if not head.strip():
+        raise ValueError(f"{path} is empty")
     encoding, sep = sniff(head)
-    lines = head.decode(encoding, "ignore").splitlines()
+    stored = head.removeprefix(b"\xef\xbb\xbf").splitlines()
+    lines = [line.decode(encoding, "ignore") for line in stored]
     numeral = re.compile(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*")
     cells = [[c.strip().strip('"') for c in line.split(sep)] for line in lines[:100]]
     numeric = [sum(bool(numeral.fullmatch(c)) for c in row) for row in cells]
@@ -63,19 +119,19 @@ def read_text(spark: SparkSession, path: str, session_id: str | None = None) ->
     units = [m[2] if m else u for m, u in zip(split, [*units, *[""] * len(names)], strict=False)]
     names = _distinct([m[1] if m else n for m, n in zip(split, names, strict=True)])
     fields = F.split("value", re.escape(sep))
-    raw = spark.read.option("encoding", encoding.replace("-sig", "")).text(path).select("value", F.monotonically_increasing_id().alias("place"))
+    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place"))
     cell = lambda k: f"trim(trim(both '\"' from trim(get(v, {k}))))"
     number = lambda k: F.expr(f"try_cast({cell(k)} as double)").alias(f"c{k}")
     text = lambda k: F.expr(f"coalesce({cell(k)} <> '' AND try_cast({cell(k)} as double) IS NULL, false)").alias(f"bad{k}")
     values = raw.withColumn("v", fields).select("place", *(f(k) for k in range(len(names)) for f in (number, text)), F.size("v").alias("width"))
-    head_text = set(lines[: max(first, 0)])
-    values = values.join(raw.where(F.col("value").isin(sorted(head_text))).select("place"), "place", "left_anti") if head_text else values
+    head_text = {line.hex().upper() for line in stored[: max(first, 0)]}  # by bytes: Spark reads few encodings
+    values = values.join(raw.where(F.hex("value").isin(sorted(head_text))).select("place"), "place", "left_anti") if head_text else values
     time = next((k for k, n in enumerate(names) if n.lower() in TIME_NAMES), None)
     rows = values.where("width > 1").withColumn("i", F.row_number().over(Window.orderBy("place")) - 1)  # one file, one session
     rows = rows.withColumn("t", F.col(f"c{time}") if time is not None else F.col("i") * 0.01).where("t IS NOT NULL")
     wanted = [k for k in range(len(names)) if k != time]
     long = rows.select("i", "t", F.explode(F.array(*(F.struct(F.lit(names[k]).alias("channel"), F.lit(units[k]).alias("unit"), F.col(f"c{k}").alias("v"), F.col(f"bad{k}").alias("bad")) for k in wanted))).alias("s"))
-    name = session_id or re.sub(r"\.\w+$", "", path.rstrip("/").rsplit("/", 1)[-1])
+    name = session_id or re.sub(r"\.\w+(\.gz)?$", "", path.rstrip("/").rsplit("/", 1)[-1])
     samples = long.select(F.lit(name).alias("session_id"), "s.channel", "s.unit", "i", "t", "s.v", "s.bad")
     bad = samples.where("bad").select("channel").distinct()
     return samples.join(bad, "channel", "left_anti").select("session_id", "channel", "unit", "i", "t", "v")
@@ -142,12 +198,23 @@ def channel_records(content: bytes) -> Iterator[dict]:
         at = following
 
 
-def read_can_table(spark: SparkSession, path: str, roles: dict[str, str], encoding: str = "GBK", sep: str = ",") -> DataFrame:
-    """A table of CAN frames as (part, seq, t, frame_id, extended, payload). `roles` names its columns: time, id, format, data."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("sep", sep).csv(path)
-    payload = F.unhex(F.regexp_replace(F.regexp_replace(F.col(f"`{roles['data']}`"), r"^\s*x\|", ""), r"\s", ""))
-    t = F.col(f"`{roles['time']}`").cast("double")
-    out = raw.select(F.input_file_name().alias("part"), F.monotonically_increasing_id().alias("seq"), t.alias("t"), F.conv(F.regexp_replace(F.trim(F.col(f"`{roles['id']}`")), "^0[xX]", ""), 16, 10).cast("long").alias("frame_id"), F.lower(F.col(f"`{roles['format']}`")).contains("ext").alias("extended"), payload.alias("payload"))
+def read_can_table(spark: SparkSession, path: str, roles: dict[str, str] | None = None, encoding: str = "GBK", sep: str = ",") -> DataFrame:
+    """A table of CAN frames as (part, seq, t, frame_id, extended, payload), `t` from each part's first frame.
+
+    `roles` renames columns of CAN_ROLES: time, id, format, data. Rows without a time, an id or a payload that
+    can be read are left out. Spark reads few encodings, so the file is read by bytes and names are put into them.
+    """
+    as_read = lambda text: text.encode(encoding).decode("latin-1")
+    roles = {role: as_read(name).replace("`", "``") for role, name in (CAN_ROLES | (roles or {})).items()}
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("sep", sep).csv(path)
+    cell = lambda role: F.trim(F.col(f"`{roles[role]}`"))
+    payload = F.unhex(F.regexp_replace(F.regexp_replace(cell("data"), r"^x\|", ""), r"\s", ""))
+    digits = F.regexp_extract(cell("id"), "^(?:0[xX])?([0-9A-Fa-f]+)$", 1)
+    extended = F.lower(cell("format")).contains("ext") | cell("format").contains(as_read(EXTENDED))
+    out = raw.select(
+        F.input_file_name().alias("part"), F.monotonically_increasing_id().alias("seq"), cell("time").try_cast("double").alias("t"),
+        F.when(digits != "", F.conv(digits, 16, 10).cast("long")).alias("frame_id"), extended.alias("extended"), payload.alias("payload"),
+    ).where("t IS NOT NULL AND frame_id IS NOT NULL AND payload IS NOT NULL")
     zero = out.groupBy("part").agg(F.min("t").alias("t0"))
     return out.join(zero, "part").withColumn("t", F.col("t") - F.col("t0")).drop("t0")
 

@@ -57,6 +57,21 @@ def write_csv(df: DataFrame, path: str, digits: int = 10) -> None:
     df.select(*shown).write.option("header", True).csv(path)
 
 
+def write_merged(wide: DataFrame, path: str, units: Mapping[str, str] | None = None, index: str = "time") -> None:
+    """A merged session as CSV parts: `time_s` first, in the order of time, each part with the names and a row of units.
+
+    Parts are ranges of time, so no task sorts all rows; `read_text` reads one back.
+    """
+    names = [c for c in wide.columns if c != index]
+    shown = [F.when(finite(F.col(c).cast("double")), F.format_string("%.10g", F.col(c).cast("double"))) for c in names]
+    number = F.format_string("%.10g", F.col(index).cast("double"))
+    ordered = wide.repartitionByRange(F.col(index)).sortWithinPartitions(index)
+    line = lambda cells: ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"') else c for c in cells)
+    head = line(["time_s", *names]) + "\r\n" + line(["", *((units or {}).get(c, "") for c in names)])
+    text = ordered.select(F.concat_ws(",", number, *(F.coalesce(c, F.lit("")) for c in shown)).alias("value"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"))
+    text.select(F.when(F.col("n") == 0, F.concat(F.lit(head + "\r\n"), "value")).otherwise(F.col("value"))).write.option("lineSep", "\r\n").text(path)
+
+
 def estimate_csv_bytes(df: DataFrame, rows: int = 200) -> DataFrame:
     """(rows, bytes): an exact row count, and bytes from the text of the first rows."""
     text = F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns))
