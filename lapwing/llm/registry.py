@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, near_dedup, quality, token_count, toxicity, url_filter
+from lapwing.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, merkle, near_dedup, quality, token_count, toxicity, url_filter
 from lapwing.llm.common import LOWER, UPPER, table
 
 
@@ -69,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_checks(table(spark, sf_dir, "documents"))
+
+
 def _count(terms: tuple[str, ...]) -> str:
     return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS BIGINT)" for t in terms)
 
@@ -126,5 +130,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle": op11_merkle,
 }
-ORACLES = {"op1_chat_format": _CHAT, "op5_minhash": _NEAR, "op4_url_filter": _rule_sql(), "op10_exact_dedup": _EXACT}
+ORACLES = {"op1_chat_format": _CHAT, "op5_minhash": _NEAR, "op4_url_filter": _rule_sql(), "op10_exact_dedup": _EXACT, "op11_merkle": merkle.oracle()}
