@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, merkle, near_dedup, quality, sharding, token_count, toxicity, url_filter
+from lapwing.llm import bpe, chat_format, collocations, decontaminate, exact_dedup, license_scan, merkle, near_dedup, quality, sharding, token_count, toxicity, url_filter
 from lapwing.llm.common import LOWER, UPPER, table
 
 
@@ -73,6 +73,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_checks(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -135,6 +139,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
+    "op12_collocations": op12_collocations,
     "op13_sharding": op13_sharding,
 }
-ORACLES = {"op1_chat_format": _CHAT, "op5_minhash": _NEAR, "op4_url_filter": _rule_sql(), "op10_exact_dedup": _EXACT, "op11_merkle": merkle.oracle()}
+ORACLES = {"op1_chat_format": _CHAT, "op5_minhash": _NEAR, "op4_url_filter": _rule_sql(), "op10_exact_dedup": _EXACT, "op11_merkle": merkle.oracle(), "op12_collocations": collocations.ORACLE}
