@@ -4,32 +4,32 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.operators.can import parse_dbc
+from lapwing.sources.delimited import head_of, read_delimited
 
-DELIMITERS = (",", "\t", ";", "|", " ")
-#: Encodings tried in order, and header names of a time column.
-ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
-TIME_NAMES = ("time", "t", "timestamp", "time_s", "seconds")
 #: Columns of a recorder's table of CAN frames by role, its mark of extended frames, suffixes that may be compressed.
 CAN_ROLES = {"index": "序号", "wall": "系统时间", "time": "时间标识", "bus": "CAN通道", "id": "ID号", "frame": "帧类型", "format": "帧格式", "protocol": "CAN类型", "length": "长度", "data": "数据"}
 EXTENDED = "扩展"
 COMPRESSIBLE = (".csv", ".txt", ".tsv")
-GZIP = b"\x1f\x8b"
 
 
-def _head(spark: SparkSession, path: str, size: int = 65536) -> bytes:
-    """The first bytes of a file, or of what it holds if it is compressed."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size)).first()[0])
-    return zlib.decompressobj(31).decompress(head, size) if head[:2] == GZIP else head
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file, or of what it holds if it is compressed; a task reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([head_of(p) for p in batch.column("path").to_pylist()], pa.binary())], ["head"])
+
+    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1)
+    return bytes(files.mapInArrow(run, "head binary").first()[0])
 
 
 def kind_of(head: bytes, path: str = "") -> str:
@@ -49,7 +49,7 @@ def kind_of(head: bytes, path: str = "") -> str:
         return "dbc"
     lines = [[c.strip() for c in line.split(",")] for line in head.decode("gbk", "ignore").splitlines()[:2]]
     framed = len(lines) == 2 and len(lines[0]) >= 8 and {CAN_ROLES[r] for r in ("time", "id", "data")} <= {*lines[0]}
-    return "can" if framed and not packed and lines[1][1].startswith('="') else "text"
+    return "can" if framed and not packed and len(lines[1]) >= 8 and lines[1][1].startswith('="') else "text"
 
 
 def open_log(spark: SparkSession, path: str) -> DataFrame:
@@ -72,78 +72,9 @@ def preview(spark: SparkSession, path: str, rows: int = 5000) -> DataFrame:
     return found.where(F.col("i") < rows).withColumn("error", F.lit(None).cast("string"))
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """Encoding and delimiter of a file by its first bytes."""
-    encoding = next(e for e in ENCODINGS if _decodes(head, e))
-    rows = [r for r in head.decode(encoding, "ignore").splitlines()[:200] if r.strip()]
-
-    def score(d: str) -> float:
-        widths = [len(r.split(d)) for r in rows]
-        width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 1
-        return widths.count(width) / len(widths) * min(width, 64) if width > 1 else 0.0
-
-    return encoding, max(DELIMITERS, key=score)
-
-
-def _decodes(head: bytes, encoding: str) -> bool:
-    try:
-        head[: max(0, len(head) - 4)].decode(encoding)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def read_text(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    """A delimited log as samples (session_id, channel, unit, i, t, v).
-
-    The header is the widest row of the head that isn't numeric, a row after it without numbers holds
-    units, `Name [unit]` is split. Only the head is looked at outside Spark's reader; lines are parsed
-    in parallel. Channels with a cell that is neither blank nor a number are left out, as are rows without a
-    time; blank cells, and those that a short line lacks, are missing samples. Without a time column, rows
-    are 0.01 s apart.
-    """
-    head = _head(spark, path)
-    if not head.strip():
-        raise ValueError(f"{path} is empty")
-    encoding, sep = sniff(head)
-    stored = head.removeprefix(b"\xef\xbb\xbf").splitlines()
-    lines = [line.decode(encoding, "ignore") for line in stored]
-    numeral = re.compile(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*")
-    cells = [[c.strip().strip('"') for c in line.split(sep)] for line in lines[:100]]
-    numeric = [sum(bool(numeral.fullmatch(c)) for c in row) for row in cells]
-    at = max((k for k in range(len(cells)) if not numeric[k]), key=lambda k: (len([c for c in cells[k] if c]), -k), default=-1)
-    names = cells[at] if at >= 0 else [f"c{k}" for k in range(len(cells[0]))]
-    units = cells[at + 1] if at >= 0 and at + 1 < len(cells) and not numeric[at + 1] else [""] * len(names)
-    first = at + 1 + (units is not cells[at] and any(units) and at + 1 < len(cells) and not numeric[at + 1])
-    split = [re.fullmatch(r"(.*?)\s*\[(.*)\]", n) for n in names]
-    units = [m[2] if m else u for m, u in zip(split, [*units, *[""] * len(names)], strict=False)]
-    names = _distinct([m[1] if m else n for m, n in zip(split, names, strict=True)])
-    fields = F.split("value", re.escape(sep))
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place"))
-    cell = lambda k: f"trim(trim(both '\"' from trim(get(v, {k}))))"
-    number = lambda k: F.expr(f"try_cast({cell(k)} as double)").alias(f"c{k}")
-    text = lambda k: F.expr(f"coalesce({cell(k)} <> '' AND try_cast({cell(k)} as double) IS NULL, false)").alias(f"bad{k}")
-    values = raw.withColumn("v", fields).select("place", *(f(k) for k in range(len(names)) for f in (number, text)), F.size("v").alias("width"))
-    head_text = {line.hex().upper() for line in stored[: max(first, 0)]}  # by bytes: Spark reads few encodings
-    values = values.join(raw.where(F.hex("value").isin(sorted(head_text))).select("place"), "place", "left_anti") if head_text else values
-    time = next((k for k, n in enumerate(names) if n.lower() in TIME_NAMES), None)
-    rows = values.where("width > 1").withColumn("i", F.row_number().over(Window.orderBy("place")) - 1)  # one file, one session
-    rows = rows.withColumn("t", F.col(f"c{time}") if time is not None else F.col("i") * 0.01).where("t IS NOT NULL")
-    wanted = [k for k in range(len(names)) if k != time]
-    long = rows.select("i", "t", F.explode(F.array(*(F.struct(F.lit(names[k]).alias("channel"), F.lit(units[k]).alias("unit"), F.col(f"c{k}").alias("v"), F.col(f"bad{k}").alias("bad")) for k in wanted))).alias("s"))
-    name = session_id or re.sub(r"\.\w+(\.gz)?$", "", path.rstrip("/").rsplit("/", 1)[-1])
-    samples = long.select(F.lit(name).alias("session_id"), "s.channel", "s.unit", "i", "t", "s.v", "s.bad")
-    bad = samples.where("bad").select("channel").distinct()
-    return samples.join(bad, "channel", "left_anti").select("session_id", "channel", "unit", "i", "t", "v")
-
-
-def _distinct(names: Sequence[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        out.append(n if seen[n] == 1 else f"{n} ({seen[n]})")
-    return out
+def read_text(spark: SparkSession, path: str | list[str], session_id: str | None = None, rate: float | None = None) -> DataFrame:
+    """Delimited logs as samples (session_id, channel, unit, i, t, v), by `delimited.read_delimited`, which raises what can't be read."""
+    return read_delimited(spark, path, session_id, rate)
 
 
 def read_binary_logs(spark: SparkSession, path: str) -> DataFrame:

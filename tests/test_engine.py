@@ -95,7 +95,9 @@ def test_dbc_text(spark, tmp_path):
 def test_text_log(spark, tmp_path):
     (tmp_path / "run1.csv").write_text("Device;X\nTime;Speed [km/h];Note;Gear\n0.0;10;a;1\n0.1;20;b;2\n;30;c;3\n0.3;;d;4\n")
     got = logs.read_text(spark, str(tmp_path / "run1.csv")).orderBy("channel", "i").collect()
-    assert [(r["session_id"], r["channel"], r["t"], r["v"]) for r in got] == [("run1", "Gear", 0.0, 1.0), ("run1", "Gear", 0.1, 2.0), ("run1", "Gear", 0.3, 4.0)]
+    assert [(r["session_id"], r["channel"], r["t"], r["v"]) for r in got] == [
+        ("run1", "Gear", 0.0, 1.0), ("run1", "Gear", 0.1, 2.0), ("run1", "Gear", 0.3, 4.0), ("run1", "Speed", 0.0, 10.0), ("run1", "Speed", 0.1, 20.0), ("run1", "Speed", 0.3, None)
+    ]
 
 
 def test_binary_log(spark, tmp_path):
