@@ -2,7 +2,7 @@
 
 Texts are read in shards of a few megabytes. The first pass adds the words and word pairs of each shard to a
 sketch, a table of cells by hash whose sums are upper bounds; the second does so for longer phrases whose
-pairs may all be frequent. In the third, a shard's phrases whose bounds reach `least` are compiled into an
+pairs may all be frequent, and the words of such pairs. In the third, a shard's phrases whose bounds reach `least` are compiled into an
 automaton with delimiters about each phrase, the shard is scanned with it, overlapping matches included, and
 the shards' counts are added up and held against the threshold. No frequent phrase is lost, because a bound
 never is below the count, and what shards count is exact. A shard's automaton holds its own phrases
@@ -30,6 +30,7 @@ LEAST, LONGEST, TOP, UNKNOWN = 100, 5, 2000, "und"
 SHARD_BYTES = 4 << 20
 BLOCK = 1 << 14  # cells of a block of the sketch
 TASK_CELLS = 1 << 20  # cells that a task adds up
+HELD_PHRASES = 500_000  # phrases whose counts a task holds before it hands them on
 SKETCH_BITS = 26  # log2 of the cells; a bitmap of them is 8 MB
 #: A-Z lower-cased, ends of pieces as a line feed, white space between words as a blank; bytes of UTF-8 sequences stay.
 _NORMAL = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\x0d\x09", LOWER.encode() + b"\n" * 9 + b" ")
@@ -157,20 +158,29 @@ def _entries(cells: np.ndarray) -> pa.RecordBatch:
 
 
 def sketch(texts: DataFrame, bits: int, least: int, low: np.ndarray | None = None) -> np.ndarray:
-    """The bitmap of sketch cells whose counts reach `least`: of words and pairs, or with `low` of longer phrases whose pairs may be frequent.
+    """The bitmap of sketch cells whose counts reach `least`: of words and pairs, or with `low` of longer phrases whose pairs may be frequent and of the words in such pairs.
 
     Counts are added up by block in tasks that hold a few blocks each; what comes to the driver is 2^bits / 8 bytes at most.
     """
     context = texts.sparkSession.sparkContext
     held = None if low is None else context.broadcast(low)
 
+    def longer(s: Shard, low: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for w, at in frequent_starts(s, low, None, bits):
+            if w == 2:
+                paired = np.zeros(len(s.ids), bool)
+                paired[at] = paired[at + 1] = True
+                yield 1, np.flatnonzero(paired)
+            elif w > 2:
+                yield w, at
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, s in shards(batch):
                 if held is None:
                     widths = ((w, s.starts(w)) for w in (1, 2))
                 else:
-                    widths = ((w, at) for w, at in frequent_starts(s, held.value, None, bits) if w > 2)
+                    widths = longer(s, held.value)
                 cells = [s.cells(at[at < s.owned], w, bits) for w, at in widths]
                 if sum(map(len, cells)):
                     yield _entries(np.concatenate(cells))
@@ -210,7 +220,7 @@ def occurrences(shard: Shard, patterns: list[str]) -> Counter:
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, width, phrase, f): exact counts of all phrases of up to LONGEST words that occur `least` times in a language, and with width 0 its words.
+    """(lang, width, phrase, f): exact counts of all phrases of 2 to LONGEST words that occur `least` times in a language, of the words in them, and with width 0 of all its words.
 
     A null lang is `und`, a null text the empty one. Rows that repeat count again. No columns other than these two are read.
     """
@@ -222,24 +232,29 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS,
     names = ["lang", "width", "phrase", "f"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], Counter] = {}
         for batch in batches:
             for lang, s in shards(batch):
-                of_width = [0, *[0] * LONGEST]
                 patterns: list[str] = []
                 for width, at in frequent_starts(s, *maps.value, bits):
                     own = at[at < s.owned]
-                    if width == 1:
+                    if width == 1:  # the words of pairs that may be frequent
+                        own = own[reaches(maps.value[1], s.cells(own, 1, bits))]
                         ids, n = np.unique(s.ids[own], return_counts=True)
-                        words, counts = [s.words[i] for i in ids], n.tolist()
+                        sums.setdefault((lang, 1), Counter()).update({s.words[i]: k for i, k in zip(ids, n.tolist(), strict=True)})
                     else:
                         patterns += s.phrases(own, width)
-                    of_width[width] = len(patterns)
-                found = occurrences(s, patterns)
-                widths = [1] * len(words) + [p.count(" ") + 1 for p in patterns] + [0]
-                total = int((~s.end[: s.owned]).sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(widths)), pa.array(widths, pa.int32()), pa.array([*words, *patterns, ""]), pa.array([*counts, *(found[k] for k in range(len(patterns))), total], pa.int64())], names
-                )
+                for k, n in occurrences(s, patterns).items():
+                    sums.setdefault((lang, patterns[k].count(" ") + 1), Counter())[patterns[k]] += n
+                sums.setdefault((lang, 0), Counter())[""] += int((~s.end[: s.owned]).sum())
+            if sum(map(len, sums.values())) > HELD_PHRASES:
+                yield from counted(sums)
+                sums = {}
+        yield from counted(sums)
+
+    def counted(sums: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, width), c in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([width] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names)
 
     got = texts.mapInArrow(count, "lang string, width int, phrase string, f long")
     return got.groupBy("lang", "width", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("width") == 0))
