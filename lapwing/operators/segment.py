@@ -10,29 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.missing import finite, present
+from lapwing.operators import scan
 
+SPAN_M = 50_000.0  # metres of a block on an axis of distance
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def islands(df: DataFrame, key: str, starts: Column, order: str = "i", out: str = "island") -> DataFrame:
     """Numbers the stretches of a session from 0; a row where `starts` holds begins one."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(starts.cast("long")).over(w) - 1)
+    return scan.scan(df, [key], [order], scan.row_block(order), {out: scan.total(starts.cast("long"))}).withColumn(out, F.col(out) - 1)
 
 
 def runs(samples: DataFrame, moving: Column, gap: float = 3.0, shortest: float = 4.0) -> DataFrame:
     """(session_id, run, start_t, end_t, n): moving stretches that stops of over `gap` seconds part, of `shortest` seconds at least."""
-    w = Window.partitionBy("session_id").orderBy("t", "i")
-    m = samples.where(moving).withColumn("apart", F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True)))
-    m = m.withColumn("run", F.sum(F.col("apart").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return m.groupBy("session_id", "run").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n")).where(F.col("end_t") - F.col("start_t") >= shortest)
+    m = samples.where(moving).select("session_id", "i", "t")
+    m = scan.islands(m, ["session_id"], "i", scan.row_block(), ["t"], lambda row, before: row["t"] - before["t"] > gap, "run")
+    found = m.groupBy("session_id", "run").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n"))
+    return found.where(F.col("end_t") - F.col("start_t") >= shortest)
+
+
+def change_islands(samples: DataFrame, counter: str, out: str = "lap_index") -> DataFrame:
+    """Numbers the stretches in which a counter or label stays; a missing label is a stretch of its own."""
+    return scan.islands(samples, ["session_id"], "i", scan.row_block(), [counter], lambda row, before: row[counter] != before[counter], out)
 
 
 def change_laps(samples: DataFrame, counter: str) -> DataFrame:
     """Laps where a counter or label changes: (session_id, lap_index, label, start_t, end_t, start_i, n); the first and the last aren't complete."""
-    w = Window.partitionBy("session_id").orderBy("i")
-    changed = F.coalesce(F.col(counter) != F.lag(counter).over(w), F.lit(True))
-    cut = islands(samples.withColumn("__new", changed), "session_id", F.col("__new"), out="lap_index")
+    cut = change_islands(samples, counter)
     laps = cut.groupBy("session_id", "lap_index").agg(F.min_by(counter, "i").alias("label"), F.min("t").alias("start_t"), F.max("t").alias("last_t"), F.min("i").alias("start_i"), F.count("*").alias("n"))
     ends = Window.partitionBy("session_id").orderBy("lap_index")
     return laps.withColumn("end_t", F.coalesce(F.lead("start_t").over(ends), F.col("last_t"))).withColumn("complete", (F.col("lap_index") > 0) & F.lead("lap_index").over(ends).isNotNull()).drop("last_t")
@@ -76,7 +80,7 @@ def reference_lap(laps: DataFrame) -> DataFrame:
 def distance(samples: DataFrame, speed: str, rate: float) -> DataFrame:
     """Cumulative distance in m from km/h: rectangles, the first sample included; missing and negative speeds count as 0."""
     v = F.greatest(F.coalesce(present(F.col(speed)), F.lit(0.0)), F.lit(0.0)) / 3.6 / rate
-    return samples.withColumn("distance", F.sum(v).over(Window.partitionBy("session_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    return scan.scan(samples, ["session_id"], ["i"], scan.row_block(), {"distance": scan.total(v)})
 
 
 def first_arrival(samples: DataFrame, targets: DataFrame) -> DataFrame:
@@ -84,11 +88,18 @@ def first_arrival(samples: DataFrame, targets: DataFrame) -> DataFrame:
 
     Targets (session_id, target) and samples go on one axis by distance, filled from its far end.
     """
-    w = Window.partitionBy("session_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    top = samples.withColumn("top", F.max("distance").over(w)).groupBy("session_id", F.col("top").alias("d")).agg(F.min("t").alias("t"))
-    both = targets.select("session_id", F.col("target").alias("d"), F.lit(None).cast("double").alias("t"), F.lit(0).alias("side")).union(top.select("session_id", "d", "t", F.lit(1)))
-    back = Window.partitionBy("session_id").orderBy(F.desc("d"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("at", F.last("t", True).over(back)).where("side = 0").select("session_id", F.col("d").alias("target"), F.col("at").alias("t"))
+    top = _reached(samples)
+    both = targets.select("session_id", F.col("target").alias("d"), F.lit(None).cast("double").alias("t"), F.lit(0).alias("side"))
+    both = both.union(top.select("session_id", "d", "t", F.lit(1)))
+    order = ["d", "side"]
+    back = scan.scan(both, ["session_id"], order, F.floor(F.col("d") / SPAN_M), {"at": scan.latest(F.col("t"), order, True)}, backwards=True)
+    return back.where("side = 0").select("session_id", F.col("d").alias("target"), F.col("at").alias("t"))
+
+
+def _reached(samples: DataFrame) -> DataFrame:
+    """(session_id, d, t): when each largest distance so far was first there."""
+    top = scan.scan(samples.select("session_id", "i", "t", "distance"), ["session_id"], ["i"], scan.row_block(), {"d": scan.largest(F.col("distance"))})
+    return top.groupBy("session_id", "d").agg(F.min("t").alias("t"))
 
 
 def rolling_best(samples: DataFrame, length: float) -> DataFrame:
@@ -97,13 +108,14 @@ def rolling_best(samples: DataFrame, length: float) -> DataFrame:
     The first arrivals at each distance and the ends of the stretches that begin there go on one axis,
     filled from its far end, so each end gets the first arrival at or after it.
     """
-    w = Window.partitionBy("session_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    new = samples.withColumn("d", F.max("distance").over(w)).groupBy("session_id", "d").agg(F.min("t").alias("t"))
+    new = _reached(samples)
     none = F.lit(None).cast("double")
     entry = lambda d, arrived, start, side: F.struct(d.alias("d"), arrived.alias("arrived"), start.alias("start"), F.lit(side).alias("side"))
     sides = F.array(entry(F.col("d"), F.col("t"), none, 1), entry(F.col("d") + length, none, F.col("t"), 0))
-    back = Window.partitionBy("session_id").orderBy(F.desc("d"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    ends = new.select("session_id", F.inline(sides)).withColumn("end_t", F.last("arrived", True).over(back)).where("side = 0 AND end_t IS NOT NULL")
+    order = ["d", "side"]
+    ends = new.select("session_id", F.inline(sides))
+    ends = scan.scan(ends, ["session_id"], order, F.floor(F.col("d") / SPAN_M), {"end_t": scan.latest(F.col("arrived"), order, True)}, backwards=True)
+    ends = ends.where("side = 0 AND end_t IS NOT NULL")
     took = F.col("end_t") - F.col("start")
     return ends.groupBy("session_id").agg(F.min(took).alias("best"), F.min_by("start", F.struct(took, "start")).alias("start_t"))
 
@@ -246,40 +258,27 @@ def sections(grid: DataFrame, sensitivity: float = 1.0, shortest: float = 25.0,
 
 
 def lowpass(samples: DataFrame, cutoff: float, rate: float, high: bool = False, zero_phase: bool = False) -> DataFrame:
-    """Second-order Butterworth along each session and channel: `filtered`. A true recurrence, so one group is one series.
+    """Second-order Butterworth along each session and channel: `filtered`, by a scan in blocks.
 
     A cutoff at or over half the rate gives the input. Missing samples count as 0 (zero phase: filled,
     then missing again).
     """
-    schema = f"session_id {samples.schema['session_id'].dataType.simpleString()}, channel string, i long, t double, v double, filtered double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x = pdf["v"].to_numpy(float)
-        hole = ~np.isfinite(x)
-        filled = pd.Series(np.where(hole, np.nan, x)).ffill().bfill().fillna(0).to_numpy() if zero_phase else np.where(hole, 0, x)
-        y = filled
-        if cutoff < rate / 2:
-            y = _biquad(filled, cutoff, rate)
-            if zero_phase:
-                y = _biquad(y[::-1], cutoff, rate)[::-1]
-        out = filled - y if high else y
-        return pdf.assign(filtered=np.where(hole, np.nan, out) if zero_phase else out)
-
-    return samples.select("session_id", "channel", "i", "t", "v").groupBy("session_id", "channel").applyInPandas(run, schema)
-
-
-def _biquad(x: np.ndarray, cutoff: float, rate: float) -> np.ndarray:
-    k = np.tan(np.pi * cutoff / rate)
-    norm = 1 / (1 + np.sqrt(2) * k + k * k)
-    b0, a1, a2 = k * k * norm, 2 * (k * k - 1) * norm, (1 - np.sqrt(2) * k + k * k) * norm
-    y = np.empty_like(x)
-    s1 = s2 = 0.0
-    for n, v in enumerate(x):
-        y[n] = b0 * v + s1
-        s1 = 2 * b0 * v - a1 * y[n] + s2
-        s2 = b0 * v - a2 * y[n]
-    return y
+    keys, x = ["session_id", "channel"], present(F.col("v"))
+    s = samples.select("session_id", "channel", "i", "t", "v")
+    if zero_phase:
+        s = scan.scan(s, keys, ["i"], scan.row_block(), {"filled": scan.latest(x, ["i"])})
+        s = scan.scan(s, keys, ["i"], scan.row_block(), {"next": scan.latest(x, ["i"], True)}, backwards=True)
+        s = s.withColumn("filled", F.coalesce("filled", "next", F.lit(0.0))).drop("next")
+    else:
+        s = s.withColumn("filled", F.coalesce(x, F.lit(0.0)))
+    if cutoff < rate / 2:
+        f = scan.Biquad.lowpass(cutoff, rate)
+        s = scan.biquad(s, keys, "i", "filled", "y", f)
+        s = scan.biquad(s, keys, "i", "y", "y", f, backwards=True) if zero_phase else s
+    else:
+        s = s.withColumn("y", F.col("filled"))
+    out = F.col("filled") - F.col("y") if high else F.col("y")
+    return s.select("session_id", "channel", "i", "t", "v", (F.when(x.isNotNull(), out).otherwise(F.lit(float("nan"))) if zero_phase else out).alias("filtered"))
 
 
 def time_report(durations: DataFrame, laps: list) -> DataFrame:

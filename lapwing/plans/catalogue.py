@@ -64,8 +64,7 @@ def _laps(spark: SparkSession, d: str) -> DataFrame:
     {r('arg_max(v, i)')} AS "end", {r('arg_max(v, i) - arg_min(v, i)')} AS change, {r('stddev_pop(v)')} AS std, count(v) AS n FROM n GROUP BY ALL""")
 def channel_stats(spark, d):
     s = from_events(spark, d).withColumn("day", F.floor(F.col("t") / DAY).cast("long"))
-    w = Window.partitionBy("session_id").orderBy("i")
-    s = seg.islands(s.withColumn("new", F.coalesce(F.col("day") != F.lag("day").over(w), F.lit(True))), "session_id", F.col("new"), out="lap_index")
+    s = seg.change_islands(s, "day")
     g = aggregate.stats(s, ["session_id", "lap_index", "channel"])
     return g.select("session_id", "lap_index", "channel", *(rc(c) for c in ("min", "max", "abs_max", "mean", "start", "end", "change", "std")), "n")
 
@@ -99,7 +98,7 @@ def _clicks_views(spark, d):
     SELECT a.session_id, a.i, CASE WHEN a.t < x.m THEN b.v END AS held FROM a ASOF LEFT JOIN b ON a.session_id = b.session_id AND a.t >= b.t LEFT JOIN x ON a.session_id = x.session_id""")
 def hold_asof(spark, d):
     a, b = _clicks_views(spark, d)
-    return resample.hold(a, b).select("session_id", "i", "held")
+    return resample.hold(a, b, block=30 * DAY).select("session_id", "i", "held")
 
 
 _AROUND = f"""{_PAIR}, p AS (SELECT a.*, b.t AS pt, b.v AS pv FROM a ASOF LEFT JOIN b ON a.session_id = b.session_id AND a.t >= b.t),
@@ -346,8 +345,10 @@ def overlay_delta(spark, d):
     return both.select("session_id", "k", rounded(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
-@query("overlay_delta_all", f"""WITH {_OVER}, c AS (SELECT session_id, lap, count(*) AS n FROM z GROUP BY ALL), ref AS (SELECT session_id, lap FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n = 100 DESC, -n, lap) AS k FROM c) WHERE k = 1)
-    SELECT b.session_id, b.lap AS lap_index, b.k, {r('b.time - a.time', 4)} AS delta FROM ref JOIN ov a ON a.session_id = ref.session_id AND a.lap = ref.lap JOIN ov b ON b.session_id = a.session_id AND b.k = a.k AND b.lap <> a.lap""")
+@query("overlay_delta_all", f"""WITH {_OVER.replace("ov AS (", "ov AS MATERIALIZED (")}, c AS (SELECT session_id, lap, count(*) AS n FROM z GROUP BY ALL),
+ref AS MATERIALIZED (SELECT session_id, lap FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n = 100 DESC, -n, lap) AS k FROM c) WHERE k = 1),
+a AS MATERIALIZED (SELECT ov.* FROM ov JOIN ref USING (session_id, lap))
+    SELECT b.session_id, b.lap AS lap_index, b.k, {r('b.time - a.time', 4)} AS delta FROM ov b JOIN a ON a.session_id = b.session_id AND a.k = b.k WHERE b.lap <> a.lap""")
 def overlay_delta_all(spark, d):
     """Every lap against its session's reference lap; laps of 100 samples are complete."""
     s = _driven(spark, d)
