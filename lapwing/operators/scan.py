@@ -9,7 +9,7 @@ of a recursive filter.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -117,28 +117,35 @@ class Biquad:
         side = math.sqrt(Fraction(self.a2) - Fraction(self.a1) ** 2 / 4)
         return math.sqrt(self.a2), side, math.atan2(side, -self.a1 / 2)
 
-    def run(self, x: np.ndarray, lanes: int = 256) -> tuple[np.ndarray, float, float]:
-        """From rest: the output and the state after it. Pieces of `lanes` samples step together, then each gets what the one before leaves."""
-        n = len(x)
-        rows = -(-n // lanes)
-        if rows < 4:
-            y, s1, s2 = self._steps(x[None, :])
-            return y[0], float(s1[0]), float(s2[0])
-        whole = (rows - 1) * lanes
-        y, s1, s2 = self._steps(x[:whole].reshape(-1, lanes))
+    def run(self, x: np.ndarray, s1: float = 0.0, s2: float = 0.0) -> tuple[np.ndarray, float, float]:
+        """The output and the state after it. Lanes of a long series step together, then each gets what the one before leaves."""
+        if len(x) < 4096:
+            return self._short(x, s1, s2)
+        lanes = 256
+        rows = len(x) // lanes
+        y, e1, e2 = self._steps(x[: rows * lanes].reshape(rows, lanes))
         power = np.linalg.matrix_power(np.array([[-self.a1, 1], [-self.a2, 0]], np.longdouble), lanes)
-        state = np.zeros((rows, 2), np.longdouble)
-        for k in range(rows - 1):
-            state[k + 1] = power @ state[k] + (s1[k], s2[k])
-        free = self.free(np.arange(lanes))
-        entered = state[:-1].astype(float)
+        state = np.zeros((rows + 1, 2), np.longdouble)
+        state[0] = s1, s2
+        for k in range(rows):
+            state[k + 1] = power @ state[k] + (e1[k], e2[k])
+        free, entered = self.free(np.arange(lanes)), state[:-1].astype(float)
         y += entered[:, :1] * free[0] + entered[:, 1:] * free[1]
-        tail, e1, e2 = self._steps(x[None, whole:], *map(float, state[-1]))
-        return np.concatenate([y.ravel(), tail[0]]), float(e1[0]), float(e2[0])
-
-    def _steps(self, x: np.ndarray, s1: float = 0.0, s2: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tail, s1, s2 = self._short(x[rows * lanes :], *map(float, state[-1]))
+        return np.concatenate([y.ravel(), tail]), s1, s2
+
+    def _short(self, x: np.ndarray, s1: float, s2: float) -> tuple[np.ndarray, float, float]:
+        out, b, a1, a2 = [], self.b, self.a1, self.a2
+        for v in x.tolist():
+            y = b * v + s1
+            s1, s2 = 2 * b * v - a1 * y + s2, b * v - a2 * y
+            out.append(y)
+        return np.array(out, float), s1, s2
+
+    def _steps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row from rest."""
         y = np.empty_like(x)
-        one, two = np.full(len(x), s1), np.full(len(x), s2)
+        one, two = np.zeros(len(x)), np.zeros(len(x))
         for k in range(x.shape[1]):
             v = x[:, k]
             out = self.b * v + one
@@ -162,33 +169,62 @@ class Biquad:
 def biquad(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, f: Biquad, backwards: bool = False, rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds `out`, the filter along each series of `keys`, from rest. `value` has no missing numbers.
 
-    Each block is filtered from rest and leaves its state; states go from block to block, and what a block's
-    entering state gives is a closed form that is added to its rows. Equal places of `order` aren't defined.
+    Each block that has one after it is filtered from rest and leaves its state; states go from block to block, and then
+    every block is filtered from the state that enters it. Equal places of `order` aren't defined.
     """
+    way = F.desc if backwards else F.asc
     cut = df.withColumn("__block", F.floor(F.col(order) / rows))
-    kinds = cut.schema
-
-    def local(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(order, "descending" if backwards else "ascending")])
-        y, s1, s2 = f.run(table.column(value).to_numpy().astype(float))
-        last = np.arange(len(y)) == len(y) - 1
-        state = lambda s: pa.array(np.where(last, s, 0.0), mask=~last)
-        return table.append_column("__y", pa.array(y)).append_column("__n", pa.array(np.arange(len(y)))).append_column("__s1", state(s1)).append_column("__s2", state(s2))
-
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in kinds)
-    got = cut.groupBy(*keys, "__block").applyInArrow(local, f"{schema}, __y double, __n long, __s1 double, __s2 double")
-    # states: after a block of n samples, what the entering state has become and what the block left itself
-    way = F.sort_array(F.collect_list(F.struct("__block", (F.col("__n") + 1).alias("n"), F.col("__s1").alias("s1"), F.col("__s2").alias("s2"))), not backwards)
-    named = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys)
-    ends = cut.groupBy(*keys, "__block").applyInArrow(lambda t: _last(local(t), keys), f"{named}, __block long, __n long, __s1 double, __s2 double")
-    after = f"named_struct('b', x.`__block`, 'i1', s.o1, 'i2', s.o2, 'o1', {f.free_response('x.n', 's.o1', 's.o2')} + x.s1, 'o2', {-f.a2!r}D * ({f.free_response('(x.n - 1)', 's.o1', 's.o2')}) + x.s2)"
-    zero = "named_struct('o1', 0.0D, 'o2', 0.0D, 'all', cast(array() as array<struct<b:bigint,i1:double,i2:double>>))"
-    step = f"transform(array({after}), a -> named_struct('o1', a.o1, 'o2', a.o2, 'all', concat(s.all, array(named_struct('b', a.b, 'i1', a.i1, 'i2', a.i2)))))[0]"
-    states = ends.groupBy(*keys).agg(way.alias("blocks")).select(*keys, F.inline(F.expr(f"aggregate(blocks, {zero}, (s, x) -> {step}, s -> s.all)")))
-    joined = got.join(states.withColumnRenamed("b", "__block"), [*keys, "__block"], "left")
-    y = F.col("__y") + F.expr(f.free_response("__n", "i1", "i2"))
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != out), y.alias(out))
-
-
-def _last(table: pa.Table, keys: Sequence[str]) -> pa.Table:
-    return table.select([*keys, "__block", "__n", "__s1", "__s2"]).slice(table.num_rows - 1)
+    tail = cut.groupBy(*keys).agg((F.min if backwards else F.max)("__block").alias("__tail"))
+    slim = cut.select(*keys, "__block", F.col(order).alias("__o"), F.col(value).cast("double").alias("__x"))
+    slim = slim.join(tail, list(keys)).where(F.col("__block") != F.col("__tail")).select(*keys, "__block", "__o", "__x", F.xxhash64(*keys, "__block").alias("__g"))
+    named = [(k, df.schema[k].dataType.simpleString()) for k in keys]
+    left = slim.repartition(*keys, "__block").sortWithinPartitions("__g", way("__o"))
+    left = left.mapInArrow(lambda batches: _states(batches, f, keys), ", ".join(f"`{k}` {t}" for k, t in named) + ", __block long, __n long, __s1 double, __s2 double")
+    last = F.max(F.struct(F.col("__n").alias("n"), F.col("__s1").alias("s1"), F.col("__s2").alias("s2")))
+    ends = left.groupBy(*keys, "__block").agg(last.alias("e"))
+    # a block of n samples makes of the entering state (o1, o2) what it becomes alone, and what the block left itself
+    blocks = F.sort_array(F.collect_list(F.struct("__block", "e.n", "e.s1", "e.s2")), not backwards)
+    after = f"'o1', {f.free_response('x.n', 's.o1', 's.o2')} + x.s1, 'o2', {-f.a2!r}D * ({f.free_response('(x.n - 1)', 's.o1', 's.o2')}) + x.s2"
+    none = "cast(array() as array<struct<b:bigint,o1:double,o2:double>>)"
+    step = f"transform(array(named_struct('b', x.`__block`, {after})), a -> named_struct('o1', a.o1, 'o2', a.o2, 'all', concat(s.all, array(a))))[0]"
+    states = ends.groupBy(*keys).agg(blocks.alias("__all")).select(*keys, F.inline(F.expr(f"aggregate(__all, named_struct('o1', 0.0D, 'o2', 0.0D, 'all', {none}), (s, x) -> {step}, s -> s.all)")))
+    states = states.select(*keys, (F.col("b") + (-1 if backwards else 1)).alias("__next"), "o1", "o2")
+    # blocks without samples leave the state as it is: a block is entered by what the nearest one before it left
+    entered = cut.select(*keys, "__block").distinct().withColumn("__prior", F.lag("__block").over(Window.partitionBy(*keys).orderBy(way("__block"))))
+    entered = entered.withColumn("__next", F.col("__prior") + (-1 if backwards else 1)).join(states, [*keys, "__next"], "left").select(*keys, "__block", F.coalesce("o1", F.lit(0.0)).alias("__i1"), F.coalesce("o2", F.lit(0.0)).alias("__i2"))
+    rest = [c for c in df.columns if c != out]
+    whole = cut.withColumn("__x", F.col(value).cast("double")).join(entered, [*keys, "__block"], "left").withColumn("__g", F.xxhash64(*keys, "__block"))
+    whole = whole.select(*rest, "__x", "__g", "__i1", "__i2").repartition("__g").sortWithinPartitions("__g", way(order))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return whole.mapInArrow(lambda batches: _filtered(batches, f, rest, out), f"{schema}, `{out}` double")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], f: Biquad) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, float, float]], np.ndarray]]:
+    """Each batch with its runs of one block (begin, end, samples of the block so far, state) and the output; a block may go on in the next batch."""
+    block, n, s1, s2 = None, 0, 0.0, 0.0
+    for batch in batches:
+        g, x = batch.column("__g").to_numpy(), batch.column("__x").to_numpy(zero_copy_only=False)
+        first = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("__i1", "__i2")] if "__i1" in batch.schema.names else None
+        edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)] if len(g) else [0]
+        runs, y = [], np.empty(len(g))
+        for a, b in zip(edges, edges[1:], strict=False):
+            if g[a] != block:
+                block, n = g[a], 0
+                s1, s2 = (first[0][a], first[1][a]) if first else (0.0, 0.0)
+            y[a:b], s1, s2 = f.run(x[a:b], s1, s2)
+            n += b - a
+            runs.append((a, b, n, s1, s2))
+        yield batch, runs, y
+
+
+def _states(batches: Iterator[pa.RecordBatch], f: Biquad, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    for batch, runs, _ in _groups(batches, f):
+        if runs:
+            at = pa.array([a for a, *_ in runs])
+            state = [pa.array([r[k] for r in runs], kind) for k, kind in ((2, pa.int64()), (3, pa.float64()), (4, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (*keys, "__block")), *state], [*keys, "__block", "__n", "__s1", "__s2"])
+
+
+def _filtered(batches: Iterator[pa.RecordBatch], f: Biquad, rest: Sequence[str], out: str) -> Iterator[pa.RecordBatch]:
+    for batch, _, y in _groups(batches, f):
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(y)], [*rest, out])

@@ -86,36 +86,36 @@ def distance(samples: DataFrame, speed: str, rate: float) -> DataFrame:
 def first_arrival(samples: DataFrame, targets: DataFrame) -> DataFrame:
     """(session_id, target, t): the first time that the running largest distance reaches each target.
 
-    Targets (session_id, target) and samples go on one axis by distance, filled from its far end.
+    That is the least time of all samples so far or farther: targets (session_id, target) and samples go on one axis
+    by distance, scanned from its far end.
     """
-    top = _reached(samples)
     both = targets.select("session_id", F.col("target").alias("d"), F.lit(None).cast("double").alias("t"), F.lit(0).alias("side"))
-    both = both.union(top.select("session_id", "d", "t", F.lit(1)))
-    order = ["d", "side"]
-    back = scan.scan(both, ["session_id"], order, F.floor(F.col("d") / SPAN_M), {"at": scan.latest(F.col("t"), order, True)}, backwards=True)
+    both = both.union(_arrived(samples).select("session_id", "d", "t", F.lit(1)))
+    back = _from_far(both, "t", "at")
     return back.where("side = 0").select("session_id", F.col("d").alias("target"), F.col("at").alias("t"))
 
 
-def _reached(samples: DataFrame) -> DataFrame:
-    """(session_id, d, t): when each largest distance so far was first there."""
-    top = scan.scan(samples.select("session_id", "i", "t", "distance"), ["session_id"], ["i"], scan.row_block(), {"d": scan.largest(F.col("distance"))})
-    return top.groupBy("session_id", "d").agg(F.min("t").alias("t"))
+def _arrived(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("session_id", F.col("distance").alias("d")).agg(F.min("t").alias("t"))
+
+
+def _from_far(axis: DataFrame, t: str, out: str) -> DataFrame:
+    """Adds the least `t` of the rows (session_id, d, side) as far or farther; of one distance, side 1 comes before side 0."""
+    return scan.scan(axis, ["session_id"], ["d", "side"], F.floor(F.col("d") / SPAN_M), {out: scan.smallest(F.col(t))}, backwards=True)
 
 
 def rolling_best(samples: DataFrame, length: float) -> DataFrame:
     """(session_id, best, start_t): the least time over any stretch of `length` metres.
 
-    The first arrivals at each distance and the ends of the stretches that begin there go on one axis,
-    filled from its far end, so each end gets the first arrival at or after it.
+    A stretch begins where a distance is first reached, and ends at the first arrival at or after its far end. The
+    samples and the ends of the stretches go on one axis, scanned from its far end.
     """
-    new = _reached(samples)
     none = F.lit(None).cast("double")
-    entry = lambda d, arrived, start, side: F.struct(d.alias("d"), arrived.alias("arrived"), start.alias("start"), F.lit(side).alias("side"))
-    sides = F.array(entry(F.col("d"), F.col("t"), none, 1), entry(F.col("d") + length, none, F.col("t"), 0))
-    order = ["d", "side"]
-    ends = new.select("session_id", F.inline(sides))
-    ends = scan.scan(ends, ["session_id"], order, F.floor(F.col("d") / SPAN_M), {"end_t": scan.latest(F.col("arrived"), order, True)}, backwards=True)
-    ends = ends.where("side = 0 AND end_t IS NOT NULL")
+    entry = lambda d, arrived, side: F.struct(d.alias("d"), arrived.alias("arrived"), F.col("d").alias("begin"), F.col("t").alias("start"), F.lit(side).alias("side"))
+    sides = F.array(entry(F.col("d"), F.col("t"), 1), entry(F.col("d") + length, none, 0))
+    axis = _from_far(_arrived(samples).select("session_id", F.inline(sides)), "arrived", "first_t")
+    first = lambda side: F.max(F.when(F.col("side") == side, F.col("first_t")))
+    ends = axis.groupBy("session_id", "begin", "start").agg(first(1).alias("reached"), first(0).alias("end_t")).where("reached = start AND end_t IS NOT NULL")
     took = F.col("end_t") - F.col("start")
     return ends.groupBy("session_id").agg(F.min(took).alias("best"), F.min_by("start", F.struct(took, "start")).alias("start_t"))
 
