@@ -57,8 +57,9 @@ class Shard:
     def starts(self, width: int, among: np.ndarray | None = None) -> np.ndarray:
         """Places where a phrase of `width` words begins within a piece, of those in `among` (places of phrases a word shorter)."""
         n = len(self.ids)
-        at = np.arange(n) if among is None else among
-        at = at[at + width <= n]
+        if among is None:
+            among = self.starts(width - 1) if width > 1 else np.arange(n)
+        at = among[among + width <= n]
         return at[~self.end[at + width - 1]]
 
     def cells(self, at: np.ndarray, width: int, bits: int) -> np.ndarray:
@@ -254,7 +255,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS,
 
     def counted(sums: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
         for (lang, width), c in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([width] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names)
+            columns = ([lang] * len(c), pa.string()), ([width] * len(c), pa.int32()), (list(c), pa.string()), (list(c.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names)
 
     got = texts.mapInArrow(count, "lang string, width int, phrase string, f long")
     return got.groupBy("lang", "width", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("width") == 0))
