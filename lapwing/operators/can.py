@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lapwing.operators.resample import around
+
 
 def byte(payload: Column, k: int) -> Column:
     """Byte k of a binary payload as a long; NULL beyond its end."""
@@ -73,35 +75,121 @@ def merge_dbc(signals: DataFrame, frames: DataFrame) -> DataFrame:
     return signals.join(chosen, ["db", "frame_id", "extended"], "left_semi")
 
 
-def decode(frames: DataFrame, signals: list) -> DataFrame:
+#: Signals up to which the definitions are broadcast, some 200 bytes each; more are joined by a shuffle.
+BROADCAST_SIGNALS = 100_000
+SIGNAL = "db string, frame_id long, extended boolean, message string, size int, signal string, start_bit int, length int, big_endian boolean, signed boolean, factor double, offset double, unit string, mux_role string, mux_branch int"
+
+
+def _as_table(spark: SparkSession, signals: DataFrame | list) -> DataFrame:
+    if isinstance(signals, DataFrame):
+        return signals
+    names = [c.split()[0] for c in SIGNAL.split(", ")]
+    get = lambda s, c: s[c] if c in (s.asDict() if isinstance(s, Row) else s) else None
+    return spark.createDataFrame([tuple(get(s, c) for c in names) for s in signals], SIGNAL)
+
+
+def _place() -> Column:
+    """A signal's first bit, counted from the payload's first: of big endian signals bit 7 of a byte comes first."""
+    start = F.col("start_bit")
+    return F.when(F.coalesce("big_endian", F.lit(False)), F.floor(start / 8) * 8 + 7 - start % 8).otherwise(start).cast("int")
+
+
+def messages(signals: DataFrame) -> DataFrame:
+    """(frame_id, extended, message, selector, signals): what to do with a frame of an id and format, as data.
+
+    A signal's bits come from two neighbouring 64-bit words of the payload (in the byte order of the signal): each is
+    shifted, both are joined and cut to the length. A frame belongs to the message of its id and format, and where
+    only the other format has its id, to that. A signal in several messages carries its message's name.
+    """
+    n, big, place = F.col("length"), F.coalesce("big_endian", F.lit(False)), _place()
+    at = signals.select("*", F.floor(place / 64).cast("int").alias("word"), (place % 64).alias("off")).withColumn("over", F.col("off") + n - 64)
+    spans, off, over = F.col("over") > 0, F.col("off"), F.col("over")
+    zero = F.lit(0)
+    named = at.withColumn("n_named", F.count("*").over(Window.partitionBy("signal")))
+    how = F.struct(
+        F.when(F.col("n_named") == 1, F.col("signal")).otherwise(F.concat_ws(".", "message", "signal")).alias("channel"), big.alias("big"), "word", spans.alias("spans"),
+        F.when(big, F.greatest(zero, -over)).otherwise(off).alias("right"), F.when(big & spans, over).otherwise(zero).alias("left"),
+        F.when(big, zero).otherwise(64 - off).alias("left2"), F.when(big, 64 - over).otherwise(zero).alias("right2"),
+        n.alias("length"), F.coalesce("signed", F.lit(False)).alias("signed"), F.ceil((place + n) / 8).cast("int").alias("bytes"), F.col("factor").cast("double").alias("factor"), F.col("offset").cast("double").alias("offset"),
+        F.when(F.col("mux_role") == "m", F.coalesce(F.col("mux_branch"), F.lit(-1))).alias("branch"),
+    )
+    one = named.select("frame_id", F.coalesce("extended", F.lit(False)).alias("extended"), "message", how.alias("how"), (F.col("mux_role") == "M").alias("selects"))
+    whole = one.groupBy("frame_id", "extended").agg(F.min("message").alias("message"), F.min_by("how", F.when(F.col("selects"), F.col("how.channel"))).alias("selector"), F.collect_list("how").alias("signals"))
+    both = whole.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("format"))
+    first = F.row_number().over(Window.partitionBy("frame_id", "format").orderBy(F.col("format") != F.col("extended")))
+    return both.withColumn("nth", first).where("nth = 1").select("frame_id", F.col("format").alias("extended"), "message", "selector", "signals")
+
+
+def _words(payload: Column, words: int) -> dict[str, Column]:
+    """The payload as 64-bit words, missing bytes as 0: high byte first, and low byte first."""
+    text = lambda k: F.rpad(F.substring(F.hex(payload), 16 * k + 1, 16), 16, "0")
+    high = [F.conv(text(k), 16, -10).cast("long") for k in range(words)]
+    return {f"__b{k}": w for k, w in enumerate(high)}
+
+
+def _swapped(word: str) -> str:
+    return " | ".join(f"shiftleft(shiftrightunsigned({word}, {8 * k}) & 255L, {56 - 8 * k})" for k in range(8))
+
+
+def _value(how: str, words: int) -> str:
+    """SQL of the raw value of a signal `how`, null where the payload is too short."""
+    pick = lambda step: (
+        f"if({how}.big, __b0, __l0)" if words == 1 and not step else "0L" if words == 1 else f"coalesce(get(if({how}.big, __b, __l), {how}.word + {step}), 0L)"
+    )
+    bits = f"shiftleft(shiftrightunsigned({pick(0)}, {how}.right), {how}.left)"
+    if words > 1:
+        bits = f"({bits} | if({how}.spans, shiftrightunsigned(shiftleft({pick(1)}, {how}.left2), {how}.right2), 0L))"
+    top = f"shiftleft({bits}, 64 - {how}.length)"
+    cut = f"if({how}.signed, shiftright({top}, 64 - {how}.length), shiftrightunsigned({top}, 64 - {how}.length))"
+    return f"if(octet_length(payload) >= {how}.bytes, {cut}, NULL)"
+
+
+def matched(frames: DataFrame, signals: DataFrame | list) -> DataFrame:
+    """Frames with their message, `selected` (the selector's raw value, null without one) and `signals`; frames of no message are left out."""
+    table = _as_table(frames.sparkSession, signals)
+    n, most = table.agg(F.count("*"), F.max(_place() + F.col("length"))).first()
+    words = 1 if (most or 0) <= 64 else 8
+    defined = messages(table)
+    defined = F.broadcast(defined) if n <= BROADCAST_SIGNALS else defined
+    known = frames.withColumn("extended", F.coalesce("extended", F.lit(False)) if "extended" in frames.columns else F.lit(False)).join(defined, ["frame_id", "extended"])
+    known = known.withColumns(_words(F.col("payload"), words)).withColumns({f"__l{k}": F.expr(_swapped(f"__b{k}")) for k in range(words)})
+    if words > 1:
+        known = known.withColumns({"__b": F.array(*(f"__b{k}" for k in range(words))), "__l": F.array(*(f"__l{k}" for k in range(words)))})
+    return known.withColumn("selected", F.when(F.col("selector").isNotNull(), F.expr(_value("selector", words))))
+
+
+def decode(frames: DataFrame, signals: DataFrame | list) -> DataFrame:
     """(session_id, t, seq, channel, v) of frames (session_id, t, seq, frame_id, extended, payload).
 
-    `signals` are the collected rows of a DBC (a few thousand at most). Each signal is one expression
-    over its frames; multiplexed ones ask for the selector's branch. A signal in several messages
-    carries its message's name. A frame belongs to the message of its id and format; where only the
-    other format has its id, to that.
+    `signals` is a table as `parse_dbc` gives it, or its rows. A frame meets its own message's signals only, by a join,
+    so the work of a frame doesn't grow with the number of definitions. Signals of a branch need the selector's value;
+    without a selector in the message they have none. Payloads of up to 64 bytes; a signal beyond the payload's end has no value.
+    """
+    got = matched(frames, signals)
+    words = 8 if "__b" in got.columns else 1
+    mine = F.filter("signals", lambda s: s["branch"].isNull() | (s["branch"] == F.col("selected")))
+    one = got.withColumn("s", F.explode(mine)).withColumn("raw", F.expr(_value("s", words)))
+    number = F.when((F.col("s.length") == 64) & ~F.col("s.signed") & (F.col("raw") < 0), F.col("raw") + F.lit(2.0**64)).otherwise(F.col("raw"))
+    return one.select("session_id", "t", "seq", "s.channel", (number * F.col("s.factor") + F.col("s.offset")).alias("v")).where("v IS NOT NULL")
+
+
+def stray_selectors(frames: DataFrame, signals: DataFrame | list) -> DataFrame:
+    """(message, selected, frames): how many frames have a selector value that no branch of their message has."""
+    got = matched(frames, signals).where("selected IS NOT NULL AND exists(signals, s -> s.branch IS NOT NULL)")
+    return got.where(~F.exists("signals", lambda s: F.coalesce(s["branch"] == F.col("selected"), F.lit(False)))).groupBy("message", "selected").agg(F.count("*").alias("frames"))
+
+
+def on_axis(decoded: DataFrame, axis: DataFrame, block: float | None = None) -> DataFrame:
+    """(session_id, t, channel, v): each channel's last value at each time of the axis (session_id, t); before its first value, that one.
+
+    Of several values at one time the last by `seq` counts.
     """
-    names = [s["signal"] for s in signals]
-    by_id: dict = {}
-    for s in signals:
-        by_id.setdefault((s["frame_id"], s["extended"]), []).append(s)
-    values = []
-    own_format = F.coalesce(F.col("extended"), F.lit(False))
-    for (frame_id, extended), group in by_id.items():
-        of_message = F.col("frame_id") == frame_id
-        if (frame_id, not extended) in by_id:
-            of_message &= own_format == bool(extended)
-        selector = next((s for s in group if s["mux_role"] == "M"), None)
-        for s in group:
-            v = physical(raw_value(F.col("payload"), s["start_bit"], s["length"], s["big_endian"], s["signed"]), s["factor"], s["offset"])
-            mine = of_message
-            if s["mux_role"] == "m" and selector is not None:
-                mine &= raw_value(F.col("payload"), selector["start_bit"], selector["length"], selector["big_endian"]) == s["mux_branch"]
-            name = s["signal"] if names.count(s["signal"]) == 1 else f"{s['message']}.{s['signal']}"
-            values.append(F.when(mine, F.struct(F.lit(name).alias("channel"), v.alias("v"))))
-    known = frames.where(F.col("frame_id").isin(sorted({k[0] for k in by_id})))
-    out = known.select("session_id", "t", "seq", F.explode(F.filter(F.array(*values), lambda x: x.isNotNull())).alias("s"))
-    return out.select("session_id", "t", "seq", "s.channel", "s.v").where("v IS NOT NULL")
+    last = decoded.groupBy("session_id", "channel", "t").agg(F.max_by("v", "seq").alias("v"))
+    key = F.struct("session_id", "channel")
+    heads = last.groupBy("session_id", "channel").agg(F.min_by("v", "t").alias("first"))
+    left = axis.select("session_id", "t").join(heads, "session_id").select(key.alias("session_id"), "t", "first")
+    held = around(left, last.select(key.alias("session_id"), "t", "v"), block=block, sides=("prev",))
+    return held.select("session_id.session_id", "t", "session_id.channel", F.coalesce("prev.v", "first").alias("v"))
 
 
 def undecoded(frames: DataFrame, signals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapwing.operators import scan
 
 
-def _around(left: DataFrame, right: DataFrame, session: str = "session_id", block: float | None = None, sides: tuple[str, ...] = ("prev", "next")) -> DataFrame:
+def around(left: DataFrame, right: DataFrame, session: str = "session_id", block: float | None = None, sides: tuple[str, ...] = ("prev", "next")) -> DataFrame:
     """Left rows with the right samples at or before (`prev`) and at or after (`next`) their t, and the right range.
 
     Both sides are put on one axis and filled along it: one shuffle by session, no join on a range. With `block`,
@@ -39,7 +39,7 @@ def hold(left: DataFrame, right: DataFrame, closed: bool = False, block: float |
     """The last right sample at each left t; nothing before the first, at or (unless `closed`) after the last. `block`: seconds that one task scans."""
     inside = F.col("t") >= F.col("r_min")
     inside &= (F.col("t") <= F.col("r_max")) if closed else (F.col("t") < F.col("r_max"))
-    return _around(left, right, block=block, sides=("prev",)).withColumn("held", F.when(inside, F.col("prev.v"))).drop("prev", "next", "r_min", "r_max")
+    return around(left, right, block=block, sides=("prev",)).withColumn("held", F.when(inside, F.col("prev.v"))).drop("prev", "next", "r_min", "r_max")
 
 
 def interpolate(left: DataFrame, right: DataFrame, clamp: bool = True, block: float | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def interpolate(left: DataFrame, right: DataFrame, clamp: bool = True, block: fl
     p, n = F.col("prev"), F.col("next")
     between = p["v"] + (n["v"] - p["v"]) * ((F.col("t") - p["t"]) / (n["t"] - p["t"]))
     value = F.when(p.isNull(), n["v"] if clamp else None).when(n.isNull(), p["v"] if clamp else None).when(p["t"] == n["t"], p["v"]).otherwise(between)
-    return _around(left, right, block=block).withColumn("value", value).drop("prev", "next", "r_min", "r_max")
+    return around(left, right, block=block).withColumn("value", value).drop("prev", "next", "r_min", "r_max")
 
 
 def nearest(left: DataFrame, right: DataFrame, tie_left: bool = True, inside: bool = False, block: float | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def nearest(left: DataFrame, right: DataFrame, tie_left: bool = True, inside: bo
     value = F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).when((dp <= dn) if tie_left else (dp < dn), p["v"]).otherwise(n["v"])
     if inside:
         value = F.when(p.isNotNull() & n.isNotNull(), value)
-    return _around(left, right, block=block).withColumn("value", value).drop("prev", "next", "r_min", "r_max")
+    return around(left, right, block=block).withColumn("value", value).drop("prev", "next", "r_min", "r_max")
 
 
 def bin_mean(samples: DataFrame, step: float, keys: tuple[str, ...] = ("session_id", "channel")) -> DataFrame:

@@ -159,12 +159,37 @@ def event_props(spark, d):
     return e.groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"), F.count_if(finite(F.col("value"))).alias("n"))
 
 
+def _part_dbc(spark, d):
+    """A DBC text with a message and a signal for each part."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    message = F.format_string("BO_ %d M%d: 8 X", key, key)
+    signal = F.format_string(' SG_ S%d : %d|%d@%d%s (0.5,-1) [0|0] "u" X', key, size % 32, 1 + size % 16, key % 2, F.when(key % 3 == 0, "-").otherwise("+"))
+    text = table(spark, d, "part").select(F.lit("parts").alias("db"), (2 * key).alias("at"), F.array(message, signal).alias("lines"))
+    return text.select("db", F.posexplode("lines").alias("k", "line"), "at").select("db", (F.col("at") + F.col("k")).alias("line_no"), "line")
+
+
 def dbc_signals(spark, d):
-    text = spark.range(1).select(
-        F.lit("a.dbc").alias("db"),
-        F.posexplode(F.array(*map(F.lit, ("BO_ 256 Motor: 8 ECU", ' SG_ Speed : 0|16@1+ (0.1,0) [0|6553] "rpm" X', ' SG_ Temp : 23|8@0- (1,-40) [-40|215] "C" X', "BO_ 2147484000 Pack: 8 BMS", ' SG_ Mode M : 0|4@1+ (1,0) [0|15] "" X', ' SG_ Cell1 m0 : 8|12@1+ (0.5,0) [0|0] "mV" X')))).alias("line_no", "line"),
+    return can.parse_dbc(_part_dbc(spark, d))
+
+
+def can_decode_table(spark, d):
+    """Frames of `events` by the definitions of all parts."""
+    e = table(spark, d, "events")
+    n = table(spark, d, "part").select(F.max("p_partkey").alias("n"))
+    payload = F.unhex(F.lpad(F.hex(F.col("event_id") * 2654435761), 16, "0"))
+    frames = e.join(F.broadcast(n)).select(
+        F.col("user_id").alias("session_id"), F.col("event_id").cast("double").alias("t"), F.col("event_id").alias("seq"), (1 + F.col("event_id") % F.col("n")).alias("frame_id"), F.lit(False).alias("extended"), payload.alias("payload")
     )
-    return can.parse_dbc(text)
+    return can.decode(frames, dbc_signals(spark, d)).select("seq", "channel", "v")
+
+
+_PARTS = """p AS (SELECT p_partkey AS k, CAST(p_size % 32 AS INT) AS s, CAST(1 + p_size % 16 AS INT) AS n, p_partkey % 2 = 0 AS big, p_partkey % 3 = 0 AS signed FROM part)"""
+_DBC = f"""WITH {_PARTS} SELECT 'parts' AS db, k AS frame_id, false AS extended, 'M' || k AS message, 8 AS size, 'S' || k AS signal, s AS start_bit, n AS length, big AS big_endian, signed, 0.5::DOUBLE AS factor, (-1)::DOUBLE AS "offset",
+    'u' AS unit, NULL::VARCHAR AS mux_role, NULL::INT AS mux_branch FROM p"""
+_DECODED = f"""WITH {_PARTS}, f AS (SELECT event_id AS seq, event_id * 2654435761 AS x, 1 + event_id % (SELECT max(p_partkey) FROM part) AS k FROM events),
+b AS (SELECT *, ((x >> 56) & 255) | (((x >> 48) & 255) << 8) | (((x >> 40) & 255) << 16) | (((x >> 32) & 255) << 24) | (((x >> 24) & 255) << 32) | (((x >> 16) & 255) << 40) AS low FROM f),
+r AS (SELECT seq, k, n, signed, (CASE WHEN big THEN x >> (64 - (s // 8 * 8 + 7 - s % 8) - n) ELSE low >> s END) & ((1::BIGINT << n) - 1) AS raw FROM b JOIN p USING (k))
+SELECT seq, 'S' || k AS channel, (CASE WHEN signed AND raw >= (1::BIGINT << (n - 1)) THEN raw - (1::BIGINT << n) ELSE raw END * 0.5 - 1)::DOUBLE AS v FROM r"""
 
 
 def _r(x, n=5):
@@ -211,5 +236,6 @@ QUERIES = {
     "live_windows": (live_windows, f"SELECT CAST(floor(epoch_us(ts) / 1e6 / 21600) AS BIGINT) * 21600 AS start_s, user_id AS session_id, event_type AS channel, count(value) AS n, min(value) AS min, max(value) AS max, {_r('avg(value)')} AS mean FROM events GROUP BY ALL"),
     "live_runs": (live_run_windows, "WITH k AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 43200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts))), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM k) SELECT user_id AS session_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM g GROUP BY user_id, k"),
     "event_props": (event_props, "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(value) AS n FROM events GROUP BY ALL"),
-    "dbc_signals": (dbc_signals, None),
+    "dbc_signals": (dbc_signals, _DBC),
+    "can_decode_table": (can_decode_table, _DECODED),
 }
