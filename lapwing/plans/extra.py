@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.missing import finite, rounded
-from lapwing.operators import can, geo, multi
+from lapwing.operators import can, geo, multi, pairing
 from lapwing.operators.segment import change_laps
 from lapwing.sessions import from_events, from_lineitem, land_aliases, lookup, merge_key, name_key, table
 from lapwing.sources.tables import long_layout, wide_layout
@@ -183,6 +183,17 @@ def can_decode_table(spark, d):
     return can.decode(frames, dbc_signals(spark, d)).select("seq", "channel", "v")
 
 
+def pair_lags(spark, d):
+    """Each supplier's lines by day, a day as a second, against themselves on a clock that is off by a known lag."""
+    days = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
+    day = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("pair"), days.alias("t"))
+    day = day.agg(*(F.sum(c).cast("double").alias(n) for n, c in {"speed": "l_quantity", "ax": "l_extendedprice", "ay": "l_discount", "az": "l_tax"}.items()))
+    long = day.unpivot(["pair", "t"], ["speed", "ax", "ay", "az"], "channel", "v")
+    off = F.col("pair") % 41 * 7.31 - 120
+    got = pairing.find_lags(long, long.withColumn("t", F.col("t") + off))
+    return got.select("pair", "ok", (F.abs(F.col("lag") - off) <= 1.0).alias("found"))  # values stay for a day, and so does the lag
+
+
 _PARTS = """p AS (SELECT p_partkey AS k, CAST(p_size % 32 AS INT) AS s, CAST(1 + p_size % 16 AS INT) AS n, p_partkey % 2 = 0 AS big, p_partkey % 3 = 0 AS signed FROM part)"""
 _DBC = f"""WITH {_PARTS} SELECT 'parts' AS db, k AS frame_id, false AS extended, 'M' || k AS message, 8 AS size, 'S' || k AS signal, s AS start_bit, n AS length, big AS big_endian, signed, 0.5::DOUBLE AS factor, (-1)::DOUBLE AS "offset",
     'u' AS unit, NULL::VARCHAR AS mux_role, NULL::INT AS mux_branch FROM p"""
@@ -238,4 +249,5 @@ QUERIES = {
     "event_props": (event_props, "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(value) AS n FROM events GROUP BY ALL"),
     "dbc_signals": (dbc_signals, _DBC),
     "can_decode_table": (can_decode_table, _DECODED),
+    "pair_lags": (pair_lags, "SELECT DISTINCT l_suppkey AS pair, true AS ok, true AS found FROM lineitem"),
 }
