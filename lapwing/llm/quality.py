@@ -171,7 +171,7 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labelled = described.join(F.broadcast(weak), "votes")
     chosen = sample_by_hash(labelled, F.struct("id", "at", "x"), sample).select("at", "x", "weak").collect()
     weights = train([(r["at"], r["x"], r["weak"]) for r in chosen])
-    model = spark.createDataFrame([(weights.tolist(),)], "w array<double>")
-    z = F.aggregate(F.arrays_zip("at", "x"), F.get("w", F.lit(BUCKETS)), lambda s, f: s + f["x"] * F.get("w", f["at"]))
-    scored = labelled.crossJoin(F.broadcast(model)).withColumn("score", 1 / (1 + F.exp(-z)))  # one row of weights
+    w = F.lit(weights.tolist())
+    z = F.aggregate(F.arrays_zip("at", "x"), F.get(w, F.lit(BUCKETS)), lambda s, f: s + f["x"] * F.get(w, f["at"]))
+    scored = labelled.withColumn("score", 1 / (1 + F.exp(-z)))
     return scored.select(F.col("id").alias(id_col), "score", "weak", "votes", (F.col("score") >= 0.5).alias("keep"))
