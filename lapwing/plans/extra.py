@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.missing import finite, rounded
-from lapwing.operators import can, geo, multi, pairing
+from lapwing.operators import can, geo, multi, pairing, quantiles
 from lapwing.operators.segment import change_laps
 from lapwing.sessions import from_events, from_lineitem, land_aliases, lookup, merge_key, name_key, table
 from lapwing.sources.tables import long_layout, wide_layout
@@ -194,6 +194,15 @@ def pair_lags(spark, d):
     return got.select("pair", "ok", (F.abs(F.col("lag") - off) <= 1.0).alias("found"))  # values stay for a day, and so does the lag
 
 
+_QS = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def group_percentiles(spark, d):
+    """Exact percentiles of the lines' prices by flag and status: few groups, each with many rows."""
+    got = quantiles.percentiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", _QS)
+    return got.select("l_returnflag", "l_linestatus", "q", rounded(F.col("value"), 4).alias("price"))
+
+
 _PARTS = """p AS (SELECT p_partkey AS k, CAST(p_size % 32 AS INT) AS s, CAST(1 + p_size % 16 AS INT) AS n, p_partkey % 2 = 0 AS big, p_partkey % 3 = 0 AS signed FROM part)"""
 _DBC = f"""WITH {_PARTS} SELECT 'parts' AS db, k AS frame_id, false AS extended, 'M' || k AS message, 8 AS size, 'S' || k AS signal, s AS start_bit, n AS length, big AS big_endian, signed, 0.5::DOUBLE AS factor, (-1)::DOUBLE AS "offset",
     'u' AS unit, NULL::VARCHAR AS mux_role, NULL::INT AS mux_branch FROM p"""
@@ -249,5 +258,6 @@ QUERIES = {
     "event_props": (event_props, "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(value) AS n FROM events GROUP BY ALL"),
     "dbc_signals": (dbc_signals, _DBC),
     "can_decode_table": (can_decode_table, _DECODED),
+    "group_percentiles": (group_percentiles, " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, {q}::DOUBLE AS q, {_r(f'quantile_cont(l_extendedprice, {q})', 4)} AS price FROM lineitem GROUP BY ALL" for q in _QS)),
     "pair_lags": (pair_lags, "SELECT DISTINCT l_suppkey AS pair, true AS ok, true AS found FROM lineitem"),
 }
