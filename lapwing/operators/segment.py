@@ -288,6 +288,29 @@ def time_report(durations: DataFrame, laps: list) -> DataFrame:
     return g.join(trusted, ["session_id", "section"], "left")
 
 
+#: Bands of a duration by its ratio to the section's best.
+BANDS = (("best", 1.005), ("close", 1.03), ("fair", 1.08))
+
+
+def time_report_rows(durations: DataFrame) -> DataFrame:
+    """The report of all laps as rows (session_id, section, lap_index, duration, best, best_lap, spread, ratio, band).
+
+    The best is of complete laps, of all where a section has none. `band` is best, close or fair, else empty.
+    """
+    keys = ["session_id", "section"]
+    known, order = F.col("duration").isNotNull(), F.struct("duration", "lap_index")
+    whole = durations.groupBy(*keys).agg(
+        *(f.alias(f"{n}{k}") for k, of in (("_c", known & F.col("complete")), ("_a", known)) for n, f in (("best", F.min(F.when(of, order))), ("most", F.max(F.when(of, F.col("duration"))))))
+    )
+    chosen = F.coalesce("best_c", "best_a")
+    least = whole.select(*keys, chosen["duration"].alias("best"), chosen["lap_index"].alias("best_lap"), (F.coalesce("most_c", "most_a") - chosen["duration"]).alias("spread"))
+    ratio = F.when(F.col("best") > 0, F.col("duration") / F.col("best"))
+    band = F.when(F.col("ratio").isNull(), "")
+    for name, most in BANDS:
+        band = band.when(F.col("ratio") <= most, name)
+    return durations.join(least, keys).withColumn("ratio", ratio).withColumn("band", band.otherwise("")).select(*keys, "lap_index", "duration", "best", "best_lap", "spread", "ratio", "band")
+
+
 def theoretical_best(durations: DataFrame) -> DataFrame:
     """Sum of each session's best section times, over complete laps."""
     best = durations.where("complete").groupBy("session_id", "section").agg(F.min("duration").alias("best"))

@@ -304,6 +304,15 @@ def time_report(spark, d):
     return seg.time_report(_durations(spark, d), [0, 1, 2, 3])
 
 
+@query("time_report_all", f"""WITH {_DUR}, b AS (SELECT session_id, section, min(duration) FILTER (complete) AS c, min(duration) AS d, arg_min(lap_index, duration * 1000 + lap_index) FILTER (complete) AS lc, arg_min(lap_index, duration * 1000 + lap_index) AS ld,
+    max(duration) FILTER (complete) AS mc, max(duration) AS md FROM dur GROUP BY ALL),
+o AS (SELECT session_id, section, lap_index, duration, coalesce(c, d) AS best, coalesce(lc, ld) AS best_lap, coalesce(mc, md) - coalesce(c, d) AS spread, duration / nullif(coalesce(c, d), 0) AS q FROM dur JOIN b USING (session_id, section))
+SELECT session_id, section, lap_index, duration, best, best_lap, spread, {r('q')} AS ratio, CASE WHEN q IS NULL THEN '' WHEN q <= 1.005 THEN 'best' WHEN q <= 1.03 THEN 'close' WHEN q <= 1.08 THEN 'fair' ELSE '' END AS band FROM o""")
+def time_report_all(spark, d):
+    """`time_report` of all laps, a row per lap."""
+    return seg.time_report_rows(_durations(spark, d)).withColumn("ratio", rounded(F.col("ratio")))
+
+
 @query("theoretical_best", f"WITH {_DUR}, b AS (SELECT session_id, section, min(duration) AS best FROM dur WHERE complete GROUP BY ALL) SELECT session_id, sum(best) AS theoretical, count(*) AS sections FROM b GROUP BY ALL")
 def theoretical_best(spark, d):
     return seg.theoretical_best(_durations(spark, d))
