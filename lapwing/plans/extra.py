@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.missing import finite, rounded
-from lapwing.operators import can, geo, multi, pairing, quantiles
+from lapwing.operators import can, geo, multi, pairing, quantiles, snapshot
 from lapwing.operators.segment import change_laps
 from lapwing.sessions import from_events, from_lineitem, land_aliases, lookup, merge_key, name_key, table
 from lapwing.sources.tables import long_layout, wide_layout
@@ -194,6 +194,22 @@ def pair_lags(spark, d):
     return got.select("pair", "ok", (F.abs(F.col("lag") - off) <= 1.0).alias("found"))  # values stay for a day, and so does the lag
 
 
+def snapshots(spark, d):
+    """Every channel's distribution over the session and each complete lap (a day), of values that a gate on the value's last digit lets in."""
+    s = from_events(spark, d)
+    laps = change_laps(s.withColumn("day", F.floor(F.col("t") / 86400).cast("long")), "day")
+    got = snapshot.snapshot(snapshot.in_laps(s, laps), 4, snapshot.gate_keeps(F.floor(F.col("v")) % 10, "range", 2, 9))
+    cells = [F.col("counts")[k].alias(f"n{k}") for k in range(4)]
+    return got.select("session_id", "channel", "window", "n", "excluded", "skipped", rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"), rounded(F.col("mean")).alias("mean"), *cells)
+
+
+_SNAP = f"""WITH {_S}, d AS (SELECT *, CAST(floor(t / 86400) AS BIGINT) AS day FROM s), e AS (SELECT session_id, min(day) AS a, max(day) AS b FROM d GROUP BY ALL),
+w AS (SELECT session_id, channel, v, 'all' AS "window" FROM d UNION ALL SELECT session_id, channel, v, CAST(day AS VARCHAR) FROM d JOIN e USING (session_id) WHERE day > a AND day < b),
+k AS (SELECT session_id, channel, "window", v IS NOT NULL AND floor(v) - floor(floor(v) / 10) * 10 BETWEEN 2 AND 9 AS kept, CASE WHEN kept THEN v END AS x FROM w),
+g AS (SELECT session_id, channel, "window", count(x) AS n, count(*) FILTER (NOT kept) AS excluded, count(*) FILTER (kept AND x IS NULL) AS skipped, coalesce(min(x), 0) AS lo0, coalesce(max(x), 1) AS hi0, avg(x) AS mean FROM k GROUP BY ALL),
+h AS (SELECT *, lo0 - CASE WHEN lo0 = hi0 THEN greatest(0.5, abs(lo0) * 0.001) ELSE 0 END AS lo, hi0 + CASE WHEN lo0 = hi0 THEN greatest(0.5, abs(lo0) * 0.001) ELSE 0 END AS hi FROM g),
+c AS (SELECT h.session_id, h.channel, h."window", {', '.join(f"count(*) FILTER (x >= lo + {k} * ((hi - lo) / 4) AND {'x <= hi' if k == 3 else f'x < lo + {k + 1} * ((hi - lo) / 4)'}) AS n{k}" for k in range(4))} FROM h JOIN k USING (session_id, channel, "window") GROUP BY ALL)
+SELECT session_id, channel, "window", n, excluded, skipped, floor(lo * 1e5 + 0.5001) / 1e5 AS lo, floor(hi * 1e5 + 0.5001) / 1e5 AS hi, floor(mean * 1e5 + 0.5001) / 1e5 AS mean, n0, n1, n2, n3 FROM h JOIN c USING (session_id, channel, "window")"""
 _QS = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 
@@ -259,5 +275,6 @@ QUERIES = {
     "dbc_signals": (dbc_signals, _DBC),
     "can_decode_table": (can_decode_table, _DECODED),
     "group_percentiles": (group_percentiles, " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, {q}::DOUBLE AS q, {_r(f'quantile_cont(l_extendedprice, {q})', 4)} AS price FROM lineitem GROUP BY ALL" for q in _QS)),
+    "snapshots": (snapshots, _SNAP),
     "pair_lags": (pair_lags, "SELECT DISTINCT l_suppkey AS pair, true AS ok, true AS found FROM lineitem"),
 }
