@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.channel import OPERATORS, SCALAR, Along, derivative, edge_delay, fill_gaps, flip_flop, integrate, interval_stat, range_change, segment, smooth, time_shift, time_valid
 from lapwing.functions.missing import rounded
-from lapwing.operators import aggregate, can, multi, resample
+from lapwing.operators import aggregate, can, multi, resample, scan
 from lapwing.operators import laps as laps_
 from lapwing.operators import segment as seg
 from lapwing.plans import extra
@@ -499,10 +499,18 @@ def welch(spark, d):
     return aggregate.welch(s, RATE, 128)
 
 
-@query("iir_lowpass")
+_F = scan.Biquad.lowpass(1.0, RATE)
+_IIR = f"""WITH RECURSIVE {L}, m AS MATERIALIZED (SELECT session_id, i, price AS v FROM l),
+f(session_id, i, v, y, s1, s2) AS (SELECT session_id, i, v, {_F.b!r}::DOUBLE * v, {2 * _F.b!r}::DOUBLE * v - {_F.a1!r}::DOUBLE * ({_F.b!r}::DOUBLE * v), {_F.b!r}::DOUBLE * v - {_F.a2!r}::DOUBLE * ({_F.b!r}::DOUBLE * v) FROM m WHERE i = 0
+    UNION ALL SELECT session_id, i, v, y, {2 * _F.b!r}::DOUBLE * v - {_F.a1!r}::DOUBLE * y + s2, {_F.b!r}::DOUBLE * v - {_F.a2!r}::DOUBLE * y
+    FROM (SELECT m.session_id, m.i, m.v, {_F.b!r}::DOUBLE * m.v + f.s1 AS y, f.s2 FROM f JOIN m ON m.session_id = f.session_id AND m.i = f.i + 1))
+SELECT session_id, 'price' AS channel, i, i / 10::DOUBLE AS t, v, {r('y', 4)} AS filtered FROM f"""
+
+
+@query("iir_lowpass", _IIR)
 def iir_lowpass(spark, d):
     s = from_lineitem(spark, d).select("session_id", F.lit("price").alias("channel"), F.col("i").cast("long"), (F.col("i") / 10.0).alias("t"), F.col("price").alias("v"))
-    return seg.lowpass(s, 1.0, RATE)
+    return seg.lowpass(s, 1.0, RATE).withColumn("filtered", rounded(F.col("filtered"), 4))
 
 
 def _ring(spark, d):
@@ -516,9 +524,18 @@ def gate_laps(spark, d):
     return seg.debounce(seg.visits(_ring(spark, d), 100.0, 0.0, 15.0), 8.0)
 
 
-@query("line_laps")
+_LINE = f"""WITH RECURSIVE {_DIST}, k AS (SELECT session_id, i, t, 100 * cos(distance / 40) AS x, 100 * sin(distance / 40) AS y FROM z),
+g AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(t) OVER w AS t0 FROM k WINDOW w AS (PARTITION BY session_id ORDER BY i)),
+c AS (SELECT session_id, t0 + y0 / (y0 - y) * (t - t0) AS t FROM g WHERE y0 < 0 AND y >= 0 AND (x0 + y0 / (y0 - y) * (x - x0) - 80) / 40 BETWEEN 0 AND 1),
+o AS MATERIALIZED (SELECT session_id, t, row_number() OVER (PARTITION BY session_id ORDER BY t) AS n FROM c),
+e(session_id, n, crossing, t, kept) AS (SELECT session_id, n, 0::BIGINT, t, true FROM o WHERE n = 1
+    UNION ALL SELECT o.session_id, o.n, e.crossing + CASE WHEN o.t - e.t > 8 THEN 1 ELSE 0 END, CASE WHEN o.t - e.t > 8 THEN o.t ELSE e.t END, o.t - e.t > 8 FROM e JOIN o ON o.session_id = e.session_id AND o.n = e.n + 1)
+SELECT session_id, crossing, {r('t', 4)} AS t FROM e WHERE kept"""
+
+
+@query("line_laps", _LINE)
 def line_laps(spark, d):
-    return seg.debounce(seg.line_crossings(_ring(spark, d), 80.0, 0.0, 120.0, 0.0), 8.0)
+    return seg.debounce(seg.line_crossings(_ring(spark, d), 80.0, 0.0, 120.0, 0.0), 8.0).withColumn("t", rounded(F.col("t"), 4))
 
 
 @query("winding_laps")
