@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapwing.operators.resample import around
+from lapwing.sessions import settled
 
 
 def byte(payload: Column, k: int) -> Column:
@@ -80,12 +81,16 @@ BROADCAST_SIGNALS = 100_000
 SIGNAL = "db string, frame_id long, extended boolean, message string, size int, signal string, start_bit int, length int, big_endian boolean, signed boolean, factor double, offset double, unit string, mux_role string, mux_branch int"
 
 
-def _as_table(spark: SparkSession, signals: DataFrame | list) -> DataFrame:
+def _as_table(spark: SparkSession, signals: DataFrame | list) -> tuple[DataFrame, int, int]:
+    """The definitions as a table, how many signals there are, and how many bits a payload needs for them."""
     if isinstance(signals, DataFrame):
-        return signals
+        table = settled(signals, "signals")  # parsed once
+        n, most = table.agg(F.count("*"), F.max(_place() + F.col("length"))).first()
+        return table, n, most or 0
     names = [c.split()[0] for c in SIGNAL.split(", ")]
     get = lambda s, c: s[c] if c in (s.asDict() if isinstance(s, Row) else s) else None
-    return spark.createDataFrame([tuple(get(s, c) for c in names) for s in signals], SIGNAL)
+    ends = [(s["start_bit"] // 8 * 8 + 7 - s["start_bit"] % 8 if s["big_endian"] else s["start_bit"]) + s["length"] for s in signals]
+    return spark.createDataFrame([tuple(get(s, c) for c in names) for s in signals], SIGNAL), len(signals), max(ends, default=0)
 
 
 def _place() -> Column:
@@ -146,9 +151,8 @@ def _value(how: str, words: int) -> str:
 
 def matched(frames: DataFrame, signals: DataFrame | list) -> DataFrame:
     """Frames with their message, `selected` (the selector's raw value, null without one) and `signals`; frames of no message are left out."""
-    table = _as_table(frames.sparkSession, signals)
-    n, most = table.agg(F.count("*"), F.max(_place() + F.col("length"))).first()
-    words = 1 if (most or 0) <= 64 else 8
+    table, n, most = _as_table(frames.sparkSession, signals)
+    words = 1 if most <= 64 else 8
     defined = messages(table)
     defined = F.broadcast(defined) if n <= BROADCAST_SIGNALS else defined
     known = frames.withColumn("extended", F.coalesce("extended", F.lit(False)) if "extended" in frames.columns else F.lit(False)).join(defined, ["frame_id", "extended"])
