@@ -34,6 +34,8 @@ SNAP = 0.05
 #: Metres of a cell in which lines and steps meet; wider than half a line, so a crossing is in its gate's cell or one beside it.
 REACH = 12.5
 GATE = ("session_id", "first_i")
+#: What the searches read of a track.
+TRACK = ("session_id", "i", "t", "x", "y", "speed", "is_break")
 
 
 def _along(*keys: str):
@@ -281,7 +283,8 @@ def detect_laps(track: DataFrame, runs: DataFrame, rate: float, counted: DataFra
     implausible ones made incomplete, but not runs. Loops of a figure of eight get their turn, else it is NULL.
     """
     columns = ("session_id", "lap_index", "start_t", "end_t", "complete")
-    driven_ = runs.select("session_id", F.col("run").cast("long").alias("lap_index"), "start_t", "end_t", F.lit(True).alias("complete"))
+    track = settled(track.select(*(c for c in track.columns if c in TRACK)), "track")  # each search reads it several times
+    driven_ = settled(runs.select("session_id", F.col("run").cast("long").alias("lap_index"), "start_t", "end_t", F.lit(True).alias("complete")), "runs")
     none = driven_.where("false")
     counted = none if counted is None else counted.select(*columns)
     rest = track.join(counted.select("session_id").distinct(), "session_id", "left_anti")

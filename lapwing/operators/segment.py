@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,21 +168,27 @@ def visits(
 def debounce(crossings: DataFrame, shortest: float, keys: tuple[str, ...] = ("session_id",), inclusive: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Crossings (keys, t) over `shortest` seconds after the last one that was kept (`inclusive`: exactly so many will do).
 
-    A greedy choice, over the few crossings of a session; columns `also` stay, and order those of one time.
+    A greedy choice; columns `also` stay, and order those of one time. Sorted partitions stream through it, so neither
+    many keys of few crossings nor one of many cost more than their rows.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], -np.inf
-        pdf = pdf.sort_values(["t", *also]).reset_index(drop=True)
-        for k, t in enumerate(pdf["t"]):
-            if t - last > shortest or inclusive and t - last == shortest:
-                rows.append(k)
-                last = t
-        return pdf.iloc[rows].assign(crossing=range(len(rows)))[[*keys, "crossing", "t", *also]]
-
-    kind = lambda c: f"{c} {crossings.schema[c].dataType.simpleString()}"
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, n = None, -math.inf, 0
+        for batch in batches:
+            rows, numbers = [], []
+            for k, (*of, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*keys, "t")), strict=True)):
+                if of != key:
+                    key, last, n = of, -math.inf, 0
+                if t is not None and (t - last > shortest or inclusive and t - last == shortest):
+                    rows.append(k)
+                    numbers.append(n)
+                    last, n = t, n + 1
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keys), pa.array(numbers, pa.int64()), *(kept.column(c) for c in ("t", *also))], [*keys, "crossing", "t", *also])
+
+    kind = lambda c: f"`{c}` {crossings.schema[c].dataType.simpleString()}"
     schema = ", ".join([*map(kind, keys), "crossing long", "t double", *map(kind, also)])
-    return crossings.select(*keys, "t", *also).groupBy(*keys).applyInPandas(keep, schema)
+    order = [F.asc_nulls_last(c) for c in ("t", *also)]
+    return crossings.select(*keys, F.col("t").cast("double").alias("t"), *also).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(keep, schema)
 
 
 def line_crossings(track: DataFrame, ax: float, ay: float, bx: float, by: float) -> DataFrame:
