@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lapwing.functions.missing import finite
 
@@ -77,6 +81,12 @@ def gradient(v: Column, at: Column) -> Column:
     return F.when(ahi != alo, (hi - lo) / (ahi - alo))
 
 
+@F.pandas_udf(DoubleType())
+def heading(y: pd.Series, x: pd.Series) -> pd.Series:
+    """The angle of (x, y) as the C library gives it; the JVM's is off by a last bit in one of five, which turns half turns over."""
+    return pd.Series(list(map(math.atan2, y, x)), dtype=float)
+
+
 def curvature(path: DataFrame) -> DataFrame:
     """Adds curvature, the change of heading per metre; 0 where hardly anything is driven.
 
@@ -85,10 +95,10 @@ def curvature(path: DataFrame) -> DataFrame:
     first, last = F.lag("x").over(_rows()).isNull(), F.lead("x").over(_rows()).isNull()
     sides = F.when(first | last, 1.0).otherwise(2.0)
     per_sample = lambda c: (F.coalesce(F.lead(c).over(_rows()), F.col(c)) - F.coalesce(F.lag(c).over(_rows()), F.col(c))) / sides
-    p = path.withColumn("gx", per_sample("x")).withColumn("gy", per_sample("y")).withColumn("swing", unwrap(F.atan2("gy", "gx")))
+    p = path.withColumn("gx", per_sample("x")).withColumn("gy", per_sample("y")).withColumn("heading", heading("gy", "gx")).withColumn("swing", unwrap(F.col("heading")))
     turn = F.when(first, F.lead("swing").over(_rows())).when(last, F.col("swing")).otherwise((F.col("swing") + F.lead("swing").over(_rows())) / 2)
     p = p.withColumn("turn", turn).withColumn("step", F.hypot("gx", "gy"))
-    return p.withColumn("curvature", F.when(F.col("step") > 0.05, F.abs(F.col("turn") / F.col("step"))).otherwise(0.0)).drop("gx", "gy", "swing", "turn", "step")
+    return p.withColumn("curvature", F.when(F.col("step") > 0.05, F.abs(F.col("turn") / F.col("step"))).otherwise(0.0)).drop("gx", "gy", "heading", "swing", "turn", "step")
 
 
 #: Fixed values of the kinds of tracks: km/h from which a sample counts, samples, metres of extent, ways driven per extent, and shares of the sides.
