@@ -13,21 +13,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.missing import present
+from lapwing.sessions import settled
 
 #: What makes a pair, and the steps of the search (seconds).
 MIN_SPEED_R, MIN_ACCEL_R, TIE_R, MIN_POINTS = 0.99, 0.6, 0.02, 60
 REACH, COARSE, FINE, REFINE, WINDOW, EVERY = 900.0, 0.2, 0.01, 1.0, 300.0, 1.0
+#: The share of a sum of squares that is rounding, and how close sums are to the correlations they give.
+STILL, NEAR_R = 1e-24, 1e-6
+#: The windows that are tried, in their order.
+KINDS = ("first", "liveliest")
+#: Up to so many lags are cheaper one by one than by FFT.
+FEW = 24
 _FOUND = "lag double, r double, n long, accel_r double, ok boolean, reason string"
 
 
 def pearson(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Correlation along the last axis over places where both are numbers, -2 where it can't be told, and their count."""
+    """Correlation along the last axis over places where both are numbers, -2 where it can't be told (no movement but rounding), and their count."""
     both = np.isfinite(x) & np.isfinite(y)
     n = both.sum(-1)
     x, y, k = np.where(both, x, 0.0), np.where(both, y, 0.0), np.maximum(n, 1)[..., None]
+    flat = STILL * (x * x).sum(-1), STILL * (y * y).sum(-1)
     x, y = np.where(both, x - x.sum(-1, keepdims=True) / k, 0.0), np.where(both, y - y.sum(-1, keepdims=True) / k, 0.0)
-    scale = np.sqrt((x * x).sum(-1) * (y * y).sum(-1))
-    return np.where((n >= MIN_POINTS) & (scale > 0), (x * y).sum(-1) / np.where(scale > 0, scale, 1.0), -2.0), n
+    xx, yy = (x * x).sum(-1), (y * y).sum(-1)
+    scale = np.sqrt(xx * yy)
+    moved = (n >= MIN_POINTS) & (xx > flat[0]) & (yy > flat[1]) & (scale > 0)
+    return np.where(moved, (x * y).sum(-1) / np.where(scale > 0, scale, 1.0), -2.0), n
+
+
+def slide(fixed: np.ndarray, v: np.ndarray, starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`pearson` of `fixed` and v[start + k * step] for many starts from sums, without a row per start: also which starts it is sure of."""
+    lo, points = int(starts.min()), len(fixed)
+    at = np.arange(lo, int(starts.max()) + (points - 1) * step + 1)
+    y = np.where((at >= 0) & (at < len(v)), v[np.clip(at, 0, len(v) - 1)], np.nan)
+    mx, my = np.isfinite(fixed), np.isfinite(y)
+    x = np.where(mx, fixed - (fixed[mx].mean() if mx.any() else 0.0), 0.0)
+    y = np.where(my, y - (y[my].mean() if my.any() else 0.0), 0.0)
+    wanted = [(my, mx), (my, x), (my, x * x), (y, mx), (y * y, mx), (y, x)]
+    sums = np.zeros((len(wanted), int(starts.max()) - lo + 1))
+    for k, (b, a) in enumerate(wanted):
+        for phase in range(min(step, sums.shape[1])):
+            part = np.correlate(b[phase::step].astype(float), a.astype(float), "valid")
+            sums[k, phase::step] = part[: len(sums[k, phase::step])]
+    n, sx, sxx, sy, syy, sxy = sums[:, starts - lo]
+    n = np.round(n).astype(np.int64)
+    k = np.maximum(n, 1)
+    vx, vy = sxx - sx * sx / k, syy - sy * sy / k
+    sure = (n < MIN_POINTS) | (vx > 1e-6 * sxx) & (vy > 1e-6 * syy)
+    good = sure & (n >= MIN_POINTS)
+    return np.where(good, (sxy - sx * sy / k) / np.sqrt(np.where(good, vx * vy, 1.0)), -2.0), n, sure
 
 
 def curve(x: np.ndarray, y: np.ndarray, lags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,19 +80,34 @@ def curve(x: np.ndarray, y: np.ndarray, lags: np.ndarray) -> tuple[np.ndarray, n
     return np.where(good, (at("x", "y") - sx * sy / k) / np.sqrt(np.where(good, vx * vy, 1.0)), -2.0), np.where(reach, n, 0).astype(np.int64)
 
 
+def _curve_at(x: np.ndarray, y: np.ndarray, lags: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, None]:
+    """`curve` at the wanted lags, -2 at the others; few are correlated one by one."""
+    if wanted.sum() > FEW:
+        return np.where(wanted, curve(x, y, lags)[0], -2.0), None
+    out = np.full(len(lags), -2.0)
+    for k in np.flatnonzero(wanted):
+        lo, hi = max(0, -lags[k]), min(len(x), len(y) - lags[k])
+        if hi > lo:
+            r, n = pearson(x[lo:hi], y[lo + lags[k] : hi + lags[k]])
+            out[k] = r if n >= MIN_POINTS * EVERY / COARSE else -2.0
+    return out, None
+
+
 def _grid(rows: pd.DataFrame, channels: list[str]) -> tuple[int, dict[str, np.ndarray]]:
-    """Each channel held on ticks of the coarse grid, NaN outside its own samples; the first tick."""
+    """Each channel (its place in `channels`) held on ticks of the coarse grid, NaN outside its own samples; the first tick."""
     if rows.empty:
         return 0, {}
-    first, last = int(rows["tick"].min()), int(rows["tick"].max())
+    channel, tick, value = rows["channel"].to_numpy(), rows["tick"].to_numpy(), rows["v"].to_numpy(float)
+    first, last = int(tick.min()), int(tick.max())
     out = {}
-    for c, part in rows.groupby("channel"):
-        v = np.full(last - first + 1, np.nan)
-        v[part["tick"].to_numpy() - first] = part["v"].to_numpy(float)
-        held = pd.Series(v).ffill().to_numpy(copy=True)
-        held[int(part["tick"].max()) - first + 1 :] = np.nan
-        out[c] = held
-    return first, {c: out[c] for c in channels if c in out}
+    for k, c in enumerate(channels):
+        mine = channel == k
+        if mine.any():
+            v, at = np.full(last - first + 1, np.nan), tick[mine] - first
+            v[at] = value[mine]
+            before = np.maximum.accumulate(np.where(np.isfinite(v), np.arange(len(v)), -1))
+            out[c] = np.where((before >= 0) & (np.arange(len(v)) <= at.max()), v[before], np.nan)
+    return first, out
 
 
 def _windows(v: np.ndarray, starts: np.ndarray, points: int, step: int) -> np.ndarray:
@@ -74,8 +122,12 @@ def _axes(left: dict, right: dict, accel: tuple[str, ...], score) -> np.ndarray
     if not found:
         return None
     known = np.where(np.stack(found) > -2, np.stack(found), np.nan)
-    with np.errstate(all="ignore"):
-        return np.nanmedian(known, axis=0) if np.isfinite(known).any() else None
+    some = np.isfinite(known).any(axis=0)
+    if not some.any():
+        return None
+    out = np.full(known.shape[1], np.nan)
+    out[some] = np.nanmedian(known[:, some], axis=0)
+    return out
 
 
 def candidates(a0: int, a: dict, b0: int, b: dict, speed: str, accel: tuple[str, ...], expect: float) -> list[tuple[str, float, float, float]]:
@@ -86,15 +138,25 @@ def candidates(a0: int, a: dict, b0: int, b: dict, speed: str, accel: tuple[str,
     step, points = round(EVERY / COARSE), round(WINDOW / EVERY)
     begin = np.maximum(a0, b0 - lags)
     out = []
-    r, n = pearson(_windows(a[speed], begin - a0, points, step), _windows(b[speed], begin + lags - b0, points, step))
+    # one recording's first minutes stay, the other's move along: sums say which lags may be best, and these are compared
+    r, n, sure = np.empty(len(lags)), np.empty(len(lags), np.int64), np.empty(len(lags), bool)
+    later = lags >= b0 - a0
+    if later.any():
+        r[later], n[later], sure[later] = slide(_windows(a[speed], np.array([0]), points, step)[0], b[speed], (a0 + lags - b0)[later], step)
+    if not later.all():
+        r[~later], n[~later], sure[~later] = slide(_windows(b[speed], np.array([0]), points, step)[0], a[speed], (b0 - lags - a0)[~later], step)
+    close = np.flatnonzero(~sure | (r >= r.max() - TIE_R - NEAR_R) & (r > -2))
+    r[:] = -2.0
+    for some in np.array_split(close, 1 + len(close) // 1000):
+        r[some], n[some] = pearson(_windows(a[speed], (begin - a0)[some], points, step), _windows(b[speed], (begin + lags - b0)[some], points, step))
     if (r > -2).any():
         tied = np.flatnonzero(r >= r.max() - TIE_R)
         k = min(tied, key=lambda k: (-n[k], abs(lags[k] * COARSE - expect)))
         out.append(("first", lags[k] * COARSE, begin[k] * COARSE, begin[k] * COARSE + WINDOW))
     shift = lags + a0 - b0
     whole, n = curve(a[speed], b[speed], shift)
-    like = _axes(a, b, accel, lambda x, y: curve(x, y, shift))
     good = whole >= MIN_SPEED_R - 0.01  # the grid blurs it a little; the samples decide
+    like = _axes(a, b, accel, lambda x, y: _curve_at(x, y, shift, good)) if good.any() else None
     good &= (like >= MIN_ACCEL_R - 0.1) if like is not None else True
     if good.any():
         k = max(np.flatnonzero(good), key=lambda k: (like[k] if like is not None else whole[k], n[k]))
@@ -160,7 +222,8 @@ def find_lags(left: DataFrame, right: DataFrame, speed: str = "speed", accel: tu
     channels = [speed, *accel]
     right = right.select(*(F.col(c).alias(c) for c in ("pair", "channel", "t", "v")))  # both may come from one table
     kind = left.schema["pair"].dataType.simpleString()
-    clean = lambda df: df.select("pair", "channel", "t", present(F.col("v")).alias("v")).where(F.col("channel").isin(channels) & F.col("v").isNotNull())
+    place = (F.array_position(F.array(*map(F.lit, channels)), F.col("channel")) - 1).cast("int").alias("channel")
+    clean = lambda df: df.where(F.col("channel").isin(channels)).select("pair", place, "t", present(F.col("v")).alias("v")).where("v IS NOT NULL")
     tick = F.ceil(F.col("t") / COARSE).cast("long").alias("tick")
     grid = lambda df: clean(df).groupBy("pair", "channel", tick).agg(F.max_by("v", "t").alias("v"))
     given = left.select("pair").union(right.select("pair")).distinct()
@@ -179,20 +242,31 @@ def find_lags(left: DataFrame, right: DataFrame, speed: str = "speed", accel: tu
     tried = grids.applyInPandas(search, f"pair {kind}, kind string, lag double, begin double, end double, expect double")
 
     def decide(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        series = lambda df: {c: (p["t"].to_numpy(float), p["v"].to_numpy(float)) for c, p in df.sort_values("t").groupby("channel")}
-        any_ = l if not l.empty else r
-        lag, begin, end, want = (float(any_[c].iloc[0]) for c in ("lag", "begin", "end", "expect"))
-        row = settle(series(l), series(r), speed, accel, lag, begin, end, want)
-        return pd.DataFrame([(key[0], key[1], *row)], columns=["pair", "kind", *(c.split()[0] for c in _FOUND.split(", "))])
+        def series(df: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+            t = df["t"].to_numpy(float)
+            order = np.argsort(t, kind="stable")
+            t, v, channel = t[order], df["v"].to_numpy(float)[order], df["channel"].to_numpy()[order]
+            return {c: (t[channel == k], v[channel == k]) for k, c in enumerate(channels) if (channel == k).any()}
+
+        names, rows = ["pair", "kind", *(c.split()[0] for c in _FOUND.split(", "))], []
+        for kind in KINDS:  # the second window is asked only where the first is refused
+            mine, other = l[l["kind"] == kind], r[r["kind"] == kind]
+            any_ = mine if not mine.empty else other
+            if not any_.empty:
+                lag, begin, end, want = (float(any_[c].iloc[0]) for c in ("lag", "begin", "end", "expect"))
+                rows.append((key[0], kind, *settle(series(mine), series(other), speed, accel, lag, begin, end, want)))
+                if rows[-1][6]:
+                    break
+        return pd.DataFrame(rows, columns=names)
 
-    tried = tried.persist()  # two rows per pair at most, asked for by both sides
+    tried = settled(tried, "lags")  # two rows per pair at most, asked for by both sides
     again = tried.select(*(F.col(c).alias(c) for c in tried.columns))
     cut = lambda df, of, shift, more: clean(df).join(of, "pair").where((F.col("t") >= F.col("begin") + shift - more) & (F.col("t") <= F.col("end") + shift + more))
     more = 30.0  # seconds about a window: holds begin there, and lags move it a little
-    windows = cut(left, tried, F.lit(0.0), more).groupBy("pair", "kind").cogroup(cut(right, again, F.col("lag"), more).groupBy("pair", "kind"))
+    windows = cut(left, tried, F.lit(0.0), more).groupBy("pair").cogroup(cut(right, again, F.col("lag"), more).groupBy("pair"))
     rows = windows.applyInPandas(decide, f"pair {kind}, kind string, {_FOUND}")
-    place = F.when(F.col("ok"), F.when(F.col("kind") == "first", 0).otherwise(1)).otherwise(2)
+    rank = F.when(F.col("ok"), F.when(F.col("kind") == "first", 0).otherwise(1)).otherwise(2)
     names = [c.split()[0] for c in _FOUND.split(", ")]
-    best = rows.groupBy("pair").agg(F.min_by(F.struct(*names), F.struct(place, -F.col("r"))).alias("b")).select("pair", "b.*")
+    best = rows.groupBy("pair").agg(F.min_by(F.struct(*names), F.struct(rank, -F.col("r"))).alias("b")).select("pair", "b.*")
     none = F.coalesce("ok", F.lit(False)).alias("ok"), F.when(F.col("ok").isNull(), "no common time to compare").otherwise(F.col("reason")).alias("reason")
     return given.select("pair").join(best, "pair", "left").select("pair", "lag", "r", "n", "accel_r", *none)
