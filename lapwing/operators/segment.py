@@ -154,10 +154,11 @@ def visits(
         cut |= F.coalesce("is_break", F.lit(False))
     t = track.withColumn("d", F.hypot(F.col("x") - x, F.col("y") - y)).withColumn("inside", F.col("d") < radius).withColumn("heading", F.atan2(on("y"), on("x")))
     t = t.withColumn("gate", F.min_by("heading", F.struct("d", "i")).over(session) if heading is None else heading if isinstance(heading, Column) else F.lit(float(heading)))
-    t = islands(t.withColumn("cut", cut), "session_id", F.col("cut"), out="piece")
-    t = (t if since is None else t.where(since)).withColumn("n", F.count("*").over(piece))
+    t = t.withColumn("cut", cut).withColumn("counts", F.lit(True) if since is None else since)
+    kept = dict.fromkeys(["session_id", "i", "t", "d", "inside", "heading", "gate", "cut", "counts", *also])
+    t = islands(t.select(*kept), "session_id", F.col("cut"), out="piece").where("counts").drop("cut", "counts").withColumn("n", F.count("*").over(piece))
     t = t.withColumn("before", F.lag("inside").over(piece.orderBy("i"))).withColumn("begins", F.col("inside") & ~F.coalesce("before", F.lit(False)))
-    t = islands(t, "session_id", F.col("begins"), out="visit").where("inside AND visit >= 0 AND n >= 3")
+    t = islands(t.where("inside AND n >= 3"), "session_id", F.col("begins"), out="visit").where("visit >= 0")  # samples outside begin none
     closest = F.struct("d", "i")
     carried = [F.min_by(c, closest).alias(c) for c in also]
     v = t.groupBy("session_id", "visit").agg(F.min_by("t", closest).alias("t"), F.min("d").alias("d"), F.min_by("heading", closest).alias("heading"), F.first("gate").alias("gate"), F.bool_or(F.col("begins") & F.coalesce(~F.col("before"), F.lit(False))).alias("armed"), *carried)
@@ -241,7 +242,8 @@ def sections(grid: DataFrame, sensitivity: float = 1.0, shortest: float = 25.0,
     p = lambda q: F.percentile("s", q).over(whole)
     g = g.withColumn("low", p(0.1)).withColumn("spread", p(0.9) - F.col("low"))
     g = g.withColumn("corner", F.coalesce((F.col("spread") > 1e-9) & (F.col("s") >= F.col("low") + F.col("spread") * 0.35 / sensitivity), F.lit(False)))
-    g = islands(g.withColumn("new", F.coalesce(F.col("corner") != F.lag("corner").over(w), F.lit(True))), "session_id", F.col("new"), "d", "span")
+    g = g.select("session_id", "d", "corner", F.coalesce(F.col("corner") != F.lag("corner").over(w), F.lit(True)).alias("new"))
+    g = islands(g, "session_id", F.col("new"), "d", "span")
     spans = g.groupBy("session_id", "span").agg(F.first("corner").alias("corner"), F.min("d").cast("double").alias("start_m"), (F.max("d") + 1).cast("double").alias("end_m"))
 
     def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,7 +263,8 @@ def sections(grid: DataFrame, sensitivity: float = 1.0, shortest: float = 25.0,
         return pd.DataFrame([(pdf["session_id"].iloc[0], n, "corner" if c else "straight", a, b) for n, (c, a, b) in enumerate(rows)], columns=["session_id", "section", "kind", "start_m", "end_m"])
 
     kind = grid.schema["session_id"].dataType.simpleString()
-    return spans.groupBy("session_id").applyInPandas(absorb, f"session_id {kind}, section long, kind string, start_m double, end_m double")
+    parts = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps many sessions of few spans from being one task
+    return spans.repartition(parts, "session_id").groupBy("session_id").applyInPandas(absorb, f"session_id {kind}, section long, kind string, start_m double, end_m double")
 
 
 def lowpass(samples: DataFrame, cutoff: float, rate: float, high: bool = False, zero_phase: bool = False) -> DataFrame:

@@ -545,7 +545,7 @@ def winding_laps(spark, d):
 
 @query("auto_sections")
 def auto_sections(spark, d):
-    g = _driven(spark, d).select("session_id", F.col("i").alias("d"), (F.col("quantity") * F.when((F.col("i") / 60).cast("long") % 2 == 0, 1).otherwise(4)).alias("v"))
+    g = from_lineitem(spark, d).select("session_id", F.col("i").alias("d"), (F.col("quantity") * F.when((F.col("i") / 60).cast("long") % 2 == 0, 1).otherwise(4)).alias("v"))
     return seg.sections(g)
 
 
