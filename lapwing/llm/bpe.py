@@ -250,12 +250,13 @@ def portions(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch,
         yield batch.slice(start, len(texts)), texts
 
 
-def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text.
+def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) of every whole text, with `decoded` also what `decode` makes of the ids.
 
     Null text counts as empty and gives no ids; special strings of the file inside a text give their
     id. Rows repeat as often as they come and ids may be null; other columns are left out, so their
-    names can't clash. `vocab`: a file name of the public vocabularies, or a path.
+    names can't clash. `vocab`: a file name of the public vocabularies, or a path. Decoded in the same
+    pass, ids don't go through a second Python worker, which would hold a vocabulary and batches of its own.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -265,11 +266,16 @@ def encode(docs: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "doc
             for part, texts in portions(batch, "text"):
                 got = coder.encode(texts)
                 ends = np.cumsum([0, *map(len, got)]) // 4
-                values = pa.array(np.frombuffer(b"".join(got), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "ids"])
+                ids = np.frombuffer(b"".join(got), np.int32)
+                out = pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["id", "ids"])
+                if decoded:
+                    del got
+                    out = _decoded(out, [_text(coder.vocab, ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+                yield out
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
-    return out.select(F.col("id").alias(id_col), "ids")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>"
+    out = rows.mapInArrow(run, kind + ", decoded string" if decoded else kind)
+    return out.select(F.col("id").alias(id_col), *out.columns[1:])
 
 
 def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "doc_id") -> DataFrame:
@@ -284,8 +290,7 @@ def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "
         for batch in batches:
             start, held, texts = 0, 0, []
             for k, ids in enumerate(batch.column("ids")):
-                ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.empty(0, np.int32)
-                text = b"".join(_bytes(v, ids[k : k + 500_000]) for k in range(0, len(ids), 500_000)).decode("utf-8", "replace")
+                text = _text(v, ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.empty(0, np.int32))
                 size = 4 * len(text) if not text.isascii() else len(text)
                 if texts and held + size > BATCH_BYTES:  # an array of strings holds 2 GB at most
                     yield _decoded(batch.slice(start, len(texts)), texts)
@@ -299,6 +304,10 @@ def decode(encoded: DataFrame, vocab: str = "byte_bpe_50k.json", id_col: str = "
     return out.select(F.col("id").alias(id_col), "ids", "decoded")
 
 
+def _text(v: Vocabulary, ids: np.ndarray) -> str:
+    return b"".join(_bytes(v, ids[k : k + 500_000]) for k in range(0, len(ids), 500_000)).decode("utf-8", "replace")
+
+
 def _decoded(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 

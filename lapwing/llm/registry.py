@@ -25,7 +25,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    got = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     return got.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )
