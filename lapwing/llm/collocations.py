@@ -220,10 +220,12 @@ def occurrences(shard: Shard, patterns: list[str]) -> Counter:
     return Counter(map(itemgetter(1), found))
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, width, phrase, f): exact counts of all phrases of 2 to LONGEST words that occur `least` times in a language, of the words in them, and with width 0 of all its words.
+def task_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, width, phrase, f) as each task has counted them, to be added up: of all phrases that may occur `least` times, of the words in them, and with width 0 of all words.
 
-    A null lang is `und`, a null text the empty one. Rows that repeat count again. No columns other than these two are read.
+    A frequent phrase is in nearly every part of the texts, so each task hands on nearly all of them. As many tasks as
+    the cluster has cores count, whatever the number of parts: what they hand on grows with the phrases, not with
+    phrases times parts. They stream, and hold HELD_PHRASES at most.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     low = sketch(texts, bits, least)
@@ -258,7 +260,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS,
             columns = ([lang] * len(c), pa.string()), ([width] * len(c), pa.int32()), (list(c), pa.string()), (list(c.values()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names)
 
-    got = texts.mapInArrow(count, "lang string, width int, phrase string, f long")
+    return texts.coalesce(max(1, context.defaultParallelism)).mapInArrow(count, "lang string, width int, phrase string, f long")
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = SKETCH_BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, width, phrase, f): exact counts of all phrases of 2 to LONGEST words that occur `least` times in a language, of the words in them, and with width 0 of all its words.
+
+    A null lang is `und`, a null text the empty one. Rows that repeat count again. No columns other than these two are read.
+    """
+    got = task_counts(docs, least, bits, text_col, lang_col)
     return got.groupBy("lang", "width", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("width") == 0))
 
 
