@@ -10,12 +10,16 @@ the sketch of the union; the Jaccard similarity of the full sets decides.
 
 Lists of up to SMALL classes are paired as they are. In longer ones copies are not expanded into
 pairs: each long list has a hub, the class that stands in most long lists, and the lists of one hub
-are one region. Every class of a region is held against its hub once, as the difference of their
+are one region. The larger the corpus, the more classes meet in long lists only because a value got common;
+blocks of sketches tell which have a likely partner in their region, and the others leave it before any full set is
+made. Every class that stays is held against its hub once, as the difference of their
 full sets. Classes that link with the hub are one component, so only strays, those of other
 components, can bring a new link: they meet the classes of their region in blocks of bounded rows
 and values, where |a ^ b| = |d(a) ^ d(b)| for differences d from the hub gives the exact similarity
 of all pairs at once, and only which components became one comes out of a block. So every link
-between components of a region is found, and rows and shuffles grow with the classes.
+between components of a region is found. Rows of sketches and of strays grow with a region's classes times its blocks.
+
+Texts are never shuffled: a bitmap of the ids asked for goes to the tasks that read them.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ K, NEED = 64, 30
 SMALL, BITS = 48, 22
 #: About as many classes and values a block of a region has at most, columns of one product, and tasks that share a hub.
 ROWS, VALUES, COLUMNS, SALTS = 2000, 400_000, 2048, 16
+#: Bits of the bitmap of ids: so many for each id, at least and at most.
+PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 _WORDS = 300_000
 
 
@@ -77,14 +83,37 @@ def _bitmap(sketch: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-def _sets(docs: DataFrame, width: int, sketches: bool) -> DataFrame:
-    """(id, n, digest, sketch, bits) or (id, digest, hashes) of each row."""
+def _cell(col: str, bits: int) -> Column:
+    """An id's place in a bitmap."""
+    return F.pmod(F.xxhash64(col), F.lit(bits))
+
+
+def _bitmap_of(ids: DataFrame, col: str) -> np.ndarray:
+    """The bitmap of these ids, in words of 64 bits; a power of two, of 8 MB at most, so that ids may share a bit."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (PER_ID * ids.count()).bit_length()))
+    cell = _cell(col, bits)
+    words = ids.groupBy(F.floor(cell / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))).alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out
+
+
+def _sets(docs: DataFrame, width: int, sketches: bool, asked: np.ndarray | None = None) -> DataFrame:
+    """(id, n, digest, sketch, bits) or (id, digest, hashes) of each row; with a bitmap only of rows whose id is in it."""
     rows = docs.select("id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    if asked is not None:
+        rows = rows.withColumn("cell", _cell("id", 64 * len(asked)))
+        shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell = batch.column("cell").to_numpy()
+        return batch.filter(pa.array((shared.value[cell >> 6] >> (cell & 63)) & 1 == 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
+            batch = batch if asked is None else wanted(batch)
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 sets = [shingle_set(t.as_py() or b"", width, hashes) for t in part.column("text")]
@@ -101,10 +130,10 @@ def _sets(docs: DataFrame, width: int, sketches: bool) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sketch array<long>, bits array<long>" if sketches else f"id {kind}, digest binary, hashes array<long>")
 
 
-def _full_sets(asked: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+def _full_sets(asked: DataFrame, classes: DataFrame, rows: DataFrame, width: int, store: Scratch) -> DataFrame:
     """(id, hashes): the full sets of the classes asked for. A class is found by a row's id and told from that id's other texts by its digest."""
-    named = classes.select("id", "name", "digest").join(asked, "id", "left_semi")
-    sets = _sets(rows.join(named.select(F.col("name").alias("id")).distinct(), "id", "left_semi"), width, False)
+    named = store(classes.select("id", "name", "digest").join(asked, "id", "left_semi"), "named")
+    sets = _sets(rows, width, False, _bitmap_of(named, "name"))  # rows that only share a bit go by the join
     return sets.withColumnRenamed("id", "name").dropDuplicates(["name", "digest"]).join(named, ["name", "digest"]).select("id", "hashes")
 
 
@@ -183,9 +212,9 @@ def class_components(classes: DataFrame, rows: DataFrame, width: int, threshold:
         short = postings.where(F.col("list") <= SMALL)
         pairs = side(short, "a").join(side(short, "b"), "v").where((F.col("a") < F.col("b")) & _alike(threshold, "a", "b")).select("a", "b").distinct()
         pairs = store(_likely(pairs, classes, threshold), "pairs")
-        members = store(_regions(postings.where(F.col("list") > SMALL)), "members")
+        members = store(_partnered(store(_regions(postings.where(F.col("list") > SMALL)), "regions"), classes, threshold), "members")
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()
-        sets = store(_full_sets(asked, classes, rows, width), "sets")
+        sets = store(_full_sets(asked, classes, rows, width, store), "sets")
         links = _decided(pairs, sets, threshold)
         if members.isEmpty():
             return components(links)
@@ -204,16 +233,41 @@ def _regions(long: DataFrame) -> DataFrame:
     return long.join(hubs.select("v", F.col("hub.id").alias("region")), "v").select("region", "id").distinct()
 
 
+def _partnered(members: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """(region, id): of the members those with a likely partner in their region by sketches, and the hubs of these regions; a region's blocks meet in pairs."""
+    blocks = members.groupBy("region").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    rows = members.join(blocks, "region").join(classes.select("id", "n", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "sketch")
+    num, den = threshold.numerator, threshold.denominator
+
+    def likely(block: pd.DataFrame) -> pd.DataFrame:
+        low, high = (block["own"].eq(block[c].iloc[0]) for c in ("low", "high"))
+        a, b = block[low], block[high]
+        n_a, n_b = a["n"].to_numpy(np.int64)[:, None], b["n"].to_numpy(np.int64)[None, :]
+        shared = _common(list(a["sketch"]), list(b["sketch"]))
+        whole = (n_a <= K) & (n_b <= K)  # sketches that hold their sets
+        near = (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & np.where(whole, shared * den >= (n_a + n_b - shared) * num, shared >= NEED)
+        near &= a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
+        ids = np.union1d(a["id"][near.any(1)], b["id"][near.any(0)])
+        return pd.DataFrame({"region": block["region"].iloc[0], "id": ids.astype(np.int64)})
+
+    found = rows.groupBy("region", "low", "high").applyInPandas(likely, "region long, id long").select("region", F.explode(F.array("id", "region")).alias("id"))
+    return found.distinct()
+
+
 def _with_region(members: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows (region, id, ...) with what their region has, one row of `regions`; a region's rows are spread over SALTS tasks."""
-    salted = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"]).drop("salt")
+    """Rows (region, id, ...) with what their region has, one row of `regions`; a region's rows are spread over SALTS tasks, or over `salts`, a column of both."""
+    salts = F.col("salts") if "salts" in regions.columns else F.lit(SALTS)
+    salted = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return members.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(salted, ["region", "salt"]).drop("salt")
 
 
 def _differences(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(region, id, n, apart array<long>, linked boolean): how the full set of each class differs from that of its hub."""
-    hubs = members.select("region").distinct().join(sets.toDF("region", "hub"), "region")
-    both = _with_region(members.join(sets, "id"), hubs)
+    sizes = members.groupBy("region").agg(F.least(F.lit(SALTS), F.ceil(F.count("*") * SALTS / ROWS)).cast("int").alias("salts"))  # a hub's set is sent once for each
+    hubs = sizes.join(sets.toDF("region", "hub"), "region")
+    both = _with_region(members.join(sizes, "region").join(sets, "id"), hubs)
     shared = F.size(F.array_intersect("hashes", "hub"))
     linked = _similar(threshold, shared, F.size("hashes") + F.size("hub") - shared)
     apart = F.concat(F.array_except("hashes", "hub"), F.array_except("hub", "hashes"))
