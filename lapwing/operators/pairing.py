@@ -218,27 +218,31 @@ def find_lags(left: DataFrame, right: DataFrame, speed: str = "speed", accel: tu
     both) by 0.6. Two windows of five minutes are tried: the first that both cover at the lag, then the one in which
     the speed varies most at the lag that all the common time likes best. Of two refused ones the better by `r` is returned.
     Missing samples are left out; a pair without common time has one row with ok false. The grid has five rows a second and channel.
+    Each side is read twice, for the grid and for the windows. Sides that come dealt by `pair` aren't shuffled again.
     """
     channels = [speed, *accel]
     right = right.select(*(F.col(c).alias(c) for c in ("pair", "channel", "t", "v")))  # both may come from one table
     kind = left.schema["pair"].dataType.simpleString()
     place = (F.array_position(F.array(*map(F.lit, channels)), F.col("channel")) - 1).cast("int").alias("channel")
     clean = lambda df: df.where(F.col("channel").isin(channels)).select("pair", place, "t", present(F.col("v")).alias("v")).where("v IS NOT NULL")
-    tick = F.ceil(F.col("t") / COARSE).cast("long").alias("tick")
-    grid = lambda df: clean(df).groupBy("pair", "channel", tick).agg(F.max_by("v", "t").alias("v"))
-    given = left.select("pair").union(right.select("pair")).distinct()
-    given = given.join(expect.select("pair", "expect"), "pair", "left") if expect is not None else given.withColumn("expect", F.lit(0.0))
-    given = given.withColumn("expect", F.coalesce("expect", F.lit(0.0)))
-
-    def search(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        names = ["pair", "kind", "lag", "begin", "end", "expect"]
-        if l.empty or r.empty:
-            return pd.DataFrame(columns=names)
-        want = float(l["expect"].iloc[0])
-        found = candidates(*_grid(l, channels), *_grid(r, channels), speed, accel, want)
-        return pd.DataFrame([(l["pair"].iloc[0], *c, want) for c in found], columns=names)
-
-    grids = grid(left).join(given, "pair").groupBy("pair").cogroup(grid(right).groupBy("pair"))
+    # what isn't a sample leaves a row of channel -1 for its pair, so that all pairs come out of one search
+    usable = F.coalesce(F.col("channel").isin(channels) & F.col("pair").isNotNull() & present(F.col("v")).isNotNull(), F.lit(False))
+    tick = F.ceil(F.col("t") / COARSE).cast("long")
+    spots = lambda df: df.select("pair", F.when(usable, place).otherwise(-1).alias("channel"), F.when(usable, tick).otherwise(0).alias("tick"), "t", present(F.col("v")).alias("v"))
+    grid = lambda df: spots(df).groupBy("pair", "channel", "tick").agg(F.max_by("v", "t").alias("v"))
+    fixed = grid(left)
+    fixed = fixed.join(expect.select("pair", "expect"), "pair", "left") if expect is not None else fixed.withColumn("expect", F.lit(0.0))
+    fixed = fixed.withColumn("expect", F.coalesce("expect", F.lit(0.0)))
+
+    def search(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+        l, r = l[l["channel"] >= 0], r[r["channel"] >= 0]  # noqa: E741
+        found, want = [], 0.0
+        if not l.empty and not r.empty:
+            want = float(l["expect"].iloc[0])
+            found = candidates(*_grid(l, channels), *_grid(r, channels), speed, accel, want)
+        return pd.DataFrame([(key[0], *c, want) for c in found or [(None, None, None, None)]], columns=["pair", "kind", "lag", "begin", "end", "expect"])
+
+    grids = fixed.groupBy("pair").cogroup(grid(right).groupBy("pair"))
     tried = grids.applyInPandas(search, f"pair {kind}, kind string, lag double, begin double, end double, expect double")
 
     def decide(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
@@ -259,7 +263,8 @@ def find_lags(left: DataFrame, right: DataFrame, speed: str = "speed", accel: tu
                     break
         return pd.DataFrame(rows, columns=names)
 
-    tried = settled(tried, "lags")  # two rows per pair at most, asked for by both sides
+    tried = settled(tried, "lags")  # one or two rows per pair, asked for by both sides
+    given, tried = tried.select("pair").distinct(), tried.where("kind IS NOT NULL")
     again = tried.select(*(F.col(c).alias(c) for c in tried.columns))
     cut = lambda df, of, shift, more: clean(df).join(of, "pair").where((F.col("t") >= F.col("begin") + shift - more) & (F.col("t") <= F.col("end") + shift + more))
     more = 30.0  # seconds about a window: holds begin there, and lags move it a little
@@ -269,4 +274,4 @@ def find_lags(left: DataFrame, right: DataFrame, speed: str = "speed", accel: tu
     names = [c.split()[0] for c in _FOUND.split(", ")]
     best = rows.groupBy("pair").agg(F.min_by(F.struct(*names), F.struct(rank, -F.col("r"))).alias("b")).select("pair", "b.*")
     none = F.coalesce("ok", F.lit(False)).alias("ok"), F.when(F.col("ok").isNull(), "no common time to compare").otherwise(F.col("reason")).alias("reason")
-    return given.select("pair").join(best, "pair", "left").select("pair", "lag", "r", "n", "accel_r", *none)
+    return given.join(best, "pair", "left").select("pair", "lag", "r", "n", "accel_r", *none)
